@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import langid, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,10 @@ FROM e GROUP BY doc_id, size, source_size, target
 def op8_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row")
+
+
+@query
+def op5_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = langid.held_out(table(spark, sf_dir, "documents"))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model, ("doc_id", "held_out"))
