@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, sharding
+from . import langid, mixing, neardup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op5_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = langid.held_out(table(spark, sf_dir, "documents"))
     model = langid.fit(docs.where(~F.col("held_out")))
     return langid.identify(docs, model, ("doc_id", "held_out"))
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
