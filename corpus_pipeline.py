@@ -5,11 +5,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dutyflow.llm import common, mixing, sharding
+from dutyflow.llm import common, decontam, langid, mixing, neardup, sharding
 
 SHARDS = 40
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or in no recognised language go."""
+    return langid.known(docs, langid.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id stays."""
+    return neardup.kept(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, also re-parameterised ones, go."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; left-out ones go."""
     return mixing.mixed(docs)
@@ -20,17 +35,24 @@ def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, SHARDS, keep=("text", "lang", "source", "n_chars")).drop("row")
 
 
-STAGES = [("mix sources", mix_sources), ("shard", deal_shards)]
+STAGES = [
+    ("language ID", identify_language),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("mix sources", mix_sources),
+    ("shard", deal_shards),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; a stage's output goes through the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = common.stored(docs, f"stage-{i}")
     return docs
 
 
-#: Stages with signatures and permutations are not expressible in SQL.
+#: Signatures and permutations cannot be expressed in SQL; tests hold run() against brute force.
 ORACLE_SQL = None

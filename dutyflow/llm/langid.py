@@ -139,14 +139,22 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     languages gives ``und`` with score 0; ties go to the first language in
     alphabetical order; repeated rows get equal results."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in dict.fromkeys(keep)]
+    names = list(dict.fromkeys(keep))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*names).dtypes), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for batch in batches:
-            answers = [judge(x.as_py()) for x in batch.column("_text")]
+            answers = [judge(x.as_py()) for x in batch.column("text")]
             own = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*own, pa.array([a for a, _ in answers], pa.string()), pa.array([s for _, s in answers], pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
+
+
+def known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, whose language is recognised with a score of ``least`` or more."""
+    clash = {"lang_pred", "score"} & set(docs.columns)
+    own = docs.select(*[F.col(c).alias(f"_own_{c}") if c in clash else F.col(c) for c in docs.columns])
+    kept = identify(own, model, tuple(own.columns)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select(*[F.col(f"_own_{c}").alias(c) if c in clash else F.col(c) for c in docs.columns])
