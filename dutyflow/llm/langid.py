@@ -128,7 +128,7 @@ class Judge:
 
 def fit(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model:
     """labelled: text and lang (non-null), with doc_id to choose the sample."""
-    found = counts(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), rows)
+    found = counts(labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()), rows)
     return Model([(r["lang"], r["kind"], r["term"], r["n"], r["total"]) for r in found.select("lang", "kind", "term", "n", "total").collect()])
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, sharding
+from . import decontam, langid, mixing, neardup, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,31 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, source, w, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+l AS (SELECT doc_id, source, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw FROM x),
+f AS (SELECT doc_id, source, line, len(lw)::BIGINT AS n, array_to_string(lw, ' ') AS norm FROM l WHERE len(lw) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM f GROUP BY doc_id),
+lim AS (SELECT source, greatest(20.0, count(*) * 0.02) AS lim FROM d GROUP BY source),
+often AS (SELECT f.source, norm FROM f JOIN lim ON f.source IS NOT DISTINCT FROM lim.source GROUP BY f.source, norm, lim HAVING count(DISTINCT doc_id) > lim),
+gone AS (SELECT doc_id, sum(n)::BIGINT AS gone FROM f JOIN often o ON f.source IS NOT DISTINCT FROM o.source AND f.norm = o.norm GROUP BY doc_id),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram FROM d, unnest(range(1, greatest(len(w) - 3, 1))) t(i)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+rw AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, range(0, 5) u(k) GROUP BY doc_id),
+a AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(gone, 0)::BIGINT AS n_boilerplate_words
+      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rw USING (doc_id) LEFT JOIN gone USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_boilerplate_words,
+       NOT base_failed AND NOT (n_boilerplate_words > 0 AND (n_words - n_boilerplate_words < 10 OR n_words - n_boilerplate_words < n_words * 0.3)) AS kept
+FROM b
+"""
