@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import arrow, stored
 
 ROWS_PER_LANGUAGE = 4000
 #: Terms of the whole model at most; languages and the six kinds of term share them.
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             own = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*own, pa.array([a for a, _ in answers], pa.string()), pa.array([s for _, s in answers], pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
+    return arrow(docs.select(*dict.fromkeys([*names, "text"])), run, schema)
 
 
 def known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

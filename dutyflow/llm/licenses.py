@@ -18,6 +18,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import arrow
+
 # fixed values: base phrases and labels
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 # fixed values: notice phrases as normalised words, and their licence identifiers
@@ -221,4 +223,4 @@ def scan(docs: DataFrame) -> DataFrame:
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {fields}")
+    return arrow(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, {fields}")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import salted, stored
+from .common import arrow, salted, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, SHORTEST_TERM = 6, 4
@@ -140,7 +140,7 @@ def _by_blocks(docs: DataFrame, terms: DataFrame, run: Callable, schema: str) ->
     out, rows = None, terms.select("t").distinct().toLocalIterator()
     while block := [r[0] for r in islice(rows, BLOCK_TERMS)]:
         shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(block, np.int64)))
-        part = docs.mapInArrow(lambda batches, shared=shared: run(batches, shared.value), schema)
+        part = arrow(docs, lambda batches, shared=shared: run(batches, shared.value), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -193,7 +193,7 @@ def find(docs: DataFrame) -> DataFrame:
     id_type = dict(docs.dtypes)["doc_id"]
     source = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     span = "array<struct<start:int,kind:int,end:int>>"
-    seen = stored(source.mapInArrow(_found, f"doc_id {id_type}, mark long, base {span}, near array<struct<e:long,t:long,c:long>>"), "pii")
+    seen = stored(arrow(source, _found, f"doc_id {id_type}, mark long, base {span}, near array<struct<e:long,t:long,c:long>>"), "pii")
     pairs = seen.select(F.explode("near").alias("x")).groupBy("x.e", "x.t").agg(F.count("*").alias("both"), F.min("x.c").alias("c1"), F.max("x.c").alias("c2"))
     pairs = stored(pairs.where("c1 <> c2").drop("c1", "c2"), "pii-pairs")
     plain = seen.select("doc_id", "base", F.col("base").alias("found"))

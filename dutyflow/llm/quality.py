@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import salted, same_keys, stored
+from .common import arrow, salted, same_keys, stored
 
 LEAST_DOCUMENTS, SHARE = 20, 0.02
 #: A document is depleted below so many left words, or below this share of its words.
@@ -111,7 +111,7 @@ def rules(docs: DataFrame, host: str = "source") -> DataFrame:
     kind = dict(docs.dtypes)
     source = docs.select("doc_id", F.col(host).alias("host"), F.monotonically_increasing_id().alias("_row"), "text")
     schema = f"doc_id {kind['doc_id']}, host {kind[host]}, _row long, " + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<long>, line_words array<long>"
-    seen = stored(source.mapInArrow(_scanned, schema), "quality")
+    seen = stored(arrow(source, _scanned, schema), "quality")
     limits = seen.groupBy("host").agg(F.greatest(F.lit(float(LEAST_DOCUMENTS)), F.count("*") * F.lit(SHARE)).alias("limit"))
     each = seen.select("_row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("_row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     often = each.groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > LEAST_DOCUMENTS)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import numbered, ship
 
 KEY, ROUNDS = 20240607, 6
 OVERHEAD = 16
@@ -67,6 +67,7 @@ def shard(docs: DataFrame, shards: int, key: int = KEY, keep: tuple[str, ...] =
         raise ValueError("shards must be positive")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     facts = docs.select("doc_id", (F.octet_length(raw) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), *[F.col(c) for c in keep if c != "doc_id"])
+    ship(docs.sparkSession)
     rows, n = numbered(facts, [F.col("doc_id"), F.col("size"), F.col("text_crc32")], "shard")
 
     @F.pandas_udf("long")
