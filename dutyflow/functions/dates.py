@@ -40,7 +40,7 @@ def month_number(name: Column) -> Column:
     """1..12 of a German month name or its first three letters; null if unknown."""
     low = F.lower(F.trim(name))
     out = F.lit(None).cast("int")
-    for key, number in reversed(list({k[:3]: n for k, n in MONTHS.items() if k != "märz"}.items())):
+    for key, number in {k.replace("ä", "a")[:3]: n for k, n in MONTHS.items()}.items():
         out = F.when(F.substring(F.translate(low, "äöü", "aou"), 1, 3) == key, F.lit(number)).otherwise(out)
     return out
 
