@@ -37,13 +37,11 @@ def csv_shifts(files: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split(text, "\r?\n"), F.trim), lambda x: x != "")
     rows = files.withColumn("_lines", lines).where(F.size("_lines") > 0).withColumn("_head", F.transform(csv_fields(F.col("_lines")[0]), F.lower))
     rows = rows.select("src_doc", "_head", F.posexplode(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0)))).alias("src_seq", "_line"))
-    checked = F.when(F.array_contains("_head", "date") & F.array_contains("_head", "type"), csv_fields(F.col("_line"))).otherwise(
-        F.split(F.raise_error(F.concat(F.lit("CSV needs the columns date and type: "), "src_doc")).cast("string"), ",")
-    )
-    rows = rows.withColumn("_f", checked)
+    named = F.array_contains("_head", "date") & F.array_contains("_head", "type")
+    rows = rows.withColumn("_f", csv_fields(F.col("_line")))
     get = lambda name: F.nullif(F.when(F.array_position("_head", name) > 0, F.try_element_at("_f", F.array_position("_head", name).cast("int"))), F.lit(""))
     all_day = F.coalesce(F.lower(get("allday")).isin("1", "true", "yes", "ja"), F.lit(False))
-    out = rows.select("src_doc", F.col("src_seq").cast("long"), get("date").alias("_d"), get("start").alias("_s"), get("end").alias("_e"), F.coalesce(get("type"), F.lit("SHIFT")).alias("type"), all_day.alias("_all"))
+    out = rows.select("src_doc", F.col("src_seq").cast("long"), F.when(named, get("date")).otherwise(F.raise_error(F.concat(F.lit("CSV needs the columns date and type: "), "src_doc"))).alias("_d"), get("start").alias("_s"), get("end").alias("_e"), F.coalesce(get("type"), F.lit("SHIFT")).alias("type"), all_day.alias("_all"))
     out = out.where(F.col("_d").rlike(r"^\d{4}-\d{2}-\d{2}$")).withColumn("date", parse_date(F.col("_d"))).where("date IS NOT NULL")
     return out.select(
         "src_doc", "src_seq", "date", F.date_format("date", "yyyy-MM").alias("ym"), "type", F.when(~F.col("_all"), F.col("_s")).alias("start"), F.when(~F.col("_all"), F.col("_e")).alias("end"),
