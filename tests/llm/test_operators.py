@@ -1,0 +1,264 @@
+"""The corpus operators through Spark: edge cases and brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from dutyflow.llm import decontam, langid, licenses, mixing, neardup, pii, quality, secret_scan, sharding, suffix_dedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, node string, size string, row int, bands int, `key` string, label int, score string, start int, host string, lang_pred int"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omikron sigma tau".split()
+
+
+def prose(seed, n=60):
+    rnd = random.Random(seed)
+    return " ".join(rnd.choice(WORDS) + str(rnd.randint(0, 99)) for _ in range(n))
+
+
+def rows_of(spark, items):
+    """Documents with extra columns whose names operators use inside."""
+    extra = (1, "n", "s", 2, 3, "k", 4, "x", 5, "h", 6)
+    return spark.createDataFrame([(*i, *extra) for i in items], SCHEMA)
+
+
+BASE = prose(1)
+ITEMS = [
+    (1, BASE, "en", "a", 0),
+    (2, BASE, "en", "a", 0),
+    (3, BASE.replace(BASE.split()[30], "changed"), "en", "b", 0),
+    (4, prose(2), "de", None, 0),
+    (5, "", None, "b", 0),
+    (6, None, None, "b", 0),
+    (7, "x " * 30_000, "fr", "c", 0),
+    (8, prose(3), None, "c", 0),
+    (8, prose(3), None, "c", 0),
+    (None, prose(4), "en", "c", 0),
+    (10, "12 34 !!", "en", "c", 0),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return rows_of(spark, ITEMS)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_empty_tables(spark, empty):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for df in (
+        mixing.mix(empty), mixing.mixed(empty), sharding.shard(empty, 4), neardup.classes(empty), quality.rules(empty), licenses.scan(empty), pii.spans(empty),
+        secret_scan.spans(empty), suffix_dedup.dedup(empty), decontam.leaks(empty, bench), langid.identify(empty, langid.Model([])),
+    ):
+        assert df.count() == 0
+
+
+def test_mixing(docs):
+    got = mixing.mix(docs, nested=(0.25, 0.5, 1.0)).collect()
+    assert len(got) == len(ITEMS)
+    total = {}
+    for r in got:
+        c = r["copies"]
+        assert 0 <= c[0] <= c[1] <= c[2] <= 2
+        assert r["target"] <= 2 * r["source_size"] + 1e-6
+        total.setdefault(r["source"], [r["target"], 0])[1] += c[2] * r["size"]
+    assert sum(t for t, _ in total.values()) == pytest.approx(1.5 * sum(r["size"] for r in got))
+    assert mixing.mixed(docs).columns == docs.columns
+    assert mixing.mixed(docs).count() == sum(r["copies"][2] for r in got)
+
+
+def test_sharding(docs):
+    got = sharding.shard(docs, 3).collect()
+    assert sorted((r["slot"] * 3 + r["shard"]) for r in got) == list(range(len(ITEMS)))
+    for r in got:
+        if r["doc_id"] == 1:
+            assert r["size"] == len(BASE) + 16 and r["text_crc32"] == zlib.crc32(BASE.encode())
+        if r["doc_id"] == 6:
+            assert r["size"] == 16 and r["text_crc32"] == 0
+    again = sharding.shard(docs.repartition(5), 3).collect()
+    assert Counter((r["doc_id"], r["size"], r["shard"], r["slot"]) for r in again) == Counter((r["doc_id"], r["size"], r["shard"], r["slot"]) for r in got)
+    with pytest.raises(ValueError):
+        sharding.shard(docs, 0)
+
+
+def test_near_duplicates(spark, docs):
+    got = Counter((r["doc_id"], r["class_id"]) for r in neardup.classes(docs).collect())
+    assert got[(1, 1)] == got[(2, 1)] == got[(3, 1)] == 1
+    assert got[(5, 5)] == got[(6, 5)] == 1  # null counts as empty
+    assert got[(8, 8)] == 2 and got[(4, 4)] == 1 and got[(None, None)] == 1
+    kept = neardup.kept(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 4, 5, 7, 8, 10]
+
+
+def test_near_duplicates_in_split_buckets(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TOGETHER", 4)
+    base = prose(9, 120).split()
+    items = []
+    for i in range(40):
+        w = list(base)
+        w[3 * i % 120] = f"own{i}"
+        items.append((i, " ".join(w), "en", "s", 0))
+    items.append((99, prose(10, 120), "en", "s", 0))
+    got = by_id(neardup.classes(rows_of(spark, items)))
+    assert {r["class_id"] for k, r in got.items() if k < 40} == {0} and got[99]["class_id"] == 99
+
+
+def test_quality(docs):
+    got = by_id(quality.rules(docs))
+    assert got[6]["base_failed"] and got[5]["n_words"] == 0 and not got[5]["kept"]
+    assert got[1]["kept"] and got[7]["base_failed"]
+    assert got[7]["n_repeat_words"] == 30_000
+
+
+def test_quality_boilerplate(spark):
+    line = "this very line stands at the top of each single page of the host and says nothing new at all"
+    items = [(i, f"{line}\n{prose(i, 12 if i % 2 else 200)}", "en", "hot", 0) for i in range(30)] + [(100, f"{line}\n{prose(100, 12)}", "en", "other", 0)]
+    got = by_id(quality.rules(rows_of(spark, items)))
+    assert got[0]["n_boilerplate_words"] == len(line.split()) and got[0]["kept"]
+    assert got[100]["n_boilerplate_words"] == 0 and got[100]["kept"]
+    assert not quality.rules(rows_of(spark, [(i, line, "en", "hot", 0) for i in range(30)])).where("kept").count()
+
+
+def test_licenses(spark):
+    got = by_id(licenses.scan(rows_of(spark, [(1, "All rights reserved", "en", "a", 0), (2, None, None, None, 0), (3, "", None, None, 0)])))
+    assert got[1]["base_labels"] == "reserved" and got[2]["n_words"] == 0 and got[3]["labels"] == "" and got[2]["first_word"] is None
+
+
+def test_language(spark):
+    words = {"en": "the quick house walks over green tables", "de": "der schnelle hund läuft über grüne tische"}
+    rnd = random.Random(1)
+    items = [(i, " ".join(rnd.choice(words[lang].split()) for _ in range(30)), lang, "s", 0) for i, lang in enumerate(["en", "de"] * 60)]
+    df = langid.held_out(rows_of(spark, items))
+    model = langid.fit(df.where("NOT held_out"))
+    got = langid.identify(df, model, ("doc_id", "held_out", "lang")).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got) and any(r["held_out"] for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    known = langid.known(rows_of(spark, [*items[:4], (500, "123", "en", "s", 0), (501, None, "en", "s", 0)]), model)
+    assert sorted(r["doc_id"] for r in known.collect()) == [0, 1, 2, 3] and "lang_pred" in known.columns
+
+
+def test_personal_data(spark):
+    near = "Zacharias Quendel"
+    items = [(i, f"{prose(i, 8)} {near} wrote to zq@example.org {prose(i + 50, 8)}", "en", "s", 0) for i in range(4)]
+    items += [(50, f"{near} again", "en", "s", 0), (60, None, "en", "s", 0)] + [(100 + i, prose(i + 200, 30), "en", "s", 0) for i in range(200)]
+    got = by_id(pii.spans(rows_of(spark, items)))
+    assert got[0]["n_email"] == 1 and "term:" in got[0]["spans"]
+    assert got[50]["n_email"] == 0 and got[50]["spans"] == "term:0:9,term:10:17"  # the terms give the entity away elsewhere too
+    assert got[60]["spans"] == "" and got[60]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert not any("term" in got[k]["spans"] for k in got if k >= 100)
+
+
+ASSIGN = re.compile(r"""((?a:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def brute_secrets(t):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+
+def test_secrets(spark):
+    rnd = random.Random(3)
+    parts = ["secret", "token", "=", ":", " ", '"', "abcdef", "AKIA", "ABCDEFGHIJKLMNOP", "é😀", "0123456789abcdef0123456789", "api_key", "Password", "\n", "abc"]
+    items = [(i, "".join(rnd.choice(parts) for _ in range(14)), "en", "s", 0) for i in range(150)]
+    hot, calm = "kJ8s9DfLq02mZx7VbNa3TyUiOp5", "ggggggggggggggggggggggggg1"
+    items += [(900, None, "en", "s", 0), (901, f"say {hot} now", "en", "s", 0), (902, f"{calm} /usr/local/share/some/path 123e4567-e89b-12d3-a456-426614174000", "en", "s", 0), (903, hot * 40, "en", "s", 0)]
+    got = by_id(secret_scan.spans(rows_of(spark, items)))
+    for i, t, *_ in items:
+        want = brute_secrets(t or "")
+        joined = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in secret_scan.KINDS[:3]] == [sum(x[1] == k for x in want) for k in range(3)]
+    assert got[901]["spans"] == f"entropy:4:{4 + len(hot)}" and got[902]["spans"] == "" and got[903]["spans"] == f"entropy:0:{40 * len(hot)}"
+
+
+@pytest.mark.parametrize("runs", [5000, 2])
+def test_repeated_bytes(spark, monkeypatch, runs):
+    monkeypatch.setattr(suffix_dedup, "SHARD_RUNS", runs)
+    rnd = random.Random(3)
+    base = "".join(rnd.choice("abcdé ") for _ in range(900))
+    texts = ["a" * 5000, None, "", "ab" * 1500 + "x", base + "q" + base, "zz" + base[:390], "zz" + base[100:500] + "k", "short", "short", "y" * 400, "y" * 400, "y" * 399, prose(5, 300)]
+    texts += [base[i * 20 : 500 + i * 20] + prose(i, 40) for i in range(8)]
+    got = by_id(suffix_dedup.dedup(rows_of(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])))
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
+    for i, b in enumerate(raw):
+        gone = bytearray(len(b))
+        for k in range(len(b) - 399):
+            if count[b[k : k + 400]] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        runs_ = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
+        rest = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), sum(gone), runs_, hashlib.sha256(rest).hexdigest())
+
+
+def test_decontamination_in_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_TOKENS", 10)
+    bench = spark.createDataFrame([(1, " ".join(BASE.split()[5:25])), (2, prose(4)), (3, "too short"), (4, None), (None, prose(2))], "item_id long, text string")
+    got = by_id(decontam.leaks(docs, bench))
+    assert got[1]["item_ids"] == got[3]["item_ids"] == [1] and got[None]["item_ids"] == [2] and 4 not in got
+    clean = decontam.clean(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == len(ITEMS) - 4
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    items = [(i, prose(i, 80), "en" if i % 3 else "de", f"s{i % 4}", 0) for i in range(60)]
+    items += [(100 + i, items[i][1], "en", "s0", 0) for i in range(10)] + [(200, "!!! 12", "en", "s1", 0), (201, None, "en", "s1", 0), (202, prose(77, 30), "en", "s2", 0)]
+    spark.createDataFrame(items, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(77, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = cp.run(spark, str(tmp_path)).collect()
+    ids = {r["doc_id"] for r in out}
+    assert not ids & {*range(100, 110), 200, 201, 202} and ids <= set(range(60)) and len(ids) > 20
+    assert sorted(r["slot"] * cp.SHARDS + r["shard"] for r in out) == list(range(len(out)))
+    # the mix by brute force: rows by source and hash, each as often as the thresholds say
+    left = [i for i in items if i[0] < 60]
+    size = Counter()
+    for i in left:
+        size[i[3]] += len(i[1].split())
+    names = sorted(size)
+    weight = dict(zip(names, [3, 1, 2, 3], strict=True))
+    target, open_ = dict.fromkeys(names, 0.0), set(names)
+    rest = 1.5 * sum(size.values())
+    while True:
+        level = (rest - sum(target[n] for n in names if n not in open_)) / sum(weight[n] for n in open_)
+        over = {n for n in open_ if level * weight[n] > 2 * size[n]}
+        if not over:
+            break
+        for n in over:
+            target[n] = 2.0 * size[n]
+        open_ -= over
+    for n in open_:
+        target[n] = level * weight[n]
+    want = Counter()
+    for n in names:
+        own = sorted((int(hashlib.md5(str(i[0]).encode()).hexdigest()[:12], 16), i) for i in left if i[3] == n)
+        whole = int(target[n] // size[n])
+        budget, done = target[n] - whole * size[n], 0
+        for _, i in own:
+            words = len(i[1].split())
+            want[i[0]] += whole + (done + words / 2 <= budget)
+            done += words
+    assert Counter(r["doc_id"] for r in out) == +want
+
+
+def test_missing_package_is_guarded():
+    import __spark_entry__ as e
+
+    assert {f"op{n}_" for n in range(1, 11)} <= {q.split("_")[0] + "_" for q in e.queries()} and "pipeline" in e.queries()
+    assert F is not None
