@@ -77,7 +77,7 @@ def _plan(narrow: DataFrame, nested: tuple[float, ...], share: float, cap: float
     # a last bucket is one hash: it is taken if that brings the sum nearer
     taken = hist.where(F.col("words") / 2 <= F.col("over")).groupBy("source", "k").agg((F.max("b") + 1).alias("end"))
     ends = same_keys(left.select("source", "k", F.shiftleft("b", BITS[-1]).alias("start")), taken, ["source", "k"], "left")
-    ends = same_keys(budgets, ends, ["source", "k"], "left").withColumn("end", F.coalesce("end", "start", F.lit(1 << TOTAL_BITS)))
+    ends = same_keys(budgets, ends, ["source", "k"], "left").withColumn("end", F.when(F.col("left") > 0, F.coalesce("end", "start", F.lit(1 << TOTAL_BITS))).otherwise(F.lit(0)))
     cuts = ends.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "base", "end"))).alias("cuts"))
     return stored(same_keys(goal, cuts, ["source"]), "mix-plan"), first
 
