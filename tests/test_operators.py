@@ -117,7 +117,7 @@ def test_texts(spark):
     assert one(spark, text.compare_versions(F.lit("1.10"), F.lit("1.9.3"))) == 1
     h = one(spark, text.day_header(F.lit("24Di")))
     assert (h["weekday"], h["day"]) == ("Di", 24)
-    assert one(spark, text.ics_escape(F.lit("a;b,c\\\n"))) == "a\;b\\,c\\\\\\n"
+    assert one(spark, text.ics_escape(F.lit("a;b,c\\\n"))) == "a\\;b\\,c\\\\\\n"
     assert one(spark, text.redact_log(F.lit("x  password: geheim bearer abc"))) == "x password=*** bearer ***"
     out = one(spark, text.anonymise(F.lit("Klinik Nord\nAbrechnungsmonat 07/2026 1234567\n01 Muster KO* 07:00\n02.07.2026 Muster 07:00 08:00 25\nmail a.b@c.de\n")))
     assert "[HEADER_REDACTED]" in out and "[ID]" in out and "01 [NAME] KO* 07:00" in out and "Muster" not in out and "a.b@c.de" not in out
