@@ -3,6 +3,8 @@ survive hot keys, and distributed row numbers."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,11 +16,17 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 SALTS = 16
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """mapInArrow with this package at hand."""
-    ship(df.sparkSession)
+    """mapInArrow with this package at hand, in batches of BATCH_ROWS rows at
+    most: texts are long, and both sides hold a batch as a whole."""
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 
@@ -30,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="dutyflow-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -38,23 +47,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back.
 
     It cuts the lineage like a checkpoint, but evaluates the plan only once,
-    keeps columns prunable and outlives lost executors."""
+    keeps columns prunable and outlives lost executors. Results may read these
+    tables, so they stay: one folder for each application."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes a stored() table whose rows no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/tables/" in path.toString():
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where null equals null; the right keys are dropped."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
