@@ -6,12 +6,14 @@ shingle is a Poisson process whose rate is its number of levels, and a point
 above the count is thinned out. The earliest point of each of M components is
 the signature; two components agree with the probability of the weighted
 Jaccard similarity. Points later than a node's slowest component are never
-drawn. Nodes meet in bands of the signature, a bucket gives a spanning forest of
-likely pairs (never all pairs), and every link is verified on the exact multisets."""
+drawn. Nodes meet in bands of the signature, and a bucket gives a spanning forest
+of its likely pairs (never all pairs). The groups that these forests make are only
+where texts meet: within a group every pair of members that are not yet in one
+class is held together on the exact multisets."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,9 @@ M = 320
 #: Estimates from M components: four standard deviations below SIMILARITY a
 #: pair still is verified.
 LIKELY = 0.71
-#: Larger buckets estimate from one of VIEWS random halves of the components
-#: (LIKELY_HALF: four deviations again), so that the chance errors of one
-#: bucket are not those of the next and a node is held against many neighbours.
-VIEWS, LIKELY_HALF = 16, 0.67
-#: Likely neighbours of each member of a bucket that are verified beside its forest.
-NEAREST = 2
-#: Members of a bucket that meet in one task; larger ones are reduced in rounds.
-TOGETHER = 2048
+#: Members of a bucket or group that meet in one task, and their shingles; larger
+#: ones are dealt into parts, and what the parts leave apart is held against all parts.
+TOGETHER, SHINGLES = 2048, 1 << 21
 
 
 def shingle_items(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +136,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 
 def spanning_forest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parents (-1 for roots) and roots of a maximum spanning forest of the
-    signatures whose estimated similarity is LIKELY_HALF or more (Prim's order).
+    signatures whose estimated similarity is LIKELY or more (Prim's order).
 
     Such a forest joins all that any threshold above joins, with one edge for
     each member, so no pair within a bucket needs to leave the task."""
@@ -152,60 +149,76 @@ def spanning_forest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         best[open_[up]], parent[open_[up]] = near[up], last
         k = int(np.argmax(best[open_]))
         last = int(open_[k])
-        if best[last] < LIKELY_HALF:
+        if best[last] < LIKELY:
             parent[last] = -1
             roots.append(last)
         open_ = np.delete(open_, k)
     return parent, np.array(roots, np.int64)
 
 
-def nearest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, neighbour): the NEAREST likely neighbours of each member."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(len(sig)):
-        near = (sig == sig[i]).mean(axis=1)
-        near[i] = -1
-        top = np.argsort(-near, kind="stable")[:NEAREST]
-        top = top[near[top] >= LIKELY_HALF]
-        a.append(np.full(len(top), i))
-        b.append(top)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets -> candidate pairs (a, b), and of split buckets the roots of
-    their forests (key, a, sig), which meet again."""
-    views = [np.sort(np.random.default_rng(v).permutation(M)[: M // 2]) for v in range(VIEWS)]
-    for rows, cut in _groups(batches, ["key", "sub"]):
-        keys = rows.column("key").to_numpy()
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, M)
-        left, right, heads = [], [], []
-        sizes = np.diff(cut)
-        two = cut[:-1][sizes == 2]
-        near = (sig[two] == sig[two + 1]).mean(axis=1)
-        left.append(two[near >= LIKELY])
-        right.append(two[near >= LIKELY] + 1)
-        split = rows.column("parts").to_numpy() > 1
-        heads.append(np.r_[two, two[near < LIKELY] + 1])
-        heads.append(cut[:-1][sizes == 1])
-        for lo, hi in zip(cut[:-1][sizes > 2], cut[1:][sizes > 2], strict=True):
-            own = sig[lo:hi][:, views[int(keys[lo]) % VIEWS]]
-            parent, roots = spanning_forest(own)
+def linked(near: Callable[[int, np.ndarray], np.ndarray], label: np.ndarray, heads: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that join the classes of ``label`` wherever one of the first
+    ``heads`` members is near to another member; near(i, js) gives those of js.
+
+    Each such pair is looked at, unless its members are in one class by then."""
+    label, done, left, right = label.copy(), np.zeros(len(label), bool), [], []
+    for i in range(heads):
+        done[i] = True
+        others = np.flatnonzero(~done & (label != label[i]))
+        found = near(i, others) if len(others) else others
+        if len(found):
+            met, at = np.unique(label[found], return_index=True)
+            left += [i] * len(met)
+            right += found[at].tolist()
+            label[np.isin(label, met)] = label[i]
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def alike(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """near() of linked() for multisets from _multisets(): exact, each against many at once."""
+    size = np.array([len(x) for x in sets], np.int64)
+    dense = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    own, mark = np.split(dense, np.cumsum(size)[:-1]), np.zeros(len(dense), np.uint8)
+
+    def near(i: int, js: np.ndarray) -> np.ndarray:
+        js = js[(np.minimum(size[js], size[i]) >= SIMILARITY * np.maximum(size[js], size[i]) - 1e-6) & (size[js] > 0)]
+        if not len(js):
+            return js
+        mark[own[i]] = 1
+        both = np.add.reduceat(mark[np.concatenate([own[j] for j in js])], np.r_[0, np.cumsum(size[js])[:-1]], dtype=np.int64)
+        mark[own[i]] = 0
+        return js[both / (size[i] + size[js] - both) >= SIMILARITY]
+
+    return near
+
+
+def _met(batches: Iterator[pa.RecordBatch], links: Callable[[pa.Table, int, int, np.ndarray, int], tuple]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of blocks (grp, sub) whose rows come with the heads first.
+    links(rows, lo, hi, label, heads) gives those of one block, from 0."""
+    for rows, cut in _groups(batches, ["grp", "sub"]):
+        node, head, label = (rows.column(k).to_numpy() for k in ("node", "head", "label"))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if hi - lo > 1:
+                one, other = links(rows, lo, hi, np.unique(label[lo:hi], return_inverse=True)[1], int(head[lo:hi].sum()))
+                a.append(lo + one)
+                b.append(lo + other)
+        one, other = np.concatenate(a), np.concatenate(b)
+        yield pa.RecordBatch.from_arrays([pa.array(node[one], pa.binary()), pa.array(node[other], pa.binary())], ["a", "b"])
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of likely pairs by signatures."""
+
+    def links(rows: pa.Table, lo: int, hi: int, label: np.ndarray, heads: int) -> tuple[np.ndarray, np.ndarray]:
+        sig = np.frombuffer(b"".join(rows.column("data").slice(lo, hi - lo).to_pylist()), np.uint8).reshape(-1, M)
+        if heads == hi - lo:
+            parent, _ = spanning_forest(sig)
             child = np.flatnonzero(parent >= 0)
-            one, other = (np.r_[x, y] for x, y in zip((parent[child], child), nearest(own), strict=True))
-            once = np.unique(np.minimum(one, other) * (hi - lo) + np.maximum(one, other))
-            left.append(lo + once // (hi - lo))
-            right.append(lo + once % (hi - lo))
-            heads.append(lo + roots)
-        none = np.zeros(0, np.int64)
-        a, b, h = (np.concatenate([none, *x]).astype(np.int64) for x in (left, right, heads))
-        h = h[split[h]]
-        node, key = rows.column("node").combine_chunks(), rows.column("key").combine_chunks()
-        pairs = [pa.nulls(len(a), pa.int64()), node.take(pa.array(a)), node.take(pa.array(b)), pa.nulls(len(a), pa.binary())]
-        yield pa.RecordBatch.from_arrays(pairs, ["key", "a", "b", "sig"])
-        if len(h):
-            tops = [key.take(pa.array(h)), node.take(pa.array(h)), pa.nulls(len(h), pa.binary()), rows.column("sig").combine_chunks().take(pa.array(h))]
-            yield pa.RecordBatch.from_arrays(tops, ["key", "a", "b", "sig"])
+            return parent[child], child
+        return linked(lambda i, js: js[(sig[js] == sig[i]).mean(axis=1) >= LIKELY], label, heads)
+
+    return _met(batches, links)
 
 
 def _multisets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -227,61 +240,85 @@ def overlap(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (a, sub, head first): the head's text, then its members'."""
-    head, own = None, None
-    for batch in batches:
-        a, b, left, right = batch.column("a").to_pylist(), batch.column("b").to_pylist(), [], []
-        for i, items in enumerate(_multisets(batch.column("text"))):
-            if b[i] is None:
-                head, own = a[i], items
-            elif a[i] == head and overlap(own, items) >= SIMILARITY:
-                left.append(a[i])
-                right.append(b[i])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+    """Links of pairs whose multisets overlap enough."""
+
+    def links(rows: pa.Table, lo: int, hi: int, label: np.ndarray, heads: int) -> tuple[np.ndarray, np.ndarray]:
+        sets = list(_multisets(rows.column("data").slice(lo, hi - lo)))
+        return linked(alike(sets), label, heads)
+
+    return _met(batches, links)
 
 
 def node_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def _parts(rows: DataFrame) -> DataFrame:
+    """Rows (grp, node, n, ...) of groups of two members or more, with the number
+    of parts that the group is dealt into."""
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("total")).where("size > 1")
+    parts = F.ceil(F.greatest(F.col("size") / F.lit(float(TOGETHER)), F.col("total") / F.lit(float(SHINGLES)))).cast("int")
+    return salted(rows, sizes.select("grp", parts.alias("parts")), ["grp"], F.col("node"))
+
+
+def _joined(rows: DataFrame, run: Callable, name: str) -> DataFrame:
+    """Links (a, b) that join all members of a group that ``run`` finds near,
+    directly or by others: rows (grp, node, n, parts, data) -> a forest or little more.
+
+    A group of several parts is joined within its parts, then the classes' heads
+    are. Last, all members outside its largest class are held against all members
+    in blocks, so every pair of different classes meets; no class is trusted to
+    be whole before."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def met(blocks: DataFrame) -> DataFrame:
+        dealt = blocks.select("grp", "sub", "head", "node", "label", "data").repartition(n, "grp", "sub").sortWithinPartitions("grp", "sub", F.col("head").desc(), "node")
+        return stored(arrow(dealt, run, "a binary, b binary").where("a <> b").distinct(), name)
+
+    def own(x: DataFrame) -> DataFrame:
+        sub = F.pmod(F.xxhash64("node", "grp"), F.col("parts")).cast("long")
+        return met(x.withColumn("sub", sub).withColumn("head", F.lit(True)).withColumn("label", F.col("node")))
+
+    links = own(rows)
+    split = rows.where("parts > 1")
+    if not split.limit(1).count():
+        return links
+
+    def labelled() -> DataFrame:
+        return split.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    # of each class in a group the smallest member
+    first = labelled().groupBy("grp", "label").agg(F.min("node").alias("node")).select("grp", "node")
+    heads = split.drop("parts").join(first, ["grp", "node"])
+    links = links.unionByName(own(_parts(heads)))
+    now = stored(labelled(), name)
+    count = now.groupBy("grp", "label").agg(F.count("*").alias("m"))
+    main = count.groupBy("grp").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most")).where("most < all")
+    rest = salted(now, main, ["grp"], F.col("node"))
+    apart = rest.where("label <> main")
+    sides = apart.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(float(TOGETHER)), F.sum("n") / F.lit(float(SHINGLES)))).cast("int").alias("sides"))
+    rest, apart = salted(rest, sides, ["grp"], F.col("node")), salted(apart, sides, ["grp"], F.col("node"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    mine = lambda k: F.pmod(F.xxhash64("node", "grp"), F.col(k)).cast("int")
+    blocks = apart.withColumn("i", mine("sides")).withColumn("j", every("parts")).withColumn("head", F.lit(True))
+    blocks = blocks.unionByName(rest.withColumn("i", every("sides")).withColumn("j", mine("parts")).withColumn("head", F.lit(False)))
+    return links.unionByName(met(blocks.withColumn("sub", F.col("i").cast("long") * F.col("parts") + F.col("j"))))
+
+
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes that share a band and look alike."""
-    keys = nodes.where("n > 0").select("node", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = salted(keys, sizes, ["key"], F.col("node"))
-    rows = shared.join(nodes.select("node", "sig"), "node")
-    pairs, together = None, TOGETHER
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    while True:
-        parts = F.ceil(F.col("size") / F.lit(float(together))).cast("int")
-        rows = rows.withColumn("parts", parts).withColumn("sub", F.pmod(F.xxhash64("node", "key", F.lit(together)), F.col("parts")).cast("int"))
-        dealt = rows.select("key", "sub", "parts", "node", "sig").repartition(n, "key", "sub").sortWithinPartitions("key", "sub", "node")
-        found = stored(arrow(dealt, _paired, "key long, a binary, b binary, sig binary"), "near-pairs")
-        own = found.where("b is not null").select("a", "b")
-        pairs = own if pairs is None else pairs.unionByName(own)
-        heads = found.where("b is null").select("key", F.col("a").alias("node"), "sig")
-        sizes = heads.groupBy("key").agg(F.count("*").alias("size"))
-        most = sizes.agg(F.max("size")).first()[0]
-        if not most or most < 2:
-            break
-        rows = salted(heads, sizes.where("size > 1"), ["key"], F.col("node"))
-        if most > together // 2:  # roots that stay apart meet in larger groups
-            together *= 8
-    return stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "near-candidates")
+    """Pairs of nodes that join all that share a band and look alike, directly or by others."""
+    keys = nodes.where("n > 0").select("node", F.explode("bands").alias("grp"), F.lit(1).alias("n"))
+    rows = _parts(keys).join(nodes.select("node", F.col("sig").alias("data")), "node")
+    return _joined(rows, _likely, "near-candidates")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The candidate pairs whose multisets overlap enough."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    rows = docs.select(F.col("doc_id").alias("rep"), "text")
-    texts = wanted.join(rows, wanted["rep"].eqNullSafe(rows["rep"])).where(node_of(F.col("text")) == F.col("node")).select("node", "text")
-    texts = stored(texts, "near-texts")
-    dealt = pairs.withColumn("sub", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int"))
-    heads = dealt.select("a", "sub").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "sub", F.lit(None).cast("binary").alias("b"), "text")
-    members = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "sub", "b", "text")
-    every = heads.unionByName(members).repartition(n, "a", "sub").sortWithinPartitions("a", "sub", F.col("b").asc_nulls_first())
-    return stored(arrow(every.select("a", "b", "text"), _verified, "a binary, b binary").distinct(), "near-links")
+    """Links that join all nodes whose multisets overlap enough, within the groups that ``pairs`` make."""
+    groups = components(pairs).withColumnRenamed("label", "grp")
+    wanted = _parts(groups.join(nodes.select("node", "rep", "n"), "node"))
+    rows = docs.select(F.col("doc_id").alias("_rep"), node_of(F.col("text")).alias("_node"), F.col("text").alias("data"))
+    texts = wanted.join(rows, wanted["rep"].eqNullSafe(rows["_rep"]) & (wanted["node"] == rows["_node"]))
+    return _joined(stored(texts.select("grp", "node", "n", "parts", "data"), "near-texts"), _verified, "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -116,6 +116,47 @@ def test_near_duplicates_in_split_buckets(spark, monkeypatch):
     assert {r["class_id"] for k, r in got.items() if k < 40} == {0} and got[99]["class_id"] == 99
 
 
+def chained(seed, steps, n=120):
+    """Texts of which each is a borderline copy of the one before (similarity
+    little over 0.8) and no copy of the others, in a group that looks alike."""
+    w, out = prose(seed, n).split(), []
+    for i in range(steps):
+        out.append(" ".join(w))
+        for k in (20 * i + 7, 20 * i + 15):
+            w[k % n] = f"own{i}x{k}"
+    return out
+
+
+def brute_classes(texts):
+    """The smallest index of each text's class, over all pairs."""
+    sets = [Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total():
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+def borderline(members, seed=5):
+    """Copies of one text with own words each: most pairs look alike and stay under 0.8."""
+    rnd, base, out = random.Random(seed), prose(seed, 160).split(), []
+    for i in range(members):
+        w = list(base)
+        for k in rnd.sample(range(40), rnd.randint(2, 6)):
+            w[4 * k] = f"own{i}" if rnd.random() < 0.3 else f"alt{k % 7}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_duplicates_of_a_dense_borderline_group(spark):
+    texts = borderline(300)
+    got = by_id(neardup.classes(rows_of(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])))
+    want = brute_classes(texts)
+    assert len(set(want)) > 1 and [got[i]["class_id"] for i in range(len(texts))] == want
+
+
 def test_quality(docs):
     got = by_id(quality.rules(docs))
     assert got[6]["base_failed"] and got[5]["n_words"] == 0 and not got[5]["kept"]
