@@ -157,6 +157,13 @@ def test_near_duplicates_of_a_dense_borderline_group(spark):
     assert len(set(want)) > 1 and [got[i]["class_id"] for i in range(len(texts))] == want
 
 
+def test_near_duplicates_of_split_borderline_groups(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TOGETHER", 16)
+    texts = borderline(120) + chained(11, 30)
+    got = by_id(neardup.classes(rows_of(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])))
+    assert [got[i]["class_id"] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_quality(docs):
     got = by_id(quality.rules(docs))
     assert got[6]["base_failed"] and got[5]["n_words"] == 0 and not got[5]["kept"]
