@@ -339,14 +339,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id (the smallest doc_id of its class) of every row.
-
-    Equal texts are in one class; a null text counts as empty, and empty texts
-    equal each other only. A text of fewer than five words is one shingle.
-    Repeated rows get equal results; an empty table gives no rows; a null
-    doc_id takes part and is the smallest only in a class without other ids.
-    Other columns are ignored."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of every row, and (node, rep, label, class_id) of every node."""
     source = docs.select("doc_id", node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     id_type = dict(docs.dtypes)["doc_id"]
     signed = stored(arrow(source, _signed, f"doc_id {id_type}, node binary, n long, bands array<long>, sig binary"), "near-signed")
@@ -355,11 +349,28 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = components(_links(docs, nodes, _candidates(nodes)))
     named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     lowest = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    named = salted(named, lowest, ["label"], F.col("node")).select("node", "class_id")
-    return salted(signed.select("doc_id", "node"), named, ["node"], F.col("doc_id")).select("doc_id", "class_id")
+    return signed.select("doc_id", "node"), salted(named, lowest, ["label"], F.col("node")).select("node", "rep", "label", "class_id")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id and class_id (the smallest doc_id of its class) of every row.
+
+    Equal texts are in one class; a null text counts as empty, and empty texts
+    equal each other only. A text of fewer than five words is one shingle.
+    Repeated rows get equal results; an empty table gives no rows; a null
+    doc_id takes part and is the smallest only in a class without other ids.
+    Other columns are ignored."""
+    signed, named = _classes(docs)
+    return salted(signed, named.select("node", "class_id"), ["node"], F.col("doc_id")).select("doc_id", "class_id")
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their class: one row for each class."""
-    stay = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stand for their class: one row for each class, that of
+    the smallest doc_id and, where it is repeated or null, of the smallest text
+    hash; of rows equal in both any one."""
+    _, named = _classes(docs)
+    order = F.struct(F.col("rep").isNull(), "rep", "node")
+    stay = named.groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.rep").alias("_rep"), F.col("first.node").alias("_node"))
+    own = docs.withColumn("_own", node_of(F.col("text")))
+    found = own.join(stay, own["doc_id"].eqNullSafe(stay["_rep"]) & (own["_own"] == stay["_node"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "_own"]).drop("_own")

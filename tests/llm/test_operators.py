@@ -164,6 +164,13 @@ def test_near_duplicates_of_split_borderline_groups(spark, monkeypatch):
     assert [got[i]["class_id"] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_near_duplicates_keeps_one_row_for_each_class(spark):
+    texts = [prose(51), prose(52), prose(52), prose(53), prose(54), prose(54) + " more"]
+    ids = [None, None, None, 1, 1, 1]
+    kept = neardup.kept(rows_of(spark, [(i, t, "en", "s", 0) for i, t in zip(ids, texts, strict=True)])).collect()
+    assert Counter(r["text"] in texts[4:] or r["text"] for r in kept) == Counter([texts[0], texts[1], texts[3], True])
+
+
 def test_quality(docs):
     got = by_id(quality.rules(docs))
     assert got[6]["base_failed"] and got[5]["n_words"] == 0 and not got[5]["kept"]
