@@ -171,3 +171,19 @@ def test_templates_catch_new_numbers_only_if_consistent():
     data, offs = K.buffers(pa.array([same, renumbered, mixed, other, None, ""]))
     got = decontam._matches(block, decontam.Template(data, offs, block.units))
     assert set(got) == {0, 1} and got[0][0][3] and not got[1][0][3]
+
+
+def leaked(item, *texts):
+    block = decontam.Block([7], [item])
+    data, offs = K.buffers(pa.array(texts))
+    return decontam._matches(block, decontam.Template(data, offs, block.units))
+
+
+def test_templates_judge_each_occurrence():
+    item = "A train leaves the old station with 120 people and 15 km later another 120 people get off while 15 km remain to go."
+    one, two = item.replace("120", "340").replace("15", "22"), item.replace("120", "77").replace("15", "9")
+    got = leaked(item, f"{one} {two}", f"{item} Some words stand in between. {one}", "Nothing of it.")
+    assert set(got) == {0, 1} and not got[0][0][3] and got[1][0][3]
+    clauses = "She saw 3 red apples in the big basket today and she saw 5 red apples in the big basket today"
+    got = leaked(clauses, clauses, clauses.replace("3", "8").replace("5", "6"))
+    assert set(got) == {0, 1} and got[0][0][1:] == (1.0, 1.0, True) and not got[1][0][3]
