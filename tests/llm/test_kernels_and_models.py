@@ -187,3 +187,9 @@ def test_templates_judge_each_occurrence():
     clauses = "She saw 3 red apples in the big basket today and she saw 5 red apples in the big basket today"
     got = leaked(clauses, clauses, clauses.replace("3", "8").replace("5", "6"))
     assert set(got) == {0, 1} and got[0][0][1:] == (1.0, 1.0, True) and not got[1][0][3]
+
+
+def test_templates_poor_in_literals_match_verbatim():
+    for item in ("What is 12 + 7 * 3?", "Is Anna taller than Bob?", "Add 1, 2, 3, 4, 5, 6, 7, 8 and 9."):
+        assert set(leaked(item, f"Some say: {item} And so on.", "What is 11 + 6 * 4? Is Eve taller than Max?")) == {0}
+    assert not leaked("Which number comes next here: 1 2 3 4 5 6 7 8", "We count 1 2 3 4 5 6 7 8 aloud")
