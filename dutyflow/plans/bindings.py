@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import dates, numbers, text
+from ..functions import dates, numbers, privacy, text
 from ..operators import classify, export, lookups, marts, merge, sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -405,12 +405,15 @@ def month_window(spark, sf_dir):
 
 @bound(r"""
 WITH t AS (SELECT 'd' || doc_id AS id, coalesce(text, '') AS x FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, coalesce(text, '') FROM conversations),
-r AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\+\d{1,3}[\d \t()/-]{6,}\d', '[TEL]', 'g'), '\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b', '[IBAN]', 'g') AS y FROM t)
+e AS (SELECT id, regexp_replace(x, '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}', '[EMAIL]', 'gi') AS x FROM t),
+p AS (SELECT id, regexp_replace(x, '\+\d{1,3}[\d \t()/-]{6,}\d|\b(Tel\.?|Fon|Mobil)\s*:?\s*[\d \t()/-]{6,}\d', '[TEL]', 'gi') AS x FROM e),
+i AS (SELECT id, regexp_replace(x, '\b[a-z]{2}\d{2}[a-z0-9]{10,30}\b', '[IBAN]', 'gi') AS x FROM p),
+r AS (SELECT id, regexp_replace(x, '\b(Personal(nummer|nr\.?)|Pers\.?\s*Nr\.?|Mitarbeiter(-?Nr\.?)?|MA-Nr\.?)\s*[:=]?\s*\S+', '[PERSONAL_ID]', 'gi') AS y FROM i)
 SELECT id, md5(y) AS digest, (length(y) - length(replace(y, '[EMAIL]', ''))) // 7 AS emails FROM r""")
 def redact_pii(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("x"))
     c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("x"))
-    rows = d.unionByName(c).withColumn("y", text.redact_values(F.col("x")))
+    rows = d.unionByName(c).withColumn("y", privacy.redact_values(F.col("x")))
     return rows.select("id", F.md5("y").alias("digest"), F.expr("(length(y) - length(replace(y, '[EMAIL]', ''))) div 7").alias("emails"))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dutyflow.functions import text
+from dutyflow.functions import privacy, text
 from dutyflow.operators import cells, export, grid, images, lookups, marts, merge, names, sequences
 from dutyflow.sources import readers, store
 
@@ -118,15 +118,58 @@ def test_texts(spark):
     h = one(spark, text.day_header(F.lit("24Di")))
     assert (h["weekday"], h["day"]) == ("Di", 24)
     assert one(spark, text.ics_escape(F.lit("a;b,c\\\n"))) == "a\\;b\\,c\\\\\\n"
-    assert one(spark, text.redact_log(F.lit("x  password: geheim bearer abc"))) == "x password=*** bearer ***"
-    out = one(spark, text.anonymise(F.lit("Klinik Nord\nAbrechnungsmonat 07/2026 1234567\n01 Muster KO* 07:00\n02.07.2026 Muster 07:00 08:00 25\nmail a.b@c.de\n")))
-    assert "[HEADER_REDACTED]" in out and "[ID]" in out and "01 [NAME] KO* 07:00" in out and "Muster" not in out and "a.b@c.de" not in out
     assert one(spark, text.short_label(F.lit("FD ⚠️ 07:00"))) == "FD" and one(spark, text.signed_hours(F.lit("1,5"))) == "+1,5"
 
 
+PLAN = """Klinik Nord
+Abrechnungsmonat 07/2026 1234567
+01 Muster KO* 07:00
+02 Muster FEIERTAG
+03 Muster XX
+02.07.2026 Muster 07:00 08:00 25 1,5 7 9
+Übertrag aus Vormonat 1234567
+mail A.B@c.de, Mobil 0351 123 45 67, de44500105175407324931, Pers.Nr. 77
+Perso\u0301n 1234567"""
+
+
+def test_privacy(spark):
+    assert one(spark, privacy.redact_log(F.lit("x  password: geheim bearer abc"))) == "x password=*** bearer ***"
+    got = one(spark, privacy.anonymise(F.lit(PLAN))).split("\n")
+    assert got[:7] == ["[HEADER_REDACTED]", "Abrechnungsmonat 07/2026 [ID]", "01 [NAME] KO* 07:00", "02 [NAME] FEIERTAG", "[HEADER_REDACTED]", "02.07.2026 [REDACTED] 07:00 08:00 1,5 7 9", "Übertrag aus Vormonat 1234567"]
+    assert got[7] == "[HEADER_REDACTED]" and "12345" not in got[8] and one(spark, privacy.anonymise(F.lit(" \n "))) == ""
+    values = one(spark, privacy.redact_values(F.lit(PLAN.split("\n")[7])))
+    assert values == "mail [EMAIL], [TEL], [IBAN], [PERSONAL_ID]"
+    long = one(spark, privacy.anonymise(F.lit("07:00 x\n" * 50), 20))
+    assert long == "07:00 x\n07:00 x\n07:0\n\n… [gekürzt auf 20 Zeichen]"
+
+
 def test_support_sample(spark):
-    d = spark.createDataFrame([("d", ["Abrechnungsmonat 07/2026", "x", "01 KO* 07:00", "01 KO* 07:00", "02 KO* 08:00", ""])], "k string, lines array<string>")
-    assert text.support_sample(d, "k", "lines").first()["sample"] == "Abrechnungsmonat 07/2026\n01 KO* 07:00\n02 KO* 08:00"
+    head = ["Abrechnungsmonat 07/2026", "Tag von", "Tag  von", "PEP a", "PEP b", "PEP c"]
+    work = [f"{i:02d} [NAME] KO* 07:{i:02d}" for i in range(1, 12)]
+    calls = ["02.07.2026 [REDACTED] 07:00"]
+    take = lambda x: one(spark, privacy.sample_lines(F.array(*[F.lit(v) for v in x])))
+    assert take(head + work + calls) == head[:5] + work[:9]
+    assert take([*work[:2], work[1], "05 x 08:00", *calls]) == [*work[:2], "05 x 08:00", *calls]  # few work lines: timed days follow
+    assert take([*work[:4], "05 x 08:00", *calls]) == work[:4]
+    absent = ["02.07.2026 URLAUB 07:00", "03.07.2026 KRANK 07:00", "04.07.2026 KR 07:00"]
+    assert take([*work[:2], *absent]) == [*work[:2], absent[0]]  # on-call lines up to three lines in all
+    plain = [f"line {i}" for i in range(100)]
+    assert take(head[:1] + plain) == [head[0], *(f"line {i}" for i in range(34, 53)), privacy.FEW_TIMES]
+    assert one(spark, privacy.support_sample(F.lit("01 Muster KO* 07:00\n" * 3), label="a.pdf")) == "### a.pdf\n01 [NAME] KO* 07:00"
+    assert one(spark, privacy.support_sample(F.lit("\n".join(f"{i:02d} Muster KO* 07:00" for i in range(1, 9))), 30)) == "01 [NAME] KO* 07:00\n02 [NAME]\n… [gekürzt]"
+
+
+def test_log_tail(spark):
+    log = spark.createDataFrame([("a", i, f"2026-07-01 10:00:{i:02d}", x) for i, x in enumerate(["one", "one", " ", "token two", "pwd=x", "pwd=y", "three"])], "k string, i int, t string, line string").withColumn("t", F.to_timestamp("t"))
+    assert privacy.log_tail(log, ["k"], "t", "line", ["i"]).first()["tail"] == "10:00:00 one\n10:00:03 token two\n10:00:04 pwd=***\n10:00:06 three"
+    assert privacy.log_tail(log, ["k"], "t", "line", ["i"], rows=2).first()["tail"] == "10:00:04 pwd=***\n10:00:06 three"
+    assert privacy.log_tail(log, ["k"], "t", "line", ["i"], most=20).first()["tail"] == "…\n10:00:06 three"
+
+
+def test_roster_names(spark):
+    split = lambda x: tuple(one(spark, text.roster_name(F.lit(x))))
+    assert split("Dr. Muster,  Eva Maria") == ("Muster", "Eva Maria") and split("Eva Maria Muster") == ("Muster", "Eva Maria") and split("Muster") == ("Muster", "") and split(None) == ("", "")
+    assert one(spark, text.stored_name(F.lit(" Muster "), F.lit("Eva  M"))) == "Muster, Eva M" and one(spark, text.stored_name(F.lit(""), F.lit("x"))) == ""
 
 
 def test_names(spark):
