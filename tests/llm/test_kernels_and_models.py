@@ -1,5 +1,6 @@
 """Pure functions of the corpus operators against brute force."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -7,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -152,13 +154,67 @@ def test_license_phrases():
     assert "apache-2.0 mit or" in scan(b"SPDX-License-Identifier: Apache-2.0 OR MIT\n")[6]
 
 
+def judged(model, *texts):
+    lang, score = langid.Judge(model)(*K.buffers(pa.array(texts, pa.string())))
+    return list(zip(lang, score.tolist(), strict=True))
+
+
 def test_language_backoff():
     rows = [("en", 0, "the", 50, 100), ("de", 0, "der", 50, 100)] + [("en", 2, "th", 30, 60), ("de", 2, "sc", 30, 60)]
-    judge = langid.Judge(langid.Model(rows))
-    assert judge("the the")[0] == "en" and judge("der")[0] == "de"
-    assert judge("schxx")[0] == "de"  # unseen word, known bigram
-    assert judge("123 !")[0] == "und" and judge(None) == ("und", 0.0) and judge("")[0] == "und"
-    assert langid.Judge(langid.Model([]))("text")[0] == "und"
+    got = [x for x, _ in judged(langid.Model(rows), "the the", "der", "schxx", "123 !", None, "", "½ ²", "①②", "Ⅷ", "q")]
+    assert got == ["en", "de", "de", *["und"] * 6, "de"]  # schxx: an unseen word with a known bigram; q: a tie
+    assert judged(langid.Model([]), "text") == [("und", 0.0)]
+
+
+def brute_language(rows, text):
+    """Scores by language, word by word, as the docstring of the module says."""
+    langs = sorted({r[0] for r in rows})
+    of = {(x, k, t): (n, total) for x, k, t, n, total in rows}
+    known = [{t for _, k, t, _, _ in rows if k == kind} for kind in range(6)]
+    size = {(x, k): total for x, k, _, _, total in rows}
+
+    def log(x, kind, term):
+        return math.log((of.get((x, kind, term), (0, 0))[0] + 0.5) / (size.get((x, kind), 0) + 0.5 * len(known[kind]) + 1))
+
+    words = [w for w in regex.findall(r"\p{L}+", (text or "").lower())]
+    out = dict.fromkeys(langs, 0.0)
+    for w in words:
+        terms, padded = [(0, w)] if w in known[0] else [], f"_{w[:60]}_"
+        for k in range(5, 0, -1):
+            if not terms:
+                terms = [(k, g) for i in range(len(padded) - k + 1) if (g := padded[i : i + k]) in known[k] and g != "_"]
+        for x in langs:
+            out[x] += sum(log(x, *t) for t in terms) / max(1, len(terms))
+    scale = min(1.0, 20 / max(1, len(words)))
+    return {x: v * scale for x, v in out.items()}, bool(words)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abÉé ½1\n", max_size=50), min_size=1, max_size=6), st.integers(0, 99))
+def test_language_scores_equal_brute_force(texts, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for x in ("aa", "bb", "cc"):
+        for kind in range(6):
+            terms = sorted({"".join(rnd.choice("abé_" if kind else "abé") for _ in range(kind or rnd.randint(1, 3))) for _ in range(4)} - {"_"})
+            n = [rnd.randint(1, 9) for _ in terms]
+            rows += [(x, kind, t, k, sum(n) + 5) for t, k in zip(terms, n, strict=True)]
+    for text, (lang, score) in zip(texts, judged(langid.Model(rows), *texts), strict=True):
+        want, any_word = brute_language(rows, text)
+        if not any_word:
+            assert (lang, score) == ("und", 0.0)
+        else:
+            best = max(want.values())
+            assert want[lang] == pytest.approx(best) and score == pytest.approx(1 / sum(math.exp(v - best) for v in want.values()))
+
+
+def test_language_of_very_long_texts(monkeypatch):
+    monkeypatch.setattr(K, "PIECE", 64)
+    rows = [("en", 0, "the", 50, 100), ("de", 0, "der", 50, 100), ("de", 1, "x", 5, 9)]
+    texts = ["the der " * 200 + "the", "x" * 5000, "a b", None, "der " * 900]
+    whole = [judged(langid.Model(rows), t)[0] for t in texts]
+    assert [x for x, _ in judged(langid.Model(rows), *texts)] == [x for x, _ in whole]
+    assert [x for x, _ in whole] == ["en", "de", "de", "und", "de"]
 
 
 def test_templates_catch_new_numbers_only_if_consistent():
