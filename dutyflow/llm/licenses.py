@@ -13,6 +13,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -67,10 +68,11 @@ OPENNESS = {
 UNKNOWN, EXCEPTION = 0.5, 0.1
 CONNECTIVES = {"and": 1, "or": 0, "with": 2}
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_SPDX = re.compile(r"SPDX-License-Identifier[ \t]*:?[ \t]*([^\r\n]{1,1000})", re.IGNORECASE)
+_SPDX = re.compile(r"SPDX-License-Identifier[ \t]*:?[ \t]*([^\r\n]+)", re.IGNORECASE)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 
 
+@lru_cache(maxsize=10_000)
 def openness(licence: str) -> float:
     starts = [s for s in OPENNESS if licence == s or licence.startswith(s + "-")]
     return OPENNESS[max(starts, key=len)] if starts else UNKNOWN
@@ -113,9 +115,9 @@ def to_postfix(tokens: list[str]) -> list[str]:
     return out
 
 
-def evaluate(postfix: list[str]) -> tuple[float, list[str]]:
+def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
     """Openness of an expression in postfix order, and its licences."""
-    values: list[tuple[float, list[str]]] = []
+    values: list[tuple[float, set[str]]] = []
     for token in postfix:
         if token in CONNECTIVES:
             if len(values) < 2:
@@ -124,10 +126,12 @@ def evaluate(postfix: list[str]) -> tuple[float, list[str]]:
             if token == "with":
                 values.append((min(1.0, left + EXCEPTION), a))
             else:
-                values.append(((min if token == "and" else max)(left, right), a + b))
+                small, large = sorted((a, b), key=len)
+                large |= small  # the smaller into the larger, so long expressions stay linear
+                values.append(((min if token == "and" else max)(left, right), large))
         else:
-            values.append((openness(token.rstrip("+")), [token.rstrip(".")]))
-    return values[-1] if values else (UNKNOWN, [])
+            values.append((openness(token.rstrip("+")), {token.rstrip(".")}))
+    return values[-1] if values else (UNKNOWN, set())
 
 
 class Scanner:
@@ -170,7 +174,7 @@ class Scanner:
             expressions += [p for m in _SPDX.finditer(text) if (p := to_postfix(_TOKEN.findall(m[1])))]
         results = [evaluate(p) for p in expressions]
         for _, ids in results:
-            own |= set(ids)
+            own |= ids
         shown = sorted({" ".join(p) for p in expressions})
         return len(words), base, first, last, ",".join(sorted(labels)), ",".join(sorted(own)), ",".join(shown), min((v for v, _ in results), default=UNKNOWN)
 
@@ -210,7 +214,8 @@ def scan(docs: DataFrame) -> DataFrame:
     (in postfix order) and score (openness, 0 to 1; 0.5 if nothing is found)
     of every row, by doc_id.
 
-    A null text counts as empty; repeated rows get equal results; an empty
+    A null text counts as empty; repeated rows and null ids get results like
+    any other row; a very long text or tag line is read to its end; an empty
     table gives no rows; other columns are ignored."""
     fields = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions string, score double"
     names = ["doc_id", *[f.split()[0] for f in fields.split(", ")]]

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -154,6 +155,27 @@ def test_license_phrases():
     assert "apache-2.0 mit or" in scan(b"SPDX-License-Identifier: Apache-2.0 OR MIT\n")[6]
 
 
+def test_long_tag_lines_are_read_to_their_end():
+    line = "SPDX-License-Identifier: " + "MIT OR " * 40_000 + "GPL-2.0\nMIT"
+    started = time.time()
+    got = licenses.Scanner()(line.encode())
+    assert got[5] == "gpl-2.0,mit" and got[7] == 1.0 and time.time() - started < 5
+
+
+PHRASES = ("cc by", "general public license", "all rights reserved")
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([*"cc by general public license all rights reserved".split(), "CC", "-", ". ", "é", "x1", "\n", "By"]), max_size=30))
+def test_license_phrases_equal_brute_force(parts):
+    text = " ".join(parts)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    starts = [(i, p) for p in PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    n, base, first, last, labels, *_ = licenses.Scanner()(text.encode())
+    assert (n, base) == (len(words), len(starts)) and labels == ",".join(sorted({licenses.BASE[p] for _, p in starts}))
+    assert (first, last) == ((min(starts)[0], max(starts)[0]) if starts else (None, None))
+
+
 def judged(model, *texts):
     lang, score = langid.Judge(model)(*K.buffers(pa.array(texts, pa.string())))
     return list(zip(lang, score.tolist(), strict=True))
