@@ -12,21 +12,23 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
-from itertools import islice
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import kernels as K
 from .common import arrow, salted, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, SHORTEST_TERM = 6, 4
 DISCLOSURE, BITS = 0.5, 5.0
-BLOCK_TERMS = 1_000_000
+#: So many revealing terms (8 bytes each) are broadcast; more are joined with salt.
+BROADCAST_TERMS = 1_000_000
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match can only begin where a run of digits does, so the look-behind changes no result but keeps long runs linear
@@ -96,12 +98,16 @@ def _ascii_lower(word: str) -> str:
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int]]:
     """(entity, term, context) of the terms within NEAR terms of each entity, each (entity, term) once."""
     out: dict[tuple[int, str], int] = {}
+    places = array("q")
+    for m in _TERM.finditer(text):
+        places.extend(m.span())
+    begin, stop = np.frombuffer(places, np.int64).reshape(-1, 2).T if places else np.zeros((2, 0), np.int64)
     for start, kind, end in spans:
         value = text[start:end].lower() if kind < 2 else _digits(text[start:end])
         entity = _hash(f"{KINDS[kind]}:{value}")
-        before = _TERM.findall(text[max(0, start - 400) : start])[-NEAR:]
-        after = _TERM.findall(text[end : end + 400])[:NEAR]
-        near = [_ascii_lower(w) for w in before + after]
+        before, after = int(np.searchsorted(stop, start, "right")), int(np.searchsorted(begin, end))
+        close = [*range(max(0, before - NEAR), before), *range(after, min(after + NEAR, len(begin)))]
+        near = [_ascii_lower(text[begin[i] : stop[i]]) for i in close]
         context = _hash(" ".join(near))
         for w in near:
             if len(w) >= SHORTEST_TERM:
@@ -128,54 +134,31 @@ def _terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, bounds, K.span_hash(K.sums(_LOWER[data]), start, end).view(np.int64)
 
 
-def _lookup(wanted: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which values are in the sorted array, and where."""
-    at = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
-    hit = np.flatnonzero(wanted[at] == values)
-    return hit, at[hit]
-
-
-def _by_blocks(docs: DataFrame, terms: DataFrame, run: Callable, schema: str) -> DataFrame | None:
-    """One pass over the documents for each block of at most BLOCK_TERMS sorted terms."""
-    out, rows = None, terms.select("t").distinct().toLocalIterator()
-    while block := [r[0] for r in islice(rows, BLOCK_TERMS)]:
-        shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(block, np.int64)))
-        part = arrow(docs, lambda batches, shared=shared: run(batches, shared.value), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _counted(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Documents of this task that hold each wanted term."""
-    total = np.zeros(len(wanted), np.int64)
+def _counted(batches: Iterator[pa.RecordBatch], wanted: bloom.Bloom) -> Iterator[pa.RecordBatch]:
+    """(t, n): documents of a piece of text that hold each term of the filter."""
     for batch in batches:
         data, offs = K.buffers(batch.column("text"))
         for _, _, piece, at in K.pieces(data, offs):
             _, _, bounds, value = _terms(piece, at)
-            hit, which = _lookup(wanted, value)
+            hit = np.flatnonzero(wanted.holds(value))
             doc = np.searchsorted(bounds, hit, "right") - 1
-            once = np.unique(doc.astype(np.int64) * len(wanted) + which)
-            total += np.bincount(once % len(wanted), minlength=len(wanted))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(wanted[some]), pa.array(total[some])], ["t", "n"])
+            _, once = np.unique(K.mixed(value[hit].view(K.U) + K.mixed(doc.astype(K.U))), return_index=True)
+            t, n = np.unique(value[hit][once], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n.astype(np.int64))], ["t", "n"])
 
 
-def _placed(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Spans in code points of each wanted term in each document."""
+def _placed(batches: Iterator[pa.RecordBatch], wanted: bloom.Bloom) -> Iterator[pa.RecordBatch]:
+    """Spans in code points of the terms of the filter in each document."""
     for batch in batches:
         data, offs = K.buffers(batch.column("text"))
-        rows, starts, ends = [], [], []
         for lo, _, piece, at in K.pieces(data, offs):
             start, end, bounds, value = _terms(piece, at)
-            hit, _ = _lookup(wanted, value)
+            hit = np.flatnonzero(wanted.holds(value))
             doc = np.searchsorted(bounds, hit, "right") - 1
             points = np.r_[0, np.cumsum((piece & 0xC0) != 0x80)]
-            rows.append(lo + doc)
-            starts.append(points[start[hit]] - points[at[doc]])
-            ends.append(points[end[hit]] - points[at[doc]])
-        own = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
-        cols = [pa.array(np.concatenate(x).astype(np.int32)) if x else pa.array([], pa.int32()) for x in (starts, ends)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("mark").take(own), *cols], ["doc_id", "mark", "start", "end"])
+            own = pa.array(lo + doc)
+            places = [pa.array((points[x[hit]] - points[at[doc]]).astype(np.int32)) for x in (start, end)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("mark").take(own), pa.array(value[hit]), *places], ["doc_id", "mark", "t", "start", "end"])
 
 
 def _joined(spans: Column) -> Column:
@@ -183,35 +166,78 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, ``base`` and ``found``: arrays of (start, kind, end) in code
-    points, by start, then kind; ``found`` adds the revealing terms.
+def _pass(docs: DataFrame, terms: DataFrame, run, schema: str) -> DataFrame | None:
+    """One pass over the documents with the filter of ``terms`` (t); None without terms."""
+    made = bloom.build(terms, "t")
+    if made is None:
+        return None
+    shared = docs.sparkSession.sparkContext.broadcast(made)
+    return arrow(docs, lambda batches: run(batches, shared.value), schema)
 
-    A null text counts as empty; repeated rows get equal results; an empty
-    table gives no rows; other columns are ignored. Documents are known by id
-    and text, so ids may repeat with other texts."""
-    id_type = dict(docs.dtypes)["doc_id"]
-    source = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    span = "array<struct<start:int,kind:int,end:int>>"
-    seen = stored(arrow(source, _found, f"doc_id {id_type}, mark long, base {span}, near array<struct<e:long,t:long,c:long>>"), "pii")
+
+def _revealing(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
+    """(doc_id, mark, terms): the spans of revealing terms of each text that holds some."""
     pairs = seen.select(F.explode("near").alias("x")).groupBy("x.e", "x.t").agg(F.count("*").alias("both"), F.min("x.c").alias("c1"), F.max("x.c").alias("c2"))
     pairs = stored(pairs.where("c1 <> c2").drop("c1", "c2"), "pii-pairs")
-    plain = seen.select("doc_id", "base", F.col("base").alias("found"))
-    totals = _by_blocks(source, pairs, _counted, "t long, n long")
+    totals = _pass(docs, pairs.select("t").distinct(), _counted, "t long, n long")
     if totals is None:
-        return plain
-    totals = stored(totals.groupBy("t").agg(F.sum("n").alias("n")), "pii-terms")
+        return None
     entities = seen.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["e"]))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     documents = seen.count()
     share = F.col("both") / F.col("n")
-    told = pairs.join(totals, "t").where(share >= DISCLOSURE).join(entities, "e").where(F.log2(share * documents / F.col("n_e")) >= BITS)
-    places = _by_blocks(source, stored(told.select("t").distinct(), "pii-told"), _placed, f"doc_id {id_type}, mark long, start int, end int")
+    told = pairs.join(totals.groupBy("t").agg(F.sum("n").alias("n")), "t").where(share >= DISCLOSURE)
+    told = told.join(entities, "e").where(F.log2(share * documents / F.col("n_e")) >= BITS)
+    told = stored(told.select("t").distinct(), "pii-told")
+    kind = dict(docs.dtypes)["doc_id"]
+    places = _pass(docs, told, _placed, f"doc_id {kind}, mark long, t long, start int, end int")
     if places is None:
-        return plain
-    terms = places.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("terms"))
+        return None
+    if told.count() <= BROADCAST_TERMS:
+        places = places.join(F.broadcast(told), "t")
+    else:
+        places = salted(places, told, ["t"], F.xxhash64("mark", "start"))
+    return places.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("terms"))
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (hash of the text), ``base`` and ``found``: arrays of (start,
+    kind, end) in code points, by start, then kind; ``found`` adds the revealing terms.
+
+    A null text counts as empty; repeated rows get equal results; a very long
+    text is one row like any other; an empty table gives no rows; other columns
+    are ignored. Documents are known by id and text, so ids may be null or
+    repeat with other texts."""
+    id_type = dict(docs.dtypes)["doc_id"]
+    source = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    span = "array<struct<start:int,kind:int,end:int>>"
+    seen = stored(arrow(source, _found, f"doc_id {id_type}, mark long, base {span}, near array<struct<e:long,t:long,c:long>>"), "pii")
+    terms = _revealing(source, seen)
+    if terms is None:
+        return seen.select("doc_id", "mark", "base", F.col("base").alias("found"))
     both = salted(seen.select("doc_id", "mark", "base"), terms, ["doc_id", "mark"], F.col("mark"), "left")
     every = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(span))))
-    return both.select("doc_id", "base", every.alias("found"))
+    return both.select("doc_id", "mark", "base", every.alias("found"))
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns and rows, in whose texts entities
+    are generalised to their kind and revealing terms removed.
+
+    A null text stays null. Only spans are looked up by id and text, so each
+    text is shuffled once; texts without a span do not change."""
+    found = find(docs).where(F.size("found") > 0).groupBy("doc_id", "mark").agg(F.first("found").alias("_found"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"), "_found")
+    own = docs.withColumn("_mark", F.xxhash64("text"))
+    both = own.join(found, own["doc_id"].eqNullSafe(found["_id"]) & (own["_mark"] == found["_m"]), "left").drop("_id", "_m", "_mark")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("text"), batch.column("_found"), strict=True)
+            texts = [x.as_py() if not s.is_valid else sanitised(x.as_py(), [(p["start"], p["kind"], p["end"]) for p in s.as_py()]) for x, s in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column(c).type) if c == "text" else batch.column(c) for c in names], names)
+
+    return arrow(both, run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
 
 
 def spans(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The corpus operators through Spark: edge cases and brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -216,6 +217,50 @@ def test_personal_data(spark):
     assert not any("term" in got[k]["spans"] for k in got if k >= 100)
 
 
+def test_sanitise(spark, docs):
+    near = "Zacharias Quendel"
+    items = [(i, f"{prose(i, 8)} {near} wrote to zq@example.org {prose(i + 50, 8)}", "en", "s", 0) for i in range(4)]
+    items += [(50, f"{near} again", "en", "s", 0), (60, None, "en", "s", 0), (None, "mail a@b.cd now", "en", "s", 0), (0, "other text", "en", "s", 0)]
+    items += [(100 + i, prose(i + 200, 30), "en", "s", 0) for i in range(200)] + [(70, "y " * 200_000 + "+49 341 1234567", "en", "s", 0)]
+    out = pii.sanitise(rows_of(spark, items))
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got[(0, f"{prose(0, 8)}    to <EMAIL> {prose(50, 8)}")] == 1 and got[(50, "  again")] == 1 and got[(60, None)] == 1
+    assert got[(None, "mail <EMAIL> now")] == 1 and got[(0, "other text")] == 1 and got[(70, "y " * 200_000 + "<PHONE>")] == 1
+    assert all(got[(100 + i, prose(i + 200, 30))] == 1 for i in range(200)) and pii.sanitise(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [pii.BROADCAST_TERMS, 0])
+def test_revealing_terms_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    rnd = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    people = {f"p{k}@x.org": [f"name{letters[k]}x", f"town{letters[k % 5]}y", f"street{letters[k]}é"] for k in range(26)}
+    items = []
+    for i in range(400):
+        mail = rnd.choice(list(people)) if i % 3 == 0 else None
+        words = [rnd.choice(WORDS) for _ in range(6)] + ([rnd.choice(people[mail]), mail, rnd.choice(people[mail])] if mail else []) + [rnd.choice(WORDS) for _ in range(6)]
+        if i % 29 == 0:
+            words.insert(0, rnd.choice(people[rnd.choice(list(people))]))
+        items.append((i, " ".join(words), "en", "s", 0))
+    term, both, contexts, holders, have = re.compile("[A-Za-z\x80-\U0010ffff]+"), Counter(), {}, Counter(), Counter()
+    for _, t, *_ in items:
+        spans = [m.span() for m in term.finditer(t)]
+        holders.update({t[a:b].lower() for a, b in spans})
+        for m in re.finditer(r"p[0-9]+@x\.org", t):
+            close = [t[a:b] for a, b in spans if b <= m.start()][-6:] + [t[a:b] for a, b in spans if a >= m.end()][:6]
+            have[m[0]] += 1
+            for w in {x for x in close if len(x) >= 4}:
+                both[m[0], w] += 1
+                contexts.setdefault((m[0], w), set()).add(tuple(close))
+    told = {w for (e, w), n in both.items() if len(contexts[e, w]) > 1 and n / holders[w] >= pii.DISCLOSURE and math.log2(n / holders[w] * len(items) / have[e]) >= pii.BITS}
+    got = by_id(pii.spans(rows_of(spark, items)))
+    assert told
+    for i, t, *_ in items:
+        want = [f"term:{m.start()}:{m.end()}" for m in term.finditer(t) if m[0].lower() in told]
+        assert [x for x in got[i]["spans"].split(",") if x.startswith("term")] == want
+
+
 ASSIGN = re.compile(r"""((?a:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 

@@ -13,7 +13,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from dutyflow.llm import decontam, langid, licenses, neardup, pii, quality, sharding, suffix_dedup
+from dutyflow.llm import bloom, decontam, langid, licenses, neardup, pii, quality, sharding, suffix_dedup
 from dutyflow.llm import kernels as K
 
 TEXTS = st.lists(st.text(alphabet="ab é\n\t1.", max_size=60), max_size=8)
@@ -130,6 +130,24 @@ def test_personal_data_is_linear_and_sanitised():
     assert pii.sanitised(t, pii.base_spans(t)) == "call <PHONE> or mail <EMAIL> now"
 
 
+def test_terms_near_an_entity_are_whole_and_any_distance_away():
+    t = "farword " + "1 " * 900 + "a@b.cd" + " 2" * 900 + " lastword"
+    assert {w for _, w, _ in pii.contexts(t, pii.base_spans(t))} == {"farword", "lastword"}
+    long = "w" * 5000
+    assert {w for _, w, _ in pii.contexts(f"{long} a@b.cd {long}x", [(5001, 0, 5007)])} == {long, f"{long}x"}
+
+
+def test_bloom_filter_misses_nothing():
+    values = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
+    bits = bloom.bits_for(len(values))
+    data = np.zeros(bits // 8, np.uint8)
+    for batch in bloom._marked([pa.RecordBatch.from_arrays([pa.array(values)], ["t"])], bits):
+        for c, x in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            data[c * bloom.CHUNK // 8 : (c + 1) * bloom.CHUNK // 8] |= np.frombuffer(x, np.uint8)
+    made = bloom.Bloom(data)
+    assert made.holds(values).all() and made.holds(values + 1).mean() < 0.02
+
+
 @pytest.mark.parametrize(
     ("text", "postfix", "score"),
     [
