@@ -32,6 +32,10 @@ from .common import arrow, salted, stored
 LENGTH, MARK = 400, 128
 #: Bytes of runs for one shard, and runs of one key that go to one shard.
 SHARD_BYTES, SHARD_RUNS = 3_000_000, 5_000
+#: Window starts of a run that stay together; longer runs (of periodic texts) are cut.
+CUT = 1 << 14
+#: Distinct windows of split keys that one task of the merge holds.
+MERGE_ROWS = 1_000_000
 
 
 def _sliding(values: np.ndarray, wide: int, least: bool) -> np.ndarray:
@@ -278,11 +282,11 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found.to_batches()
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Texts with their candidate runs -> one row for each run with its bytes."""
     names = ["shard", "split", "node", "at", "bytes"]
     for batch in batches:
-        shard, split, node, at, out = [], [], [], [], []
+        shard, split, node, at, out, size = [], [], [], [], [], 0
         for text, own, runs in zip(batch.column("text"), batch.column("node").to_pylist(), batch.column("runs").to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes()
             for r in runs:
@@ -291,9 +295,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node.append(own)
                 at.append(r["at"])
                 out.append(raw[r["at"] : r["until"] - 1 + LENGTH])
-                if len(out) >= 5000:
+                size += len(out[-1])
+                if size >= most:
                     yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(split), pa.array(node, pa.binary()), pa.array(at, pa.int64()), pa.array(out, pa.binary())], names)
-                    shard, split, node, at, out = [], [], [], [], []
+                    shard, split, node, at, out, size = [], [], [], [], [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(split), pa.array(node, pa.binary()), pa.array(at, pa.int64()), pa.array(out, pa.binary())], names)
 
@@ -324,15 +329,17 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     A null text counts as empty. Rows with equal texts of LENGTH bytes or more
-    (repeated rows too) lose all bytes; shorter texts lose none. An empty table
-    gives no rows; other columns are ignored."""
+    (repeated rows and null ids too) lose all bytes; shorter texts lose none. A
+    very long text is dealt to shards in cuts. An empty table gives no rows;
+    other columns are ignored."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = dict(docs.dtypes)["doc_id"]
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select("doc_id", F.unhex(F.md5(text)).alias("node"), text.alias("text"))
     seen = stored(arrow(source, _scanned, f"doc_id {id_type}, node binary, n_bytes long, whole string, at array<int>, keys array<long>, twice array<boolean>"), "suffix-scan")
-    nodes = stored(seen.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "suffix-nodes")
+    rows = seen.groupBy("node", "doc_id").agg(F.count("*").alias("same"))
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.sum("same").alias("copies"), F.min_by("same", "doc_id").alias("same")), "suffix-nodes")
     first = seen.join(nodes.select("node", "rep"), (seen["node"] == nodes["node"]) & seen["doc_id"].eqNullSafe(nodes["rep"])).select(seen["node"], "rep", "n_bytes", "at", "keys", "twice")
     until = lambda x, i: F.coalesce(F.try_element_at("at", i + 2), (F.col("n_bytes") - LENGTH + 1).cast("int"))
     runs = F.transform(F.arrays_zip("at", "keys", "twice"), lambda x, i: F.struct(x["at"].alias("at"), until(x, i).alias("until"), x["keys"].alias("key"), x["twice"].alias("twice")))
@@ -345,17 +352,21 @@ def dedup(docs: DataFrame) -> DataFrame:
     shards = max(1, -(-total // SHARD_BYTES))
     parts = F.greatest(F.ceil(F.col("runs") / SHARD_RUNS), F.ceil(F.col("size") / (2 * SHARD_BYTES))).cast("int")
     dealt = salted(runs, shared.withColumn("parts", parts).drop("size", "runs"), ["key"], F.col("at"))
+    dealt = dealt.withColumn("at", F.explode(F.sequence("at", F.col("until") - 1, F.lit(CUT)))).withColumn("until", F.least(F.col("at") + CUT, F.col("until")))
     own = F.xxhash64("key", F.pmod(F.xxhash64("node", "at"), F.col("parts")))
     shard = F.when(F.col("parts") > 1, own.bitwiseOR(F.lit(1 << 62))).otherwise(F.pmod("key", F.lit(shards)))
     wanted = dealt.withColumn("shard", shard).groupBy("rep", "node").agg(F.collect_set(F.struct("at", "until", "shard", (F.col("parts") > 1).alias("split"))).alias("runs"))
     full = source.join(wanted, source["doc_id"].eqNullSafe(wanted["rep"]) & (source["node"] == wanted["node"])).select(source["node"], "text", "runs")
+    if nodes.where("same > 1 or same is null").limit(1).count():  # a row stands for its text, but it is repeated
+        full = full.dropDuplicates(["node"])
     texts = stored(full, "suffix-texts")
     cut = arrow(texts, _cut, "shard long, split boolean, node binary, at long, bytes binary").repartition(max(n, min(shards, 8 * n)), "shard").sortWithinPartitions("shard")
     found = stored(arrow(cut, _within, "node binary, start long, end long, h1 long, h2 long, shard long, alone boolean"), "suffix-found")
-    split = found.where("h1 is not null").repartition(n, "h1")
+    split = found.where("h1 is not null")
+    split = split.repartition(max(n, -(-split.count() // MERGE_ROWS)), "h1")
     spans = found.where("h1 is null").select("node", "start", "end").unionByName(arrow(split, _merged, "node binary, start long, end long"))
     spans = spans.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    left = arrow(texts.dropDuplicates(["node"]).join(spans, "node").select("node", "text", "spans"), _left_over, "node binary, n_removed long, n_spans long, kept string")
+    left = arrow(texts.join(spans, "node").select("node", "text", "spans"), _left_over, "node binary, n_removed long, n_spans long, kept string")
     facts = nodes.select("node", "copies").join(left, "node", "left")
     out = salted(seen.select("doc_id", "node", "n_bytes", "whole"), facts, ["node"], F.col("doc_id"))
     every = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
