@@ -358,8 +358,8 @@ def classes(docs: DataFrame) -> DataFrame:
     Equal texts are in one class; a null text counts as empty, and empty texts
     equal each other only. A text of fewer than five words is one shingle.
     Repeated rows get equal results; an empty table gives no rows; a null
-    doc_id takes part and is the smallest only in a class without other ids.
-    Other columns are ignored."""
+    doc_id takes part and is the smallest only in a class without other ids. A
+    very long text is one text like any other. Other columns are ignored."""
     signed, named = _classes(docs)
     return salted(signed, named.select("node", "class_id"), ["node"], F.col("doc_id")).select("doc_id", "class_id")
 
@@ -367,10 +367,13 @@ def classes(docs: DataFrame) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """The documents that stand for their class: one row for each class, that of
     the smallest doc_id and, where it is repeated or null, of the smallest text
-    hash; of rows equal in both any one."""
-    _, named = _classes(docs)
+    hash; of rows equal in both any one. The texts are shuffled once, and once
+    more only where rows are repeated. Null ids, empty and very long texts and
+    other columns are as in classes(); all columns stay."""
+    signed, named = _classes(docs)
     order = F.struct(F.col("rep").isNull(), "rep", "node")
     stay = named.groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.rep").alias("_rep"), F.col("first.node").alias("_node"))
     own = docs.withColumn("_own", node_of(F.col("text")))
     found = own.join(stay, own["doc_id"].eqNullSafe(stay["_rep"]) & (own["_own"] == stay["_node"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    repeated = signed.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return (found.dropDuplicates(["doc_id", "_own"]) if repeated else found).drop("_own")
