@@ -4,6 +4,7 @@ survive hot keys, and distributed row numbers."""
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,7 +23,8 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """mapInArrow with this package at hand, in batches of BATCH_ROWS rows at
-    most: texts are long, and both sides hold a batch as a whole."""
+    most: texts are long, and both sides hold a batch as a whole. Plans read this
+    setting when they run, so it stays lowered for the session."""
     spark = df.sparkSession
     ship(spark)
     if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
@@ -33,10 +35,12 @@ def arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the cluster names none (tests on one machine) a temporary
-    folder is set."""
+    Only a session on one machine that names none (tests) gets a temporary
+    folder; on a cluster that would be a folder of the driver alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="dutyflow-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
@@ -48,7 +52,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     It cuts the lineage like a checkpoint, but evaluates the plan only once,
     keeps columns prunable and outlives lost executors. Results may read these
-    tables, so they stay: one folder for each application."""
+    tables, so they stay: one folder for each application, to be removed by whoever
+    clears the checkpoint folder. It is a job that runs while the plan is made."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -77,7 +82,7 @@ def numbered(df: DataFrame, order: list[Column], name: str, column: str = "row")
 
     Rows are range-partitioned and sorted within partitions; the number is the
     place in the partition plus the rows of earlier partitions. Only one count
-    for each partition reaches the driver."""
+    for each partition reaches the driver; the jobs run while the plan is made."""
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)

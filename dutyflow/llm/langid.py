@@ -242,7 +242,8 @@ def _spans(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 
 
 def fit(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model:
-    """labelled: text and lang (non-null), with doc_id to choose the sample."""
+    """labelled: text and lang (non-null), with doc_id to choose the sample. The
+    jobs run at once; the model (MODEL_TERMS) is what reaches the driver."""
     found = counts(labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()), rows)
     return Model([(r["lang"], r["kind"], r["term"], r["n"], r["total"]) for r in found.select("lang", "kind", "term", "n", "total").collect()])
 
