@@ -289,3 +289,57 @@ def test_templates_poor_in_literals_match_verbatim():
     for item in ("What is 12 + 7 * 3?", "Is Anna taller than Bob?", "Add 1, 2, 3, 4, 5, 6, 7, 8 and 9."):
         assert set(leaked(item, f"Some say: {item} And so on.", "What is 11 + 6 * 4? Is Eve taller than Max?")) == {0}
     assert not leaked("Which number comes next here: 1 2 3 4 5 6 7 8", "We count 1 2 3 4 5 6 7 8 aloud")
+
+
+def test_templates_of_a_benchmark_with_boilerplate(monkeypatch):
+    prompt = "Read the following question with care and then choose the one best answer of all those given below."
+    rnd = random.Random(2)
+    items = [f"{prompt} " + " ".join(rnd.choice(["stone", "river", "cloud", "apple", "engine", "violin"]) + chr(97 + rnd.randint(0, 9)) for _ in range(14)) for _ in range(12)] + [prompt, f"{prompt} Why?"]
+    texts = [items[3], f"Some say {items[5]} or so.", f"{prompt} Nothing else of it.", " ".join(items[7].split()[18:]), None]
+    data, offs = K.buffers(pa.array(texts, pa.string()))
+    for hot in (64, 4):
+        monkeypatch.setattr(decontam, "HOT", hot)
+        block = decontam.Block(list(range(len(items))), items)
+        got = {d: {x[0] for x in found} for d, found in decontam._matches(block, decontam.Template(data, offs, block.units)).items()}
+        assert 3 in got[0] and 5 in got[1] and 12 in got[2] and 4 not in got
+        if hot == 4:  # the prompt alone is no item but that which is nothing else
+            assert got[2] == {12} and got[0] == {3, 12} and got.get(3, set()) <= {7}
+
+
+def brute_leak(item, text):
+    """Does the text hold the item's template at one place, token by token, with slots one to one?"""
+    data, offs = K.buffers(pa.array([item, text], pa.string()))
+    t = decontam.Template(data, offs, decontam._unit_hashes())
+    n, m = int(t.bounds[1]), int(t.bounds[2] - t.bounds[1])
+    for at in range(m - n + 1):
+        slots = set()
+        for p in range(n):
+            q = n + at + p
+            if t.kind[p] != t.kind[q] or (t.kind[p] == decontam.LITERAL and t.value[p] != t.value[q]):
+                break
+            if t.kind[p] != decontam.LITERAL:
+                slots.add((int(t.kind[p]), int(t.value[p]), int(t.value[q])))
+        else:
+            if len({x[:2] for x in slots}) == len(slots):
+                return True
+    return False
+
+
+def test_every_whole_copy_is_found():
+    rnd = random.Random(6)
+    words = "train leaves old station people later walk river bank cost bread basket today morning yellow".split()
+    for round_ in range(60):
+        slots = [rnd.randint(2, 99) for _ in range(4)]
+        parts = [str(rnd.choice(slots)) if rnd.random() < 0.25 else rnd.choice(words) for _ in range(rnd.randint(8, 30))]
+        item = "Then " + " ".join(parts) + " so what."
+        new = {str(s): str(100 + i * 7) for i, s in enumerate(dict.fromkeys(slots))}
+        equal = dict.fromkeys(map(str, slots), "500")
+        copies = [item, " ".join(new.get(w, w) for w in item.split()), " ".join(equal.get(w, w) for w in item.split())]
+        texts = ["Nothing of it stands here at all.", copies[0], f"{copies[0]} And more. {copies[1]}", f"Well. {copies[1]} And more. {copies[1]}", f"Well. {copies[2]}"]
+        found = set(leaked(item, *texts))
+        block = decontam.Block([7], [item])
+        rich = len(block.keys[8, False][0]) * 8 >= len(parts)  # enough windows rich in literals
+        for i, t in enumerate(texts):
+            if brute_leak(item, t) and (i < 3 or rich):
+                assert i in found, (round_, i, item)
+        assert 0 not in found
