@@ -11,6 +11,8 @@ MONTHS = {
     "januar": 1, "februar": 2, "märz": 3, "maerz": 3, "april": 4, "mai": 5, "juni": 6, "juli": 7,
     "august": 8, "september": 9, "oktober": 10, "november": 11, "dezember": 12,
 }
+# fixed values: short month names of German titles
+MONTHS_SHORT = ("Jan.", "Feb.", "März", "Apr.", "Mai", "Juni", "Juli", "Aug.", "Sept.", "Okt.", "Nov.", "Dez.")
 
 
 def ym(date: Column) -> Column:
@@ -36,6 +38,27 @@ def weekday_label(date: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in WEEKDAYS]), F.weekday(date) + 1)
 
 
+def german_date(date: Column) -> Column:
+    """'3.7.2026'."""
+    return F.date_format(date, "d.M.yyyy")
+
+
+def _of(names: list[str], date: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in names]), F.month(date))
+
+
+def month_title(date: Column) -> Column:
+    """'Juli 2026'."""
+    return F.concat_ws(" ", _of([k.capitalize() for k in MONTHS if k != "maerz"], date), F.year(date).cast("string"))
+
+
+def week_title(monday: Column) -> Column:
+    """'29. Juni – 5. Juli 2026': a week by its first and last day."""
+    last = F.date_add(monday, 6)
+    show = lambda d: F.concat(F.dayofmonth(d).cast("string"), F.lit(". "), _of(list(MONTHS_SHORT), d))
+    return F.concat(show(monday), F.lit(" – "), show(last), F.lit(" "), F.year(last).cast("string"))
+
+
 def month_number(name: Column) -> Column:
     """1..12 of a German month name or its first three letters; null if unknown."""
     low = F.lower(F.trim(name))

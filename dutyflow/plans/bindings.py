@@ -89,20 +89,6 @@ def reverse_code_also(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_brand").join(F.broadcast(spelled), F.upper("p_brand") == F.col("spelling")).groupBy("rule_code", "p_brand").agg(F.count("*").alias("n"))
 
 
-CHAIN_SQL = """
-WITH RECURSIVE links AS (SELECT o_orderkey AS id, o_orderkey + 1 AS next_id FROM orders WHERE o_orderkey % 7 <> 0),
-seeds AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 7 = 1),
-walk AS (SELECT id AS seed, id AS at_id, 0 AS hop FROM seeds
-         UNION ALL SELECT w.seed, l.next_id, w.hop + 1 FROM walk w JOIN links l ON l.id = w.at_id WHERE w.hop < 10)
-SELECT seed, CAST(max(at_id) AS BIGINT) AS chain_end, CAST(max(hop) AS INT) AS hops FROM walk GROUP BY seed"""
-
-
-@bound(CHAIN_SQL)
-def chain_join(spark, sf_dir):
-    table(spark, sf_dir, "orders").select("o_orderkey").createOrReplaceTempView("chain_orders")
-    return spark.sql(CHAIN_SQL.replace("FROM orders", "FROM chain_orders"))
-
-
 RULES = [(1, "full", "any", ["click", "purchase"], ["view"]), (2, "week", "weekday", ["click"], []), (3, "free", "weekend-or-holiday", ["view"], [])]
 
 
@@ -203,13 +189,6 @@ def mode_first_tie(spark, sf_dir):
     return sequences.mode_first(table(spark, sf_dir, "orders").withColumn("ym", dates.ym(F.col("o_orderdate"))), ["o_custkey"], "ym", "o_orderkey")
 
 
-@bound("SELECT DISTINCT strftime(ts, '%H:%M') || '-' || event_type AS missing FROM events WHERE event_type NOT IN ('click', 'view', 'purchase')")
-def missing_keys_distinct(spark, sf_dir):
-    rules = F.broadcast(spark.createDataFrame(CODES, "event_type string, code string, ok boolean"))
-    rows = table(spark, sf_dir, "events").join(rules, "event_type", "left_anti")
-    return rows.select(F.concat_ws("-", F.date_format("ts", "HH:mm"), "event_type").alias("missing")).distinct()
-
-
 SHIFT_SQL = """s AS (SELECT event_id, user_id, ts::DATE AS d, strftime(ts, '%H:%M') AS st, strftime(ts + to_minutes((event_id % 900)::INT), '%H:%M') AS en, event_type FROM events)"""
 
 

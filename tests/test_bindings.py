@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from dutyflow.plans import bindings
+from dutyflow.plans import bindings, operator_queries  # noqa: F401 - adds its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark conversations".split()
