@@ -90,6 +90,7 @@ def line_score(x: Column, weights: Sequence[tuple[str, int]]) -> Column:
     return F.aggregate(F.transform(F.split(x, "\n"), score), F.lit(0).cast("long"), lambda a, s: a + s)
 
 
+# fixed values: lines and words of lists and time sheets, and their weights
 LIST_LINES = ((r"^\s*\d{4}-\d{2}-\d{2}\s+[^\s,;]+", 2), (r"^\s*\d{2}\.\d{2}\.\d{4}\s+[^\s,;]+", 2))
 SHEET_LINES = ((r"^\s*\d{1,2}\b.*\d{1,2}:\d{2}\s*[-–]\s*\d{1,2}:\d{2}", 2), (r"(?i)^\s*(URLAUB|URLTV|KRANK|KR|KROAU|FEIER|FEIERTAG|FREI)\b", 1))
 SHEET_MARKS = ((r"(?iu)Abrechnungsmonat", 5), (r"(?iu)(?:Ü|Ue|U)bertrag", 2), (r"(?iu)Periode\s*\(", 2), (r"(?iu)Bereitschaft", 1))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import dates, numbers, text
 from .lookups import best_overlap, small, times_of_codes
+from .marts import slot_fits
 from .sequences import fill_between, gap_clusters, interpolate, keep_first, midpoint_bands, vacation_runs
 
 PAGE = "page_id"
@@ -38,10 +39,15 @@ def is_cell(t: Column) -> Column:
 
 
 def focus(tokens: DataFrame, margin: float = 4.0) -> DataFrame:
-    """Tokens inside the box around day headers and cells of each page."""
-    inner = tokens.where(is_cell(F.trim("text")) | text.day_header(F.col("text"))["day"].isNotNull() | text.plausible_person(F.col("text")))
-    box = inner.groupBy(PAGE).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max(F.col("x") + F.col("w")).alias("_x1"), F.max(F.col("y") + F.col("h")).alias("_y1"))
-    return tokens.join(box, PAGE).where((center("x") >= F.col("_x0") - margin) & (center("x") <= F.col("_x1") + margin) & (center("y") >= F.col("_y0") - margin) & (center("y") <= F.col("_y1") + margin)).drop("_x0", "_y0", "_x1", "_y1")
+    """Tokens inside the box around day headers, names and cells of each page."""
+    inner = is_cell(F.trim("text")) | text.day_header(F.col("text"))["day"].isNotNull() | text.plausible_person(F.col("text"))
+    page = Window.partitionBy(PAGE)
+    side = lambda f, v: f(F.when(F.col("_inner"), v)).over(page)
+    rows = tokens.withColumn("_inner", inner).withColumns({
+        "_x0": side(F.min, F.col("x")), "_y0": side(F.min, F.col("y")), "_x1": side(F.max, F.col("x") + F.col("w")), "_y1": side(F.max, F.col("y") + F.col("h")),
+    })
+    inside = center("x").between(F.col("_x0") - margin, F.col("_x1") + margin) & center("y").between(F.col("_y0") - margin, F.col("_y1") + margin)
+    return rows.where(inside).select(*tokens.columns)
 
 
 def headers(tokens: DataFrame) -> DataFrame:
@@ -49,22 +55,25 @@ def headers(tokens: DataFrame) -> DataFrame:
     densest header line; the first of tokens that name one day; days in rising order from left to right."""
     parsed = text.day_header(F.trim("text"))
     bare = F.when(is_day_number(F.trim("text")), F.regexp_replace(F.trim("text"), r"\D", "").cast("int"))
+    page = Window.partitionBy(PAGE)
     rows = tokens.select(PAGE, F.coalesce(parsed["day"], bare).alias("day"), parsed["weekday"].alias("weekday"), center("x").alias("xc"), center("y").alias("yc"), "h").where("day IS NOT NULL")
-    tall = rows.groupBy(PAGE).agg(F.median("h").alias("_h"))
-    rows = gap_clusters(rows.join(tall, PAGE), [PAGE], "yc", F.col("_h") * 0.8, "band", tie=["xc"])
-    best = keep_first(rows.groupBy(PAGE, "band").agg(F.count_distinct("day").alias("n"), F.min("yc").alias("y")), [PAGE], [F.desc("n"), "y"]).select(PAGE, "band")
-    rows = keep_first(rows.join(best, [PAGE, "band"], "left_semi"), [PAGE, "day"], ["xc"])
-    highest = F.max("day").over(Window.partitionBy(PAGE).orderBy("xc").rowsBetween(Window.unboundedPreceding, -1))
+    rows = gap_clusters(rows.withColumn("_h", F.median("h").over(page)), [PAGE], "yc", F.col("_h") * 0.8, "band", tie=["xc"])
+    band = Window.partitionBy(PAGE, "band")
+    rows = rows.withColumn("_n", F.size(F.collect_set("day").over(band))).withColumn("_y", F.min("yc").over(band))
+    rows = rows.withColumn("_best", F.first("band").over(page.orderBy(F.desc("_n"), "_y"))).where("band = _best")
+    rows = keep_first(rows, [PAGE, "day"], ["xc"])
+    highest = F.max("day").over(page.orderBy("xc").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_high", highest).where("_high IS NULL OR day > _high")
-    return rows.withColumn("day_idx", (F.row_number().over(Window.partitionBy(PAGE).orderBy("xc")) - 1).cast("int")).select(PAGE, "day_idx", "day", "weekday", F.col("xc").alias("x_center"), F.col("yc").alias("y_center"))
+    return rows.withColumn("day_idx", (F.row_number().over(page.orderBy("xc")) - 1).cast("int")).select(PAGE, "day_idx", "day", "weekday", F.col("xc").alias("x_center"), F.col("yc").alias("y_center"))
 
 
 def complete_headers(found: DataFrame, month_days: Column | None = None) -> DataFrame:
     """All days from the first to the last found (or of the month), missing centres interpolated between neighbours."""
-    span = found.groupBy(PAGE).agg(F.min("day").alias("a"), F.max("day").alias("b"), F.avg("y_center").alias("y_center"))
+    known = F.map_from_entries(F.collect_list(F.struct("day", F.struct("weekday", "x_center"))))
+    pages = found.groupBy(PAGE).agg(F.min("day").alias("a"), F.max("day").alias("b"), F.avg("y_center").alias("y_center"), known.alias("_known"))
     last = F.col("b") if month_days is None else F.least(F.greatest(F.col("b"), month_days), F.lit(31))
-    days = span.select(PAGE, "y_center", F.explode(F.sequence("a", last)).alias("day"))
-    rows = days.join(found.select(PAGE, "day", "weekday", "x_center"), [PAGE, "day"], "left")
+    rows = pages.select(PAGE, "y_center", "_known", F.explode(F.sequence("a", last)).alias("day")).withColumn("_k", F.try_element_at("_known", F.col("day")))
+    rows = rows.select(PAGE, "y_center", "day", F.col("_k.weekday").alias("weekday"), F.col("_k.x_center").alias("x_center"))
     rows = interpolate(rows, [PAGE], "day", "x_center", "x_center").where("x_center IS NOT NULL")
     return rows.withColumn("day_idx", (F.row_number().over(Window.partitionBy(PAGE).orderBy("day")) - 1).cast("int"))
 
@@ -74,19 +83,20 @@ def columns(found: DataFrame) -> DataFrame:
     return midpoint_bands(found, [PAGE], "x_center", "x0", "x1").select(PAGE, "day_idx", "day", "x0", "x1")
 
 
-def skew(tokens: DataFrame, found: DataFrame) -> DataFrame:
+def skew(found: DataFrame) -> DataFrame:
     """(page_id, slope, x_ref): least squares through the header tokens, refitted without those more than two residual deviations off."""
-    fit = found.groupBy(PAGE).agg(F.regr_slope("y_center", "x_center").alias("s"), F.regr_intercept("y_center", "x_center").alias("i"))
-    rows = found.join(fit, PAGE).withColumn("r", F.abs(F.col("y_center") - F.col("i") - F.col("s") * F.col("x_center")))
-    rows = rows.withColumn("d", F.stddev_pop("r").over(Window.partitionBy(PAGE))).withColumn("m", F.avg("r").over(Window.partitionBy(PAGE)))
+    page = Window.partitionBy(PAGE)
+    fit = found.withColumn("_s", F.regr_slope("y_center", "x_center").over(page)).withColumn("_i", F.regr_intercept("y_center", "x_center").over(page))
+    rows = fit.withColumn("r", F.abs(F.col("y_center") - F.col("_i") - F.col("_s") * F.col("x_center")))
+    rows = rows.withColumn("d", F.stddev_pop("r").over(page)).withColumn("m", F.avg("r").over(page))
     kept = rows.where(F.col("r") <= F.col("m") + 2 * F.col("d") + 1e-9)
-    out = kept.groupBy(PAGE).agg(F.coalesce(F.regr_slope("y_center", "x_center"), F.lit(0.0)).alias("slope"), F.min("x_center").alias("x_ref"))
-    return tokens.select(PAGE).distinct().join(out, PAGE, "left").na.fill(0.0, ["slope", "x_ref"])
+    return kept.groupBy(PAGE).agg(F.coalesce(F.regr_slope("y_center", "x_center"), F.lit(0.0)).alias("slope"), F.min("x_center").alias("x_ref"))
 
 
 def level(tokens: DataFrame, slopes: DataFrame) -> DataFrame:
-    """Adds ``yl``: the vertical centre with the skew taken out."""
-    return tokens.join(slopes, PAGE).withColumn("yl", center("y") - F.col("slope") * (center("x") - F.col("x_ref"))).drop("slope", "x_ref")
+    """Adds ``yl``: the vertical centre with the skew taken out; pages without a slope are level."""
+    slope, ref = F.coalesce("slope", F.lit(0.0)), F.coalesce("x_ref", F.lit(0.0))
+    return tokens.join(slopes, PAGE, "left").withColumn("yl", center("y") - slope * (center("x") - ref)).drop("slope", "x_ref")
 
 
 def divider(found: DataFrame, names: DataFrame) -> DataFrame:
@@ -99,8 +109,7 @@ def divider(found: DataFrame, names: DataFrame) -> DataFrame:
 def people(tokens: DataFrame, borders: DataFrame) -> DataFrame:
     """(page_id, row_idx, person, y_center): name tokens left of the divider, joined on one line, top to bottom. tokens: with yl."""
     rows = tokens.join(borders, PAGE).where((center("x") < F.col("x_div")) & F.col("text").rlike("[A-Za-zÄÖÜäöü]{2,}"))
-    tall = rows.groupBy(PAGE).agg(F.median("h").alias("_h"))
-    rows = gap_clusters(rows.join(tall, PAGE), [PAGE], "yl", F.col("_h") * 0.6, "row", tie=["x"])
+    rows = gap_clusters(rows.withColumn("_h", F.median("h").over(Window.partitionBy(PAGE))), [PAGE], "yl", F.col("_h") * 0.6, "row", tie=["x"])
     label = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda t: t["text"]), " ")
     named = rows.groupBy(PAGE, "row").agg(label.alias("person"), F.avg("yl").alias("y_center")).where(text.plausible_person(F.col("person")))
     return named.withColumn("row_idx", (F.row_number().over(Window.partitionBy(PAGE).orderBy("y_center")) - 1).cast("int")).select(PAGE, "row_idx", "person", "y_center")
@@ -130,14 +139,16 @@ def build(tokens: DataFrame) -> DataFrame:
     """The grid of each page: page_id, row_idx, person, day_idx, day, cell.
 
     Tokens meet the columns by largest overlap and the people by level band;
-    a page has a few dozen of each, so joins on the page stay small."""
-    inner = focus(tokens)
-    found = headers(inner)
+    a page has a few dozen of each, so joins on the page stay small. What
+    several steps read (tokens in focus, headers, level tokens) is persisted, so
+    it is planned and computed once; ``spark.catalog.clearCache()`` frees it."""
+    inner = focus(tokens).persist()
+    found = headers(inner).persist()
     cols = columns(complete_headers(found))
-    flat = level(inner, skew(inner, found))
+    flat = level(inner, skew(found)).persist()
     named = flat.where(text.plausible_person(F.col("text")))
     borders = divider(found, named)
-    rows = bands(people(flat, borders))
+    rows = bands(people(flat, borders)).persist()
     top = found.groupBy(PAGE).agg(F.max("y_center").alias("_top"))
     cells = flat.join(borders, PAGE).join(top, PAGE).where((center("x") >= F.col("x_div")) & (center("y") > F.col("_top")) & is_cell(F.trim("text"))).drop("x_div", "_top")
     placed = best_overlap(cells, cols, PAGE, "token_id")
@@ -203,14 +214,10 @@ def to_shifts(cells: DataFrame, codes: DataFrame, ym: Column, slots: DataFrame |
     rows = rows.select(PAGE, "date", F.posexplode(text.duty_cell(F.col("cell"))).alias("src_seq", "d")).select(PAGE, "date", F.col("src_seq").cast("long"), F.col("d.short").alias("type"), F.col("d.start").alias("_s"), F.col("d.end").alias("_e"))
     rows = times_of_codes(rows, codes, "type")
     if slots is not None:
-        from .marts import slot_by_when
-
-        days = rows.select("date").distinct()
-        per = None
-        for code in [r[0] for r in slots.select("code").distinct().collect()]:
-            one = slot_by_when(days, slots.where(F.col("code") == code).drop("code"), "date").select("date", F.lit(code).alias("type"), F.col("start").alias("_ss"), F.col("end").alias("_se"))
-            per = one if per is None else per.unionByName(one)
-        rows = rows.join(small(per), ["date", "type"], "left")
+        days = rows.select("date", "type").distinct().join(small(slots.select("code", F.struct("ord", "when", "start", "end").alias("_slot"))), F.col("type") == F.col("code"))
+        fits, general = slot_fits(F.col("_slot.when"), F.col("date")), (F.col("_slot.when") == "any").cast("int")
+        per = days.where(fits).groupBy("date", "type").agg(F.min_by("_slot", F.struct(general.alias("r"), F.col("_slot.ord").alias("o"))).alias("_slot"))
+        rows = rows.join(per.select("date", "type", F.col("_slot.start").alias("_ss"), F.col("_slot.end").alias("_se")), ["date", "type"], "left")
     else:
         rows = rows.withColumn("_ss", F.lit(None).cast("string")).withColumn("_se", F.lit(None).cast("string"))
     start, end = F.coalesce("_s", "_ss", "rule_start"), F.coalesce("_e", "_se", "rule_end")

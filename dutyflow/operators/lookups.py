@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,42 +100,59 @@ def chain_main_and_oncall(shifts: DataFrame, hops: int = 10) -> DataFrame:
     shifts: doc_id, seq, on_call, date, start, end. Main rows take on-call rows
     in order, each row once, at most ``hops``; a chain that ends at 00:00 goes
     on at 00:00 of the next day. Adds chain_seq (seq of the main row that took
-    the row, else null) and chain_end. Order decides, so one document is one
-    group; documents are small and independent."""
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq").reset_index(drop=True)
-        free = {}
-        for i, r in pdf[pdf.on_call].iterrows():
-            free.setdefault((r["date"], r["start"]), []).append(i)
-        owner: list[int | None] = [None] * len(pdf)
-        ends: list[str | None] = [None] * len(pdf)
-        for i, r in pdf[~pdf.on_call & ~pdf.all_day].iterrows():
-            day, end, members = r["date"], r["end"], []
+    the row, else null) and chain_end. Order decides, so the rows of a document
+    come sorted to one task; documents are small and independent."""
+
+    one_day = timedelta(days=1)
+
+    def chain(rows: list) -> list[tuple]:
+        free: dict[tuple, list[int]] = {}
+        for i, r in enumerate(rows):
+            if r.on_call:
+                free.setdefault((r.date, r.start), []).append(i)
+        owner: list[int | None] = [None] * len(rows)
+        ends: list[str | None] = [None] * len(rows)
+        for i, r in enumerate(rows):
+            if r.on_call or r.all_day:
+                continue
+            day, end, members = r.date, r.end, []
             for _ in range(hops):
                 same = free.get((day, end)) or []
-                over = (free.get((day + pd.Timedelta(days=1).to_pytimedelta(), "00:00")) or []) if end == "00:00" else []
+                over = (free.get((day + one_day, "00:00")) or []) if end == "00:00" else []
                 nxt = min([x[0] for x in (same, over) if x], default=None)
                 if nxt is None:
                     break
-                if not same or same[0] != nxt:
-                    day = day + pd.Timedelta(days=1).to_pytimedelta()
-                    over.pop(0)
-                else:
+                if same and same[0] == nxt:
                     same.pop(0)
+                else:
+                    day += one_day
+                    over.pop(0)
                 members.append(nxt)
-                end = pdf.at[nxt, "end"]
+                end = rows[nxt].end
             if members:
                 for j in [i, *members]:
-                    owner[j], ends[j] = int(r["seq"]), end
-        pdf["chain_seq"] = pd.array(owner, dtype="Int64")
-        pdf["chain_end"] = ends
-        return pdf[["doc_id", "seq", "chain_seq", "chain_end"]]
-
-    ship(shifts.sparkSession)
+                    owner[j], ends[j] = int(r.seq), end
+        return [(r.doc_id, r.seq, o, e) for r, o, e in zip(rows, owner, ends, strict=True)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        show = lambda out: pd.DataFrame(out, columns=["doc_id", "seq", "chain_seq", "chain_end"]).astype({"chain_seq": "Int64"})
+        open_: list = []
+        for part in parts:
+            out = []
+            for r in part.itertuples(index=False):
+                if open_ and open_[0].doc_id != r.doc_id:
+                    out += chain(open_)
+                    open_ = []
+                open_.append(r)
+            yield show(out)
+        yield show(chain(open_))
+
+    spark = shifts.sparkSession
+    ship(spark)
     kinds = dict(shifts.dtypes)
     rows = shifts.select("doc_id", "seq", "on_call", F.coalesce("all_day", F.lit(False)).alias("all_day"), "date", "start", "end")
-    taken = rows.groupBy("doc_id").applyInPandas(chain, f"doc_id {kinds['doc_id']}, seq {kinds['seq']}, chain_seq long, chain_end string")
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "seq")
+    taken = dealt.mapInPandas(run, f"doc_id {kinds['doc_id']}, seq {kinds['seq']}, chain_seq long, chain_end string")
     return shifts.join(taken, ["doc_id", "seq"])
 
 
@@ -181,7 +199,7 @@ def range_join(points: DataFrame, bands: DataFrame, value: str, low: str, high:
     """Points in half-open bands [low, high): an equi-join on buckets of ``width`` (a band is repeated in the buckets that it covers), then the exact test."""
     bucket = lambda c: F.floor(c / F.lit(float(width))).cast("long")
     p = points.withColumn("_b", bucket(F.col(value)))
-    b = bands.where(F.col(high) > F.col(low)).withColumn("_b", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
+    b = small(bands.where(F.col(high) > F.col(low))).withColumn("_b", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
     other = b.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "_b")], *[c for c in bands.columns if c not in keys])
     on = (p["_b"] == other["__b"]) & (p[value] >= other[low]) & (p[value] < other[high])
     for k in keys:
@@ -198,9 +216,10 @@ def best_overlap(tokens: DataFrame, columns: DataFrame, page: str, token: str, s
     c = columns.select(page, "day_idx", F.col("x0").alias("_x0"), F.col("x1").alias("_x1"))
     over = F.least(F.col("x") + F.col("w"), F.col("_x1") + slack) - F.greatest(F.col("x"), F.col("_x0") - slack)
     far = F.abs(F.col("x") + F.col("w") / 2 - (F.col("_x0") + F.col("_x1")) / 2)
-    rows = tokens.join(c, page).withColumn("_o", F.greatest(over, F.lit(0.0))).withColumn("_f", -far)
-    best = rows.groupBy(page, token).agg(F.max_by("day_idx", F.struct("_o", F.when(F.col("_o") > 0, F.lit(0.0)).otherwise(F.col("_f")).alias("_f"), "day_idx")).alias("day_idx"))
-    return tokens.join(best, [page, token], "left")
+    rows = tokens.join(c, page, "left").withColumn("_o", F.greatest(over, F.lit(0.0))).withColumn("_f", -far)
+    rank = F.struct("_o", F.when(F.col("_o") > 0, F.lit(0.0)).otherwise(F.col("_f")).alias("_f"), "day_idx")
+    own = [F.any_value(k).alias(k) for k in tokens.columns if k not in (page, token)]
+    return rows.groupBy(page, token).agg(*own, F.max_by("day_idx", rank).alias("day_idx"))
 
 
 def layered(rows: DataFrame, layers: Sequence[DataFrame], keys: Sequence[Sequence[str]], values: Sequence[str]) -> DataFrame:

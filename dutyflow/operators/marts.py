@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -48,16 +48,21 @@ def entries_by_date(shifts: DataFrame, order: str) -> DataFrame:
     return shifts.groupBy("date").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "type", "start", "end"))), lambda x: x.dropFields(order)).alias("entries"))
 
 
+def slot_fits(when: Column, day: Column) -> Column:
+    """Does a slot for a kind of day ('any', 'weekday', 'weekend', 'friday', 'mon-thu') apply on the day?"""
+    d = F.weekday(day)
+    kinds = {"any": F.lit(True), "weekend": d >= 5, "weekday": d < 5, "friday": d == 4, "mon-thu": d < 4}
+    out = F.lit(False)
+    for kind, fits in kinds.items():
+        out = F.when(when == kind, fits).otherwise(out)
+    return out
+
+
 def slot_by_when(days: DataFrame, slots: DataFrame, day: str) -> DataFrame:
     """Time of a duty column on each day: a slot for the day's kind beats 'any', then slot order.
 
-    slots: ord, when ('any', 'weekday', 'weekend', 'friday', 'mon-thu'), start, end."""
-    d = F.weekday(F.col(day))
-    fits = (
-        (F.col("when") == "any") | ((F.col("when") == "weekend") & (d >= 5)) | ((F.col("when") == "weekday") & (d < 5))
-        | ((F.col("when") == "friday") & (d == 4)) | ((F.col("when") == "mon-thu") & (d < 4))
-    )
-    rows = days.join(F.broadcast(slots), fits, "left")
+    slots: ord, when, start, end, as slot_fits() knows them."""
+    rows = days.join(F.broadcast(slots), slot_fits(F.col("when"), F.col(day)), "left")
     rank = F.struct((F.col("when") == "any").cast("int").alias("r"), "ord")
     return rows.groupBy(*days.columns).agg(F.min_by(F.struct("start", "end"), rank).alias("s")).select(*days.columns, "s.start", "s.end")
 

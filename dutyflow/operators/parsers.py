@@ -18,6 +18,7 @@ from ..sources.readers import lines_of
 from . import classify
 from .sequences import carry_forward, keep_first, mode_first, section_flag, segments
 
+# fixed values: lines of the formats that are read
 ISO_LINE = r"^(\d{4}-\d{2}-\d{2})\s+([^\s,;]+)(?:\s+(\d{1,2}:\d{2})\s*[-–]\s*(\d{1,2}:\d{2}))?"
 GERMAN_LINE = r"^(\d{2})\.(\d{2})\.(\d{4})\s+([^\s,;]+)(?:\s+(\d{1,2}:\d{2})\s*[-–]\s*(\d{1,2}:\d{2}))?"
 DAY_LINE = r"^(\d{1,2})\s+(\S+)\s+(\d{1,2}:\d{2})\s*[-–]\s*(\d{1,2}:\d{2})"
@@ -72,13 +73,12 @@ def sheet_shifts(docs: DataFrame) -> DataFrame:
 def auto_shifts(docs: DataFrame) -> DataFrame:
     """Each document by the layout that fits: time sheet if it scores 5 or more and above the list, else the list, else the time sheet from 3."""
     x = F.coalesce("content", F.lit(""))
-    scored = docs.select(KEY, "content", classify.list_score(x).alias("_list"), classify.sheet_score(x).alias("_sheet"))
-    lists, sheets = list_shifts(docs), sheet_shifts(docs)
-    has = lambda rows, name: rows.groupBy(KEY).agg(F.lit(True).alias(name))
-    pick = scored.drop("content").join(has(lists, "_has_list"), KEY, "left").join(has(sheets, "_has_sheet"), KEY, "left")
-    sheet = F.coalesce("_has_sheet", F.lit(False)) & (((F.col("_sheet") >= 5) & (F.col("_sheet") > F.col("_list"))) | (F.col("_has_list").isNull() & (F.col("_sheet") >= 3)))
-    choice = pick.select(KEY, sheet.alias("_take_sheet"))
-    return lists.join(choice.where("NOT _take_sheet").select(KEY), KEY, "left_semi").unionByName(sheets.join(choice.where("_take_sheet").select(KEY), KEY, "left_semi"))
+    scored = docs.select(KEY, classify.list_score(x).alias("_list"), classify.sheet_score(x).alias("_sheet"))
+    rows = list_shifts(docs).unionByName(sheet_shifts(docs)).join(scored, KEY)
+    own = Window.partitionBy(KEY)
+    has = lambda work: F.max((F.col("is_work") == work).cast("int")).over(own) == 1
+    sheet = has(True) & (((F.col("_sheet") >= 5) & (F.col("_sheet") > F.col("_list"))) | (~has(False) & (F.col("_sheet") >= 3)))
+    return rows.withColumn("_take_sheet", sheet).where(F.col("is_work") == F.col("_take_sheet")).drop("_take_sheet", "_list", "_sheet")
 
 
 def month_of(shifts: DataFrame) -> DataFrame:
@@ -177,6 +177,7 @@ def protocol(docs: DataFrame, rules: ProtocolRules) -> tuple[DataFrame, DataFram
     return shifts, summary.where(useful).withColumnRenamed("ctx", "ym").drop("block")
 
 
+# fixed values: a wage type line: type, an optional mark, the rest; quantities and sums in it
 LA_LINE = r"^([0-9A-Z]{2,3})\s+(?:\(JLL\)\s+)?(.+)$"
 QUANTITY = r"(?i)(\d+,\d{2})\s*(Std\.?|Tage)(?![A-Za-z0-9_])"
 MONEY = r"-?\d{1,3}(?:\.\d{3})*,\d{2}"

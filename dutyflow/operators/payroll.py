@@ -15,7 +15,7 @@ from .sequences import keep_first
 PHYSICIANS, NURSES = "avr-aerzte", "avr-c-pflege"
 #: Information codes that are no pay lines.
 INFO = ("BRG", "GSN", "AZB", "SZF")
-#: Full shift allowance of physicians, and hourly divisor and full week if a profile names none.
+# fixed values: full shift allowance of physicians, and hourly divisor and full week if a profile names none.
 SHIFT_ALLOWANCE, VL, DIVISOR, FULL_WEEK = 315.0, 6.65, 173.92, 38.5
 LEAVE = r"URLAUB|URLTV|U\b|KRANK|KROAU"
 VACATION = r"URLAUB|URLTV|^U$"
@@ -57,6 +57,7 @@ def merged_tariff(defaults: Tariff, saved: Tariff, slip: Tariff) -> Tariff:
     return Tariff(**{f: pick(f) for f in Tariff.__dataclass_fields__})
 
 
+# the duty rules below are fixed values of the tariff: which duty a day's calendar makes of a code, and its hours
 def code_family(code: Column) -> Column:
     """'ITS' or 'OP' of a physician's duty code; other codes stay."""
     c = F.upper(code)

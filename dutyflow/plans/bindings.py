@@ -140,12 +140,6 @@ def held_anti_join(spark, sf_dir):
     return merge.not_held(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1996).select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@bound("SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2")
-def semi_known_codes(spark, sf_dir):
-    known = F.broadcast(spark.createDataFrame([("A",), ("R",), ("X",)], "l_returnflag string"))
-    return table(spark, sf_dir, "lineitem").join(known, "l_returnflag", "left_semi").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
-
-
 @bound("""
 WITH s AS (SELECT s_suppkey, s_name, regexp_extract(s_name, '(\\d+)$', 1)::INT % 100 AS b FROM supplier),
 c AS (SELECT c_custkey, c_name, regexp_extract(c_name, '(\\d+)$', 1)::INT % 100 AS b FROM customer),
