@@ -29,6 +29,8 @@ NEAR, SHORTEST_TERM = 6, 4
 DISCLOSURE, BITS = 0.5, 5.0
 #: So many revealing terms (8 bytes each) are broadcast; more are joined with salt.
 BROADCAST_TERMS = 1_000_000
+#: Counts that a task holds before it sums them up or passes them on.
+TASK_TERMS = 2_000_000
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match can only begin where a run of digits does, so the look-behind changes no result but keeps long runs linear
@@ -135,7 +137,14 @@ def _terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _counted(batches: Iterator[pa.RecordBatch], wanted: bloom.Bloom) -> Iterator[pa.RecordBatch]:
-    """(t, n): documents of a piece of text that hold each term of the filter."""
+    """(t, n): documents that hold each term of the filter, summed up within the
+    task as long as TASK_TERMS terms are not passed."""
+    terms, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        t, at = np.unique(np.concatenate(terms), return_inverse=True)
+        return t, np.bincount(at, np.concatenate(counts), len(t)).astype(np.int64)
+
     for batch in batches:
         data, offs = K.buffers(batch.column("text"))
         for _, _, piece, at in K.pieces(data, offs):
@@ -144,7 +153,16 @@ def _counted(batches: Iterator[pa.RecordBatch], wanted: bloom.Bloom) -> Iterator
             doc = np.searchsorted(bounds, hit, "right") - 1
             _, once = np.unique(K.mixed(value[hit].view(K.U) + K.mixed(doc.astype(K.U))), return_index=True)
             t, n = np.unique(value[hit][once], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n.astype(np.int64))], ["t", "n"])
+            terms.append(t)
+            counts.append(n.astype(np.int64))
+        if sum(map(len, terms)) > TASK_TERMS:
+            t, n = summed()
+            if 2 * len(t) > TASK_TERMS:
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n)], ["t", "n"])
+                t, n = t[:0], n[:0]
+            terms, counts = [t], [n]
+    t, n = summed()
+    yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n)], ["t", "n"])
 
 
 def _placed(batches: Iterator[pa.RecordBatch], wanted: bloom.Bloom) -> Iterator[pa.RecordBatch]:
