@@ -31,7 +31,7 @@ from .common import arrow, salted, stored
 
 LENGTH, MARK = 400, 128
 #: Bytes of runs for one shard, and runs of one key that go to one shard.
-SHARD_BYTES, SHARD_RUNS = 3_000_000, 5_000
+SHARD_BYTES, SHARD_RUNS = 2_000_000, 5_000
 #: Window starts of a run that stay together; longer runs (of periodic texts) are cut.
 CUT = 1 << 14
 #: Distinct windows of split keys that one task of the merge holds.
@@ -282,7 +282,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found.to_batches()
 
 
-def _cut(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Texts with their candidate runs -> one row for each run with its bytes."""
     names = ["shard", "split", "node", "at", "bytes"]
     for batch in batches:
