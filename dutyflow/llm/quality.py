@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -91,34 +92,85 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "host", "_row", *COUNTS, "lines", "line_words"]
     for batch in batches:
+        keys = [c for c in batch.schema.names if c != "text"]
         data, offs = K.buffers(batch.column("text"))
         for lo, hi, piece, at in K.pieces(data, offs):
             counts, bounds, lines, words = facts(piece, at)
-            own = [batch.column(c).slice(lo, hi - lo) for c in names[:3]]
+            own = [batch.column(c).slice(lo, hi - lo) for c in keys]
             ends = pa.array(bounds.astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (lines, words)]
-            yield pa.RecordBatch.from_arrays([*own, *[pa.array(counts[c].astype(np.int64)) for c in COUNTS], *lists], names)
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(counts[c].astype(np.int64)) for c in COUNTS], *lists], [*keys, *COUNTS, "lines", "line_words"])
 
 
-def rules(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, the five counts, base_failed, n_boilerplate_words and kept of every row.
-
-    A null or empty text has no words, so it fails; a null host is a host of
-    its own; each row is a document, also if rows repeat; an empty table gives
-    no rows; other columns are ignored."""
-    kind = dict(docs.dtypes)
-    source = docs.select("doc_id", F.col(host).alias("host"), F.monotonically_increasing_id().alias("_row"), "text")
-    schema = f"doc_id {kind['doc_id']}, host {kind[host]}, _row long, " + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<long>, line_words array<long>"
+def _measured(docs: DataFrame, host: str, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """Counts of every row (doc_id, host, _row, more), and its lines over the host's limit (_row, line, words)."""
+    source = docs.select("doc_id", F.col(host).alias("host"), F.monotonically_increasing_id().alias("_row"), *more, "text")
+    keys = [f"{c} {t}" for c, t in source.dtypes if c != "text"]
+    schema = ", ".join([*keys, *[f"{c} long" for c in COUNTS], "lines array<long>", "line_words array<long>"])
     seen = stored(arrow(source, _scanned, schema), "quality")
     limits = seen.groupBy("host").agg(F.greatest(F.lit(float(LEAST_DOCUMENTS)), F.count("*") * F.lit(SHARE)).alias("limit"))
     each = seen.select("_row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("_row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     often = each.groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > LEAST_DOCUMENTS)
     often = same_keys(often, limits, ["host"]).where(F.col("documents") > F.col("limit")).select("host", "line")
-    gone = salted(each, often, ["host", "line"], F.col("_row")).groupBy("_row").agg(F.sum("words").alias("gone"))
-    out = seen.drop("lines", "line_words").join(gone, "_row", "left").withColumn("n_boilerplate_words", F.coalesce("gone", F.lit(0)))
+    return seen.drop("lines", "line_words"), salted(each, often, ["host", "line"], F.col("_row"))
+
+
+def _judged(seen: DataFrame, gone: DataFrame) -> DataFrame:
+    """Adds base_failed, n_boilerplate_words and kept; gone: _row, gone (words)."""
+    out = seen.join(gone, "_row", "left").withColumn("n_boilerplate_words", F.coalesce("gone", F.lit(0)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_boilerplate_words")
     depleted = (F.col("n_boilerplate_words") > 0) & ((left < LEFT_WORDS) | (left < F.col("n_words") * F.lit(LEFT_SHARE)))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).select("doc_id", *COUNTS, "base_failed", "n_boilerplate_words", "kept")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+
+
+def rules(docs: DataFrame, host: str = "source") -> DataFrame:
+    """doc_id, the five counts, base_failed, n_boilerplate_words and kept of every row.
+
+    A null or empty text has no words, so it fails; a null host is a host of
+    its own; each row is a document, also if rows repeat; an empty table gives
+    no rows; other columns are ignored."""
+    seen, hits = _measured(docs, host)
+    out = _judged(seen, hits.groupBy("_row").agg(F.sum("words").alias("gone")))
+    return out.select("doc_id", *COUNTS, "base_failed", "n_boilerplate_words", "kept")
+
+
+def without_lines(texts: pa.Array, gone: list[list[int] | None]) -> pa.Array:
+    """The texts without those of their lines whose normalised hashes are in ``gone``."""
+    rows = np.array([i for i, g in enumerate(gone) if g], np.int64)
+    lines = pc.split_pattern(texts.take(pa.array(rows)), "\n")
+    flat, bounds = lines.flatten(), np.r_[0, np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False))]
+    key, full = np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
+    data, offs = K.buffers(flat)
+    for lo, hi, piece, at in K.pieces(data, offs):
+        _, first, hashes, _ = facts(piece, at)
+        own = np.flatnonzero(np.diff(first))
+        key[lo + own], full[lo + own] = hashes[first[own]], True
+    out = texts.to_pylist()
+    for i, a, b in zip(rows, bounds[:-1], bounds[1:], strict=True):
+        stay = ~(full[a:b] & np.isin(key[a:b], gone[i]))
+        out[i] = "\n".join(flat.slice(a, b - a).filter(pa.array(stay)).to_pylist())
+    return pa.array(out, texts.type)
+
+
+def cleaned(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The documents that rules() keeps, with all their columns, in whose texts
+    the lines over their host's limit are removed; all other lines stay as they are.
+
+    Verdicts are looked up by host and text, so rows that are equal in both fare
+    alike. Null and empty texts, null hosts, repeated rows and an empty table are as in rules()."""
+    name = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("n"))
+    mark = F.unhex(F.md5(F.concat(name, F.lit("\n"), F.coalesce("text", F.lit(""))))).alias("_mark")
+    seen, hits = _measured(docs, host, mark)
+    gone = hits.groupBy("_row").agg(F.sum("words").alias("gone"), F.collect_list("line").alias("_lines"))
+    stay = _judged(seen, gone).where("kept").groupBy("_mark").agg(F.first("_lines", ignorenulls=True).alias("_lines"))
+    both = salted(docs.withColumn("_mark", mark), stay, ["_mark"], F.col("doc_id"))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = without_lines(batch.column("text"), batch.column("_lines").to_pylist())
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names)
+
+    return arrow(both, run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))

@@ -303,6 +303,20 @@ def _cut(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(split), pa.array(node, pa.binary()), pa.array(at, pa.int64()), pa.array(out, pa.binary())], names)
 
 
+def kept_bytes(raw: bytes, spans: list[dict]) -> tuple[list[bytes], int, int]:
+    """What spans (ordered by start) leave of a text, the bytes that they take and their maximal runs."""
+    left, gone, count, done, reach = [], 0, 0, 0, -1
+    for s in spans:
+        if s["start"] > reach:
+            count += 1
+            left.append(raw[done : s["start"]])
+            done = s["start"]
+        if s["end"] > reach:
+            gone += s["end"] - max(done, s["start"])
+            reach = done = s["end"]
+    return [*left, raw[done:]], gone, count
+
+
 def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with repeated spans -> removed bytes, maximal runs and the digest of the rest."""
     names = ["node", "n_removed", "n_spans", "kept"]
@@ -310,28 +324,17 @@ def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes()
-            gone, count, done, rest = 0, 0, 0, hashlib.sha256()
-            reach = -1
-            for s in spans:  # ordered by start
-                if s["start"] > reach:
-                    count += 1
-                    rest.update(raw[done : s["start"]])
-                    done = s["start"]
-                if s["end"] > reach:
-                    gone += s["end"] - max(done, s["start"])
-                    reach = done = s["end"]
-            rest.update(raw[done:])
+            left, gone, count = kept_bytes(raw, spans)
+            rest = hashlib.sha256()
+            for part in left:
+                rest.update(part)
             rows.append((gone, count, rest.hexdigest()))
         yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]], names)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
-
-    A null text counts as empty. Rows with equal texts of LENGTH bytes or more
-    (repeated rows and null ids too) lose all bytes; shorter texts lose none. A
-    very long text is dealt to shards in cuts. An empty table gives no rows;
-    other columns are ignored."""
+def _repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The scanned rows, (node, copies) of every distinct text, the texts with
+    candidates, and (node, spans) of the texts that hold repeated strings."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = dict(docs.dtypes)["doc_id"]
@@ -366,10 +369,45 @@ def dedup(docs: DataFrame) -> DataFrame:
     split = split.repartition(max(n, -(-split.count() // MERGE_ROWS)), "h1")
     spans = found.where("h1 is null").select("node", "start", "end").unionByName(arrow(split, _merged, "node binary, start long, end long"))
     spans = spans.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    return seen, nodes.select("node", "copies"), texts, spans
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
+
+    A null text counts as empty. Rows with equal texts of LENGTH bytes or more
+    (repeated rows and null ids too) lose all bytes; shorter texts lose none. A
+    very long text is dealt to shards in cuts. An empty table gives no rows;
+    other columns are ignored."""
+    seen, nodes, texts, spans = _repeats(docs)
     left = arrow(texts.join(spans, "node").select("node", "text", "spans"), _left_over, "node binary, n_removed long, n_spans long, kept string")
-    facts = nodes.select("node", "copies").join(left, "node", "left")
+    facts = nodes.join(left, "node", "left")
     out = salted(seen.select("doc_id", "node", "n_bytes", "whole"), facts, ["node"], F.col("doc_id"))
     every = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     number = lambda c, all_: F.when(every, all_).otherwise(F.coalesce(c, F.lit(0))).cast("long").alias(c)
     kept = F.when(every, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "whole")).alias("kept_sha256")
     return out.select("doc_id", "n_bytes", number("n_removed", F.col("n_bytes")), number("n_spans", F.lit(1)), kept)
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The documents, with all their rows and columns, without the bytes that
+    dedup() counts as removed. Of a character that a span cuts the rest goes too,
+    so that texts stay UTF-8; a null text stays null; texts without a repeated
+    string do not change. Other cases are as in dedup()."""
+    _, nodes, _, spans = _repeats(docs)
+    node, size = F.unhex(F.md5(F.coalesce("text", F.lit("")))), F.coalesce(F.octet_length("text"), F.lit(0))
+    marks = nodes.join(spans, "node", "left").where("copies > 1 or spans is not null").select(F.col("node").alias("_node"), F.col("copies").alias("_copies"), F.col("spans").alias("_spans"))
+    both = salted(docs.withColumn("_node", node), marks, ["_node"], F.col("doc_id"), "left").withColumn("_whole", (F.col("_copies") > 1) & (size >= LENGTH))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, whole, own in zip(batch.column("text"), batch.column("_whole").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+                raw = text.as_py()
+                if raw is not None and (whole or own):
+                    raw = "" if whole else b"".join(p.decode(errors="ignore").encode() for p in kept_bytes(raw.encode(), own)[0]).decode()
+                out.append(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(out, batch.column(c).type) if c == "text" else batch.column(c) for c in names], names)
+
+    return arrow(both, run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))

@@ -189,6 +189,22 @@ def test_quality_boilerplate(spark):
     assert not quality.rules(rows_of(spark, [(i, line, "en", "hot", 0) for i in range(30)])).where("kept").count()
 
 
+def test_quality_texts_without_boilerplate(spark, docs):
+    line = "this very line stands at the top of each single page of the host and says nothing new at all"
+    items = [(i, f"{line.upper() if i % 3 else line}  \n\n{prose(i, 12 if i % 2 else 200)}\n {line}", "en", "hot", 0) for i in range(30)] + [(i + 5, "only  once é\n" + prose(40, 30), "en", None, 0) for i in (1, 1)]
+    table = rows_of(spark, items)
+    out = quality.cleaned(table)
+    assert out.dtypes == table.dtypes
+    kept = {r["doc_id"] for r in quality.rules(table).where("kept").collect()}
+    got = out.collect()
+    assert {r["doc_id"] for r in got} == kept and len(got) == 17
+    for r in got:
+        assert r["text"] == ("only  once é\n" + prose(40, 30) if r["source"] is None else "\n" + prose(r["doc_id"], 200)) and r["host"] == "h"
+    same = by_id(quality.cleaned(docs))
+    assert set(same) == {r["doc_id"] for r in quality.rules(docs).where("kept").collect()} and same[1]["text"] == BASE
+    assert quality.cleaned(docs.limit(0)).count() == 0
+
+
 def test_licenses(spark):
     got = by_id(licenses.scan(rows_of(spark, [(1, "All rights reserved", "en", "a", 0), (2, None, None, None, 0), (3, "", None, None, 0)])))
     assert got[1]["base_labels"] == "reserved" and got[2]["n_words"] == 0 and got[3]["labels"] == "" and got[2]["first_word"] is None
@@ -339,7 +355,7 @@ def test_repeated_bytes(spark, monkeypatch, runs):
     texts += [base[i * 20 : 500 + i * 20] + prose(i, 40) for i in range(8)]
     got = by_id(suffix_dedup.dedup(rows_of(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])))
     raw = [(t or "").encode() for t in texts]
-    count = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
+    count, wanted = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399)), {}
     for i, b in enumerate(raw):
         gone = bytearray(len(b))
         for k in range(len(b) - 399):
@@ -349,6 +365,11 @@ def test_repeated_bytes(spark, monkeypatch, runs):
         rest = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         r = got[i]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), sum(gone), runs_, hashlib.sha256(rest).hexdigest())
+        parts = re.split(rb"\0+", bytes(0 if g else c for c, g in zip(b, gone, strict=True)))  # no text holds a zero byte
+        wanted[i] = None if texts[i] is None else "".join(p.decode(errors="ignore") for p in parts)
+    table = rows_of(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    out = suffix_dedup.cleaned(table)
+    assert out.dtypes == table.dtypes and {r["doc_id"]: r["text"] for r in out.collect()} == wanted
 
 
 def test_decontamination_in_blocks(spark, docs, monkeypatch):
