@@ -30,9 +30,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def document_hash(doc_id: Column) -> Column:
-    """The first 48 bits of the MD5 of the id as text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, TOTAL_BITS // 4), 16, 10).cast("long")
+def document_hash(doc_id: Column, text: Column) -> Column:
+    """The first 48 bits of the MD5 of the id as text, a colon and the text."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, TOTAL_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -95,7 +96,7 @@ def _with_copies(rows: DataFrame, plan: DataFrame, first: DataFrame) -> DataFram
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id")).alias("h")), "mix")
+    return stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("h")), "mix")
 
 
 def mix(docs: DataFrame, nested: tuple[float, ...] = (1.0,), share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -103,17 +104,18 @@ def mix(docs: DataFrame, nested: tuple[float, ...] = (1.0,), share: float = SHAR
     ``copies`` (array<int>): how often the mix repeats the document at each of
     the ``nested`` fractions of the targets (ascending; copies never fall).
 
-    Null text has size 0, a null source is a source of its own, rows with one
-    doc_id share a hash and so a fate, an empty table gives no rows. Other
-    columns are ignored."""
+    Null text has size 0, a null source is a source of its own, rows equal in
+    doc_id and text share a hash and so a fate (ids alone may be null or repeat),
+    an empty table gives no rows, very long texts are counted where they stand.
+    Other columns are ignored."""
     narrow = _narrow(docs)
     return _with_copies(narrow, *_plan(narrow, nested, share, cap, weights)).drop("h")
 
 
 def mixed(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The documents of the mix themselves, each as often as the mix takes it,
-    with the columns of ``docs``."""
+    with the columns of ``docs``. Edge cases are as in mix()."""
     plan, first = _plan(_narrow(docs), (1.0,), share, cap, weights)
-    own = docs.select(F.struct(*docs.columns).alias("d"), "source", document_hash(F.col("doc_id")).alias("h"))
+    own = docs.select(F.struct(*docs.columns).alias("d"), "source", document_hash(F.col("doc_id"), F.col("text")).alias("h"))
     out = _with_copies(own, plan, first).withColumn("copies", F.element_at("copies", 1)).where("copies > 0")
     return out.select("d", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("d.*")

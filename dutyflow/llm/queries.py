@@ -32,7 +32,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op1_mix_sources"] = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:12])::BIGINT AS h FROM documents),
+                  ('0x' || md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, ''))[1:12])::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
              [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS w FROM d GROUP BY source),
 r AS (SELECT *, source_size * 2.0::DOUBLE AS top, source_size * 2.0::DOUBLE / w AS room, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s),
@@ -44,7 +44,7 @@ t AS (SELECT source, source_size, least(coalesce(flat * w, top), top) AS target
 k AS (SELECT source, source_size, target, frac, CASE WHEN source_size > 0 THEN floor(target * frac / source_size) ELSE 0 END AS base
       FROM t, (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) v(frac)),
 g AS (SELECT source, h, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h),
-e AS (SELECT d.doc_id, d.size, k.source_size, k.target, k.frac,
+e AS (SELECT d.doc_id, d.h, d.size, k.source_size, k.target, k.frac,
              (d.size * (k.base + CASE WHEN g.upto - g.words + g.words / 2 <= k.target * k.frac - k.base * k.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
       FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source JOIN g ON g.source IS NOT DISTINCT FROM d.source AND g.h = d.h)
 SELECT doc_id, size, source_size, target, sum(taken) FILTER (frac = 1.0)::BIGINT AS taken, sum(taken) FILTER (frac = 0.5)::BIGINT AS taken_half
