@@ -32,8 +32,9 @@ LITERALS = 5
 #: Share of an item's tokens under matched windows, and of its slots that agree.
 COVERAGE, AGREEMENT = 0.5, 0.75
 BLOCK_TOKENS = 1_000_000
-#: A window in more items than this is boilerplate of the benchmark: it counts for
-#: items of which a rarer window is found too, and for those that have none rarer.
+#: A window in more items than this is boilerplate of the benchmark. Items that such
+#: windows alone can cover are grouped by what they show of them, and each group is
+#: looked up and judged once; other items need a rarer window first. It bounds work only.
 HOT = 64
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 # fixed values: units of measure, time and currency that follow a number
@@ -149,13 +150,37 @@ class Block:
                 code, item, place = code[order], item[order], place[order]
                 items = np.searchsorted(code, code, "right") - np.searchsorted(code, code)
                 found[k, raw] = (code, item, place, items)
-        least = np.full(len(sizes), np.iinfo(np.int64).max)
-        for _, item, _, items in found.values():
-            np.minimum.at(least, item, items)
         self.keys, self.hot = {}, {}
         for kind, (code, item, place, items) in found.items():
-            key = (items <= HOT) | (items == least[item])
-            self.keys[kind], self.hot[kind] = [(code[x], item[x], place[x]) for x in (key, ~key)]
+            self.keys[kind], self.hot[kind] = [(code[x], item[x], place[x]) for x in (items <= HOT, items > HOT)]
+        self._group()
+
+    def _group(self) -> None:
+        """``members``: items that hot windows alone can cover, by the first of
+        those that look alike in all that these windows show; ``passages``: the
+        hot windows of these first items."""
+        sizes, kinds = np.diff(self.bounds), list(self.hot)
+        code, item, place = (np.concatenate([self.hot[k][i] for k in kinds]) if kinds else np.zeros(0, np.int64) for i in range(3))
+        which = np.repeat(np.arange(len(kinds)), [len(self.hot[k][0]) for k in kinds])
+        under = np.zeros(self.bounds[-1] if len(self.bounds) else 0, bool)
+        for i, (k, _) in enumerate(kinds):
+            at = (self.bounds[item] + place)[which == i]
+            for x in range(k):
+                under[at + x] = True
+        order = np.lexsort((place, which, item))
+        code, item, place, which = code[order], item[order], place[order], which[order]
+        first = np.searchsorted(item, np.arange(len(sizes) + 1))
+        alike: dict[tuple, list[int]] = defaultdict(list)
+        for i in np.unique(item):
+            own, seen = slice(first[i], first[i + 1]), slice(self.bounds[i], self.bounds[i + 1])
+            if under[seen].sum() < COVERAGE * sizes[i]:
+                continue
+            slots = np.flatnonzero(under[seen] & (self.kind[seen] != LITERAL))
+            shown = (which[own], place[own], code[own], self.kind[seen], slots, self.value[seen][slots])
+            alike[int(sizes[i]), *(x.tobytes() for x in shown)].append(int(i))
+        self.members = {items[0]: items for items in alike.values()}
+        heads = np.array(sorted(self.members), np.int64)
+        self.passages = {kind: tuple(x[np.isin(table[1], heads)] for x in table) for kind, table in self.hot.items()}
 
 
 def _ranges(table: tuple[np.ndarray, np.ndarray, np.ndarray], code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,20 +245,36 @@ def _occurrences(size: int, found: list[tuple[int, int, int, bool]]) -> Iterator
         yield [(p, p + at) for at, places in covered.items() for p in places], all(plain.values())
 
 
+def _best(block: Block, t: Template, item: int, found: list[tuple[int, int, int, bool]]) -> tuple[float, float, bool] | None:
+    """The best of what the occurrences of an item show, if one passes."""
+    best: tuple[float, float, bool] | None = None
+    size, templates = int(block.bounds[item + 1] - block.bounds[item]), [x for x in found if not x[3]]
+    ways = [templates, found] if 0 < len(templates) < len(found) else [found]  # raw hits never weaken those of templates
+    for pairs, raw in chain.from_iterable(_occurrences(size, x) for x in ways):
+        if now := _judged(block, t, item, pairs, raw):
+            best = tuple(max(x) for x in zip(best or now, now, strict=True))
+            if best == (1.0, 1.0, True):
+                break
+    return best
+
+
 def _matches(block: Block, t: Template) -> dict[int, list[tuple[int, float, float, bool]]]:
     """For each document with a match: (item, coverage, agreement, same values), the best of its occurrences."""
     hits: dict[tuple[int, int], list[tuple[int, int, int, bool]]] = defaultdict(list)
+    shared: dict[tuple[int, int], list[tuple[int, int, int, bool]]] = defaultdict(list)
     items_of: dict[int, set[int]] = defaultdict(set)
     windows = {kind: t.raw_windows(kind[0]) if kind[1] else t.windows(kind[0]) for kind, (codes, _, _) in block.keys.items() if len(codes) or len(block.hot[kind][0])}
     for (k, raw), (code, start) in windows.items():
-        _, items, places = table = block.keys[k, raw]
-        found, lo, hi = _ranges(table, code)
-        doc = np.searchsorted(t.bounds, start[found], "right") - 1
-        for i, d, a, b in zip(found, doc, lo, hi, strict=True):
-            for j in range(a, b):
-                hits[int(d), int(items[j])].append((int(start[i]), int(places[j]), k, raw))
-                items_of[int(d)].add(int(items[j]))
-    for (k, raw), (code, start) in windows.items():  # boilerplate: only for the items that are found by now
+        for tables, out in ((block.keys, hits), (block.passages, shared)):
+            _, items, places = table = tables[k, raw]
+            found, lo, hi = _ranges(table, code)
+            doc = np.searchsorted(t.bounds, start[found], "right") - 1
+            for i, d, a, b in zip(found, doc, lo, hi, strict=True):
+                for j in range(a, b):
+                    out[int(d), int(items[j])].append((int(start[i]), int(places[j]), k, raw))
+    for d, item in hits:
+        items_of[d].add(item)
+    for (k, raw), (code, start) in windows.items():  # boilerplate adds to what rarer windows show of an item
         _, items, places = table = block.hot[k, raw]
         found, lo, hi = _ranges(table, code)
         doc = np.searchsorted(t.bounds, start[found], "right") - 1
@@ -241,25 +282,20 @@ def _matches(block: Block, t: Template) -> dict[int, list[tuple[int, float, floa
             for item in items_of.get(int(d), ()):
                 for j in range(a + int(np.searchsorted(items[a:b], item)), a + int(np.searchsorted(items[a:b], item, "right"))):
                     hits[int(d), item].append((int(start[i]), int(places[j]), k, raw))
-    out: dict[int, list] = defaultdict(list)
+    best: dict[int, dict[int, tuple[float, float, bool]]] = defaultdict(dict)
     for (d, item), found in hits.items():
-        best: tuple[float, float, bool] | None = None
-        size, templates = int(block.bounds[item + 1] - block.bounds[item]), [x for x in found if not x[3]]
-        ways = [templates, found] if 0 < len(templates) < len(found) else [found]  # raw hits never weaken those of templates
-        for pairs, raw in chain.from_iterable(_occurrences(size, x) for x in ways):
-            if now := _judged(block, t, item, pairs, raw):
-                best = tuple(max(x) for x in zip(best or now, now, strict=True))
-                if best == (1.0, 1.0, True):
-                    break
-        if best:
-            out[d].append((item, float(best[0]), float(best[1]), bool(best[2])))
-    return out
+        if now := _best(block, t, item, found):
+            best[d][item] = now
+    for (d, head), found in shared.items():  # and stands alone for items without a rarer window, once for all that show the same of it
+        if now := _best(block, t, head, found):
+            best[d] |= {item: now for item in block.members[head] if item not in items_of.get(d, ())}
+    return {d: [(item, float(c), float(a), bool(s)) for item, (c, a, s) in items.items()] for d, items in best.items()}
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Block]:
     """The benchmark in blocks of about BLOCK_TOKENS tokens; the driver holds one at a time."""
     ids, texts, size = [], [], 0
-    for row in benchmark.select("item_id", "text").where("item_id is not null").toLocalIterator():
+    for row in benchmark.select("item_id", "text").toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
         size += len((row[1] or "").split())
@@ -290,7 +326,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null or empty texts match nothing, very long ones are searched to their end;
     items of fewer than four template tokens cannot be told from chance and are
     not looked for; an item none of whose windows has enough literals is found
-    in copies with its own values only; rows with one doc_id (also null) give
+    in copies with its own values only; an item without an id is looked for like
+    any other, but has no place in item_ids; rows with one doc_id (also null) give
     one result; empty tables give no rows; other columns are ignored."""
     spark = docs.sparkSession
     id_type = dict(benchmark.dtypes)["item_id"]
