@@ -68,7 +68,11 @@ OPENNESS = {
 UNKNOWN, EXCEPTION = 0.5, 0.1
 CONNECTIVES = {"and": 1, "or": 0, "with": 2}
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_SPDX = re.compile(r"SPDX-License-Identifier[ \t]*:?[ \t]*([^\r\n]+)", re.IGNORECASE)
+_LINE_END = re.compile(rb"[\r\n]")
+_WORD = re.compile(rb"[^ ]+")
+#: Words that may stand between a connective and a notice, and how many words a connective or an exception may span.
+ARTICLES = frozenset("a an either the under terms of version".split())
+NEAR = 6
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 
 
@@ -156,11 +160,12 @@ class Scanner:
         if not hits:
             return len(words), 0, None, None, "", "", "", UNKNOWN
         blanks = [i for i, c in enumerate(line) if c == " "]
-        base, labels, found, tagged, first, last = 0, set(), [], False, None, None
+        base, labels, found, tagged, first, last = 0, set(), [], [], None, None
         for end, (phrase, base_label, label) in hits:
             at = bisect.bisect_left(blanks, end - len(phrase) - 1)
             size = phrase.count(" ") + 1
-            tagged |= phrase == TAG
+            if phrase == TAG:
+                tagged.append(at + size - 1)
             if base_label:
                 base += 1
                 labels.add(base_label)
@@ -169,31 +174,49 @@ class Scanner:
             if label or base_label:
                 found.append((at, at + size, label or base_label))
         own, expressions = set(labels), self._joined(found, words)
-        if tagged:
-            text = raw.decode("utf-8", "replace")
-            expressions += [p for m in _SPDX.finditer(text) if (p := to_postfix(_TOKEN.findall(m[1])))]
+        expressions += self._tagged(raw, tagged)
         results = [evaluate(p) for p in expressions]
         for _, ids in results:
             own |= ids
         shown = sorted({" ".join(p) for p in expressions})
         return len(words), base, first, last, ",".join(sorted(labels)), ",".join(sorted(own)), ",".join(shown), min((v for v, _ in results), default=UNKNOWN)
 
+    @staticmethod
+    def _tagged(raw: bytes, tagged: list[int]) -> list[list[str]]:
+        """The expressions behind tags, whose last words have these numbers, to the ends of their lines."""
+        if not tagged:
+            return []
+        spans = [m.span() for m in _WORD.finditer(raw.translate(_TABLE))]
+        out = []
+        for last in tagged:
+            begin, end = spans[last - TAG.count(" ")][0], spans[last][1]
+            stop = m.start() if (m := _LINE_END.search(raw, end)) else len(raw)
+            if not _LINE_END.search(raw, begin, end) and (p := to_postfix(_TOKEN.findall(raw[end:stop].decode("utf-8", "replace").lstrip(" \t:=-")))):
+                out.append(p)
+        return out
+
     @staticmethod
     def _joined(found: list[tuple[int, int, str]], words: list[bytes]) -> list[list[str]]:
-        """Licences that stand together, or apart by one connective, as expressions; a
-        phrase inside a longer one gives way to it."""
+        """Licences that stand together, or apart by one connective (and articles), as
+        expressions, each with an exception that follows it ('with the linking
+        exception'); a phrase inside a longer one gives way to it."""
         out: list[list[str]] = []
         tokens: list[str] = []
-        end = -1
+        end = 0
         for start, stop, label in sorted(set(Scanner._outermost(found))):
-            link = words[start - 1].decode("latin-1") if start - end == 1 and start else ""
-            if tokens and link in ("and", "or"):
-                tokens += [link, label]
+            between = [w for x in words[end:start] if (w := x.decode("latin-1")) not in ARTICLES] if tokens and 0 < start - end <= NEAR else []
+            if len(between) == 1 and between[0] in ("and", "or"):
+                tokens += [between[0], label]
             else:
                 if tokens:
                     out.append(to_postfix(tokens))
                 tokens = [label]
             end = stop
+            after = [x.decode("latin-1") for x in words[stop : stop + NEAR]]
+            if after[:1] == ["with"] and "exception" in after:
+                last = after.index("exception")
+                tokens += ["with", "-".join(w for w in after[1 : last + 1] if w not in ARTICLES)]
+                end = stop + last + 1
         if tokens:
             out.append(to_postfix(tokens))
         return out
