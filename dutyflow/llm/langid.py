@@ -22,15 +22,13 @@ from . import kernels as K
 from .common import arrow, stored
 
 ROWS_PER_LANGUAGE = 4000
-#: Terms of the whole model; languages and the six kinds of term share them, and
-#: each keeps one at least, so only more than 50,000 languages exceed it.
-MODEL_TERMS = 300_000
+#: Terms of the whole model, shared by languages and the six kinds of term; each
+#: language keeps LANGUAGE_TERMS of each kind at least, however many there are.
+MODEL_TERMS, LANGUAGE_TERMS = 300_000, 2_000
 LONGEST = 5
 SMOOTHING = 0.5
 #: So many words of a text count as independent at most; it tempers the score.
 EVIDENCE = 20
-#: Letters of a word that its n-grams come from.
-LONGEST_WORD = 60
 #: Words whose entries are spread at once.
 SPREAD = 1 << 18
 #: A table of so many languages is small enough for each task.
@@ -53,13 +51,13 @@ def counts(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
     some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share)
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(SPARK_LETTERS), F.lit(0)))
     seen = stored(some.select("lang", word.alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n")), "lang-words")
-    padded = seen.select("lang", "n", F.concat(F.lit("_"), F.substring("term", 1, LONGEST_WORD), F.lit("_")).alias("w"))
+    padded = seen.select("lang", "n", F.concat(F.lit("_"), F.col("term"), F.lit("_")).alias("w"))
     gram = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.when(F.length("w") >= k, F.transform(F.sequence(F.lit(1), F.length("w") - k + 1), lambda i: F.struct(k.alias("kind"), F.col("w").substr(i, k).alias("term")))).otherwise(F.array().cast("array<struct<kind:int,term:string>>"))))
     grams = padded.select("lang", "n", F.explode(gram).alias("g")).groupBy("lang", "g.kind", "g.term").agg(F.sum("n").alias("n"))
     every = seen.select("lang", F.lit(0).alias("kind"), "term", "n").unionByName(grams.select("lang", "kind", "term", "n"))
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "term"))
     total = F.sum("n").over(Window.partitionBy("lang", "kind"))
-    most = max(1, MODEL_TERMS // (max(1, languages) * (LONGEST + 1)))
+    most = max(LANGUAGE_TERMS, MODEL_TERMS // (max(1, languages) * (LONGEST + 1)))
     return every.withColumn("place", place).withColumn("total", total).where(F.col("place") <= most)
 
 
@@ -147,7 +145,7 @@ class Judge:
     def _backoff(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
         """(words, kind, word of each known n-gram, its place): the words for which
         the longest known n-grams have this length."""
-        length = np.minimum(end - start, LONGEST_WORD)
+        length = end - start
         bounds = np.r_[0, np.cumsum(length + 2)]
         padded = np.full(bounds[-1], ord("_"), np.uint32)
         word = np.repeat(np.arange(len(start)), length)
@@ -226,13 +224,17 @@ class Judge:
 
 def _spans(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pieces (bytes, offsets, text of each part) of about K.PIECE bytes; longer
-    texts are cut at blanks, which changes no word."""
+    texts are cut at blanks, which changes no word, and where K.PIECE bytes hold
+    no blank between two characters, which makes two words of one."""
     cuts, owner = [offs], [np.arange(len(offs) - 1)]
     for d in np.flatnonzero(np.diff(offs) > 2 * K.PIECE):
-        blank = offs[d] + np.flatnonzero(data[offs[d] : offs[d + 1]] == 32)
-        wanted = np.arange(offs[d] + K.PIECE, offs[d + 1] - K.PIECE, K.PIECE)
-        own = np.unique(blank[np.minimum(np.searchsorted(blank, wanted), len(blank) - 1)]) if len(blank) else blank
-        cuts.append(own)
+        text, own, at = data[offs[d] : offs[d + 1]], [], 0
+        while len(text) - at > 2 * K.PIECE:
+            some = text[at + K.PIECE : at + 2 * K.PIECE]
+            blank, char = some == 32, (some & 0xC0) != 0x80
+            at += K.PIECE + int(np.argmax(blank if blank.any() else char))
+            own.append(offs[d] + at)
+        cuts.append(np.array(own, np.int64))
         owner.append(np.full(len(own), d))
     begin = np.concatenate([cuts[0][:-1], *cuts[1:]])
     order = np.argsort(begin, kind="stable")
@@ -243,7 +245,8 @@ def _spans(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 
 def fit(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model:
     """labelled: text and lang (non-null), with doc_id to choose the sample. The
-    jobs run at once; the model (MODEL_TERMS) is what reaches the driver."""
+    jobs run at once; the model (MODEL_TERMS, or LANGUAGE_TERMS for each language
+    and kind) is what reaches the driver."""
     found = counts(labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()), rows)
     return Model([(r["lang"], r["kind"], r["term"], r["n"], r["total"]) for r in found.select("lang", "kind", "term", "n", "total").collect()])
 
@@ -254,8 +257,9 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     A null text, one without a letter, and every text under a model without
     languages gives ``und`` with score 0; ties go to the first language in
     alphabetical order; repeated rows and null ids get results like any other
-    row; very long texts are scored in parts cut at blanks; an empty table gives
-    no rows; a column named like a result must not be kept."""
+    row; very long texts are scored in parts cut at blanks, and a run of letters
+    of over K.PIECE bytes counts as several words, all of them scored; an empty
+    table gives no rows; a column named like a result must not be kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = list(dict.fromkeys(keep))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*names).dtypes), "lang_pred string", "score double"])

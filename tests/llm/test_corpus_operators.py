@@ -376,9 +376,10 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_TOKENS", 10)
     bench = spark.createDataFrame([(1, " ".join(BASE.split()[5:25])), (2, prose(4)), (3, "too short"), (4, None), (None, prose(2))], "item_id long, text string")
     got = by_id(decontam.leaks(docs, bench))
-    assert got[1]["item_ids"] == got[3]["item_ids"] == [1] and got[None]["item_ids"] == [2] and 4 not in got
+    assert got[1]["item_ids"] == got[3]["item_ids"] == [1] and got[None]["item_ids"] == [2]
+    assert got[4]["item_ids"] == [] and got[4]["exact"]  # a copy of the item without an id
     clean = decontam.clean(docs, bench)
-    assert clean.columns == docs.columns and clean.count() == len(ITEMS) - 4
+    assert clean.columns == docs.columns and clean.count() == len(ITEMS) - 5
 
 
 def test_pipeline(spark, tmp_path):
@@ -413,7 +414,7 @@ def test_pipeline(spark, tmp_path):
         target[n] = level * weight[n]
     want = Counter()
     for n in names:
-        own = sorted((int(hashlib.md5(str(i[0]).encode()).hexdigest()[:12], 16), i) for i in left if i[3] == n)
+        own = sorted((int(hashlib.md5(f"{i[0]}:{i[1]}".encode()).hexdigest()[:12], 16), i) for i in left if i[3] == n)
         whole = int(target[n] // size[n])
         budget, done = target[n] - whole * size[n], 0
         for _, i in own:
@@ -423,8 +424,29 @@ def test_pipeline(spark, tmp_path):
     assert Counter(r["doc_id"] for r in out) == +want
 
 
+def test_mix_of_rows_without_ids_comes_near_its_target(spark):
+    rows = rows_of(spark, [(None, prose(i, 3 + i % 9), "en", "a", 0) for i in range(300)] + [(i if i % 3 else None, prose(900 + i, 5), "en", "b", 0) for i in range(90)])
+    got = mixing.mix(rows).collect()
+    assert len(got) == 390
+    for source in "ab":
+        own = [r for r in got if r["source"] == source]
+        taken, target = sum(r["copies"][0] * r["size"] for r in own), own[0]["target"]
+        assert abs(taken - target) <= max(r["size"] for r in own)
+
+
+def test_language_model_of_a_hundred_languages(spark):
+    rnd = random.Random(11)
+    vocabulary = {x: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9))) for _ in range(300)] for x in range(100)}
+    items = [(k, " ".join(rnd.choices(vocabulary[k % 100], k=25)), f"l{k % 100:02d}", "s", 0) for k in range(2500)]
+    df = langid.held_out(rows_of(spark, items))
+    model = langid.fit(df.where("NOT held_out"))
+    assert len(model.langs) == 100
+    got = langid.identify(df.where("held_out"), model, ("doc_id", "lang")).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.98 * len(got)
+
+
 def test_missing_package_is_guarded():
     import __spark_entry__ as e
 
-    assert {f"op{n}_" for n in range(1, 11)} <= {q.split("_")[0] + "_" for q in e.queries()} and "pipeline" in e.queries()
+    assert {f"op{n}_" for n in range(1, 14)} <= {q.split("_")[0] + "_" for q in e.queries()} and "pipeline" in e.queries()
     assert F is not None
