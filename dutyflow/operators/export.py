@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
+from .lookups import small
 
 #: Fields that describe a whole duty and stay on its first part only.
 DUTY_FIELDS = ("break_minutes", "actual", "account_daily", "oncall_percent", "oncall_rated")
@@ -87,7 +88,7 @@ def colour_of_code(rows: DataFrame, colours: DataFrame, code: str) -> DataFrame:
     c = colours.select(F.col("code").alias("_c"), F.col("hex").alias("_h"))
     base = colours.select(F.col("code").alias("_b"), F.col("hex").alias("_g"))
     plain = F.regexp_replace(F.col(code), r"\*$", "")
-    out = rows.join(F.broadcast(c), F.col(code) == F.col("_c"), "left").join(F.broadcast(base), plain == F.col("_b"), "left")
+    out = rows.join(small(c), F.col(code) == F.col("_c"), "left").join(small(base), plain == F.col("_b"), "left")
     hue = F.concat(F.lit("hsl("), numbers.hue(text.short_label(F.col(code))), F.lit(" 55% 42%)"))
     return out.withColumn("colour", F.coalesce("_h", "_g", hue)).drop("_c", "_h", "_b", "_g")
 

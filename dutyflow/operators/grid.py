@@ -199,9 +199,14 @@ def clamp_to_clusters(grid: DataFrame, code: str = "U", gap: int = 2, reach: int
     return out.withColumn("cell", F.when((F.col("cell") == code) & F.col("_ok").isNull(), "").otherwise(F.col("cell"))).drop("_ok")
 
 
-def merged_person(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(page_id, day_idx, day, cell): the cells of all rows of the named people (name keys), distinct, joined in row order."""
-    mine = grid.where(text.name_key(F.col("person")).isin(*keys) & (F.trim("cell") != ""))
+def merged_person(grid: DataFrame, people: DataFrame | Sequence[str]) -> DataFrame:
+    """(page_id, day_idx, day, cell): the cells of all rows of the named people
+    (name keys; a table of any size has them in ``key``), distinct, joined in row order."""
+    key, full = text.name_key(F.col("person")), grid.where(F.trim("cell") != "")
+    if isinstance(people, DataFrame):
+        mine = full.withColumn("_key", key).join(small(people.select(F.col("key").alias("_key")).distinct()), "_key", "left_semi")
+    else:
+        mine = full.where(key.isin(*people))
     joined = F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "cell"))), lambda c: F.trim(c["cell"]))), "+")
     return mine.groupBy(PAGE, "day_idx", "day").agg(joined.alias("cell"))
 

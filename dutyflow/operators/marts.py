@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from .lookups import small
 from .sequences import keep_first
 
 MOST_REMINDERS = 64
@@ -44,8 +45,9 @@ def months_with_data(shifts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return shifts.groupBy(*keys, F.year("date").alias("year")).agg(F.array_sort(F.collect_set(F.month("date"))).alias("months"))
 
 
-def entries_by_date(shifts: DataFrame, order: str) -> DataFrame:
-    return shifts.groupBy("date").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "type", "start", "end"))), lambda x: x.dropFields(order)).alias("entries"))
+def entries_by_date(shifts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The entries of each key (a tenant or person) and date in order: an array of one person's day, not of a day of all."""
+    return shifts.groupBy(*keys, "date").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "type", "start", "end"))), lambda x: x.dropFields(order)).alias("entries"))
 
 
 def slot_fits(when: Column, day: Column) -> Column:
@@ -62,7 +64,7 @@ def slot_by_when(days: DataFrame, slots: DataFrame, day: str) -> DataFrame:
     """Time of a duty column on each day: a slot for the day's kind beats 'any', then slot order.
 
     slots: ord, when, start, end, as slot_fits() knows them."""
-    rows = days.join(F.broadcast(slots), slot_fits(F.col("when"), F.col(day)), "left")
+    rows = days.join(small(slots), slot_fits(F.col("when"), F.col(day)), "left")
     rank = F.struct((F.col("when") == "any").cast("int").alias("r"), "ord")
     return rows.groupBy(*days.columns).agg(F.min_by(F.struct("start", "end"), rank).alias("s")).select(*days.columns, "s.start", "s.end")
 
@@ -79,9 +81,9 @@ def plan_reminders(shifts: DataFrame, prefs: DataFrame, now: str, horizon: str,
     shifts: code, start_at (timestamp); prefs: code, minutes before the start."""
     t = lambda x: F.lit(x).cast("timestamp")
     rules = prefs.groupBy("code").agg(F.collect_set("minutes").alias("minutes"))
-    default = F.broadcast(rules.where("code = '*'").select(F.col("minutes").alias("_default")))
+    default = F.broadcast(rules.where("code = '*'").select(F.col("minutes").alias("_default")))  # one row
     rows = shifts.where((F.col("start_at") > t(now)) & (F.col("start_at") <= t(horizon)))
-    rows = rows.join(F.broadcast(rules.where("code <> '*'")), "code", "left").join(default, F.lit(True), "left")
+    rows = rows.join(small(rules.where("code <> '*'")), "code", "left").join(default, F.lit(True), "left")
     rows = rows.withColumn("m", F.explode(F.coalesce("minutes", "_default"))).withColumn("fire_at", F.col("start_at") - F.make_dt_interval(mins=F.col("m")))
     return rows.where(F.col("fire_at") > t(now)).drop("minutes", "_default", "m").orderBy("fire_at", *ties).limit(most)
 
@@ -89,7 +91,7 @@ def plan_reminders(shifts: DataFrame, prefs: DataFrame, now: str, horizon: str,
 def reminder_codes(codes: DataFrame, colours: DataFrame) -> DataFrame:
     """Codes to choose from: the first row of each upper-cased code in table order, with its colour."""
     first = keep_first(codes.withColumn("_u", F.upper("code")), ["_u"], ["ord"])
-    return first.join(F.broadcast(colours.select(F.upper("code").alias("_u"), "hex")), "_u", "left").select("code", "hex", "ord")
+    return first.join(small(colours.select(F.upper("code").alias("_u"), "hex")), "_u", "left").select("code", "hex", "ord")
 
 
 def scroll_target(shifts: DataFrame, today: str) -> DataFrame:

@@ -86,7 +86,7 @@ SELECT f.code AS rule_code, p_brand, count(*)::BIGINT AS n FROM part JOIN f ON u
 def reverse_code_also(spark, sf_dir):
     rules = spark.createDataFrame([(1, "Brand#11", ["brand#12", "Brand#13"]), (2, "Brand#13", ["Brand#21"]), (3, "Brand#22", None)], "ord int, code string, also array<string>")
     spelled = lookups.spelled_codes(rules).select("spelling", F.col("code").alias("rule_code"))
-    return table(spark, sf_dir, "part").select("p_brand").join(F.broadcast(spelled), F.upper("p_brand") == F.col("spelling")).groupBy("rule_code", "p_brand").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "part").select("p_brand").join(lookups.small(spelled), F.upper("p_brand") == F.col("spelling")).groupBy("rule_code", "p_brand").agg(F.count("*").alias("n"))
 
 
 RULES = [(1, "full", "any", ["click", "purchase"], ["view"]), (2, "week", "weekday", ["click"], []), (3, "free", "weekend-or-holiday", ["view"], [])]
@@ -294,7 +294,7 @@ SELECT e.doc_id, count(*)::BIGINT AS shared FROM e JOIN b USING (w) GROUP BY 1""
 def token_overlap(spark, sf_dir):
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), F.lower))
     known = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("w")).distinct()
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("w")).join(known, "w").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("w")).join(lookups.small(known), "w").groupBy("doc_id").agg(F.count("*").alias("shared"))
 
 
 @bound("""

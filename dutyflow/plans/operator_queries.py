@@ -185,10 +185,10 @@ def tenant_rows_of_a_person(spark, sf_dir):
 
 
 @bound("""
-WITH s AS (SELECT c_custkey, c_acctbal, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS k FROM customer), b AS (SELECT * FROM s WHERE k % 5 <> 0), n AS (SELECT c_custkey, c_acctbal + 1 AS c_acctbal, c_mktsegment FROM s WHERE k % 2 = 0)
+WITH s AS (SELECT c_custkey, c_acctbal, c_custkey // 3 AS k FROM customer), b AS (SELECT * FROM s WHERE k % 5 <> 0), n AS (SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM s WHERE k % 2 = 0)
 SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM b WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT c_custkey, round(c_acctbal, 2) FROM n""")
 def keyed_upsert(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").withColumn("k", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey")))
+    rows = table(spark, sf_dir, "customer").withColumn("k", F.floor(F.col("c_custkey") / 3))
     out = merge.upsert(rows.where("k % 5 <> 0").drop("k"), rows.where("k % 2 = 0").drop("k").withColumn("c_acctbal", F.col("c_acctbal") + 1), ["c_custkey"])
     return out.select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
 
@@ -237,10 +237,10 @@ def months_with_rows(spark, sf_dir):
     return marts.months_with_data(shifts(spark, sf_dir), ["user_id"]).select("user_id", "year", F.concat_ws(",", F.col("months").cast("array<string>")).alias("months"))
 
 
-@bound(f"WITH {SHIFT_SQL} SELECT strftime(d, '%Y-%m-%d') AS date, string_agg(event_type || ' ' || st || '-' || en, '|' ORDER BY event_id) AS entries FROM s GROUP BY d")
+@bound(f"WITH {SHIFT_SQL} SELECT user_id, strftime(d, '%Y-%m-%d') AS date, string_agg(event_type || ' ' || st || '-' || en, '|' ORDER BY event_id) AS entries FROM s GROUP BY user_id, d")
 def rows_by_date(spark, sf_dir):
-    rows = marts.entries_by_date(shifts(spark, sf_dir), "event_id")
-    return rows.select(txt(F.col("date")).alias("date"), F.array_join(F.transform("entries", lambda e: F.concat(e["type"], F.lit(" "), e["start"], F.lit("-"), e["end"])), "|").alias("entries"))
+    rows = marts.entries_by_date(shifts(spark, sf_dir), ["user_id"], "event_id")
+    return rows.select("user_id", txt(F.col("date")).alias("date"), F.array_join(F.transform("entries", lambda e: F.concat(e["type"], F.lit(" "), e["start"], F.lit("-"), e["end"])), "|").alias("entries"))
 
 
 @bound(f"""

@@ -217,9 +217,9 @@ WITH {CELL_SQL} SELECT page AS page_id, '2024-02-' || lpad(day::VARCHAR, 2, '0')
   CASE cell WHEN 'F' THEN '15:00' WHEN 'N' THEN '07:30' WHEN 'S' THEN CASE WHEN day IN (2, 9, 16, 23) THEN '12:00' ELSE '11:00' END END AS "end", cell = 'U' AS all_day FROM ce WHERE user_id % 5 = 2 AND cell <> '' AND day <= 29""")
 def grid_shifts(spark, sf_dir):
     g = plain_grid(spark, sf_dir)
-    keys = [r[0] for r in g.where("row_idx = 2").select(text.name_key(F.col("person"))).distinct().limit(100_000).collect()]  # one person of each page
+    people = g.where("row_idx = 2").select(text.name_key(F.col("person")).alias("key"))  # one person of each page
     slots = spark.createDataFrame([("S", 0, "any", "09:00", "11:00"), ("S", 1, "friday", "10:00", "12:00")], "code string, ord int, when string, start string, end string")
-    out = grid.to_shifts(grid.merged_person(g, keys), duty_table(spark), F.lit("2024-02"), slots)
+    out = grid.to_shifts(grid.merged_person(g, people), duty_table(spark), F.lit("2024-02"), slots)
     return out.select("page_id", txt(F.col("date")).alias("date"), "type", "start", "end", "all_day")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.lookups import small
 
 _RANGE_LENGTH = len("HH:MM-HH:MM")
 
@@ -83,8 +84,7 @@ def known_spellings(p: Pack) -> DataFrame:
 
 
 def known_only(rows: DataFrame, p: Pack, code: str) -> DataFrame:
-    spellings = F.broadcast(known_spellings(p))  # as long as the pack's code lists
-    return rows.join(spellings, F.upper(F.trim(F.col(code))) == F.col("spelling"), "left_semi")
+    return rows.join(small(known_spellings(p)), F.upper(F.trim(F.col(code))) == F.col("spelling"), "left_semi")
 
 
 def overflow(p: Pack) -> dict[str, list[str]]:

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from dutyflow.plans import bindings, layout_queries, operator_queries, payroll_queries, text_queries  # noqa: F401 - these add queries
+from dutyflow.plans import bindings, layout_queries, operator_queries, payroll_queries, roster_queries, text_queries  # noqa: F401 - these add queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark conversations".split()
