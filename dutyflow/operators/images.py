@@ -171,3 +171,57 @@ def layout_of(metrics: DataFrame) -> DataFrame:
     """(page_id, layout): many even columns are a month, about seven a week, many rows with few columns a list."""
     c, r = F.col("columns"), F.col("rows")
     return metrics.select("page_id", F.when((c >= 20) & (r >= 3), "month").when(c.between(6, 10) & (r >= 3), "week").when((r >= 8) & (c < 6), "list").otherwise("unknown").alias("layout"))
+
+
+def warp(gray: np.ndarray, back: np.ndarray, size: tuple[int, int], paper: int = 255) -> np.ndarray:
+    """The raster of (height, width) whose pixel (x, y) shows the point that
+    ``back`` maps it to, mixed from its four neighbours; ``paper`` outside."""
+    height, width = size
+    y, x = np.mgrid[0:height, 0:width]
+    at = apply_points(back, np.c_[x.ravel(), y.ravel()])
+    u, v = at[:, 0], at[:, 1]
+    inside = (u >= 0) & (v >= 0) & (u <= gray.shape[1] - 1) & (v <= gray.shape[0] - 1)
+    u, v = np.clip(u, 0, gray.shape[1] - 1), np.clip(v, 0, gray.shape[0] - 1)
+    x0, y0 = np.minimum(u.astype(int), gray.shape[1] - 2), np.minimum(v.astype(int), gray.shape[0] - 2)
+    dx, dy = u - x0, v - y0
+    g = gray.astype(np.float64)
+    top = g[y0, x0] * (1 - dx) + g[y0, x0 + 1] * dx
+    low = g[y0 + 1, x0] * (1 - dx) + g[y0 + 1, x0 + 1] * dx
+    out = np.where(inside, top * (1 - dy) + low * dy, paper)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8).reshape(height, width)
+
+
+def page_quad(gray: np.ndarray, bright: int = 128, least: float = 0.1) -> list[tuple[float, float]] | None:
+    """The corners (from the upper left, clockwise) of a bright page on a dark
+    ground: the outermost bright pixels towards each corner; None without a
+    convex quadrangle that takes ``least`` of the picture."""
+    y, x = np.nonzero(gray >= bright)
+    if not len(x):
+        return None
+    corner = [int(np.argmin(x + y)), int(np.argmax(x - y)), int(np.argmax(x + y)), int(np.argmin(x - y))]
+    quad = [(float(x[i]), float(y[i])) for i in corner]
+    nxt = [*quad[1:], quad[0]]
+    area = abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(quad, nxt, strict=True))) / 2
+    return quad if convex(quad) and area >= least * gray.size else None
+
+
+def rectified(pages: DataFrame, width: int, height: int) -> DataFrame:
+    """(page_id, pixels, forward) of photographed pages (page_id, width, height,
+    pixels): each page seen straight on as a raster of width x height, and the
+    map (array of nine) from the photo to it for map_columns(). Without a page in
+    the picture both are null."""
+    ship(pages.sparkSession)
+    target = [(0.0, 0.0), (width - 1.0, 0.0), (width - 1.0, height - 1.0), (0.0, height - 1.0)]
+
+    @F.pandas_udf("struct<pixels:binary,forward:array<double>>")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for w, h, pixels in parts:
+            out = []
+            for a, b, p in zip(w, h, pixels, strict=True):
+                gray = np.frombuffer(p, np.uint8).reshape(b, a)
+                quad = page_quad(gray)
+                forward = homography(quad, target) if quad else None
+                out.append((None, None) if forward is None else (warp(gray, np.linalg.inv(forward), (height, width)).tobytes(), forward.ravel().tolist()))
+            yield pd.DataFrame(out, columns=["pixels", "forward"])
+
+    return pages.select("page_id", run("width", "height", "pixels").alias("r")).select("page_id", "r.pixels", "r.forward")

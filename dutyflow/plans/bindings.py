@@ -362,9 +362,12 @@ r AS (SELECT make_date(y, 1, 1) AS d, 'Neujahr' AS holiday FROM e UNION ALL SELE
   UNION ALL SELECT make_date(y, 10, 3), 'Tag der Deutschen Einheit' FROM e UNION ALL SELECT make_date(y, 10, 31), 'Reformationstag' FROM e
   UNION ALL SELECT d::DATE, 'Buß- und Bettag' FROM (SELECT unnest(generate_series(make_date(y, 11, 16)::TIMESTAMP, make_date(y, 11, 22)::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM e) WHERE isodow(d) = 3
   UNION ALL SELECT make_date(y, 12, 25), '1. Weihnachtstag' FROM e UNION ALL SELECT make_date(y, 12, 26), '2. Weihnachtstag' FROM e)
-SELECT strftime(d, '%Y-%m-%d') AS date, holiday, isodow(d) >= 6 AS is_weekend FROM r""")
+SELECT strftime(d, '%Y-%m-%d') AS date, holiday, isodow(d) >= 6 AS is_weekend, count(o_orderkey)::BIGINT AS n_orders FROM r LEFT JOIN orders ON o_orderdate::DATE = d GROUP BY 1, 2, 3""")
 def holiday_calendar(spark, sf_dir):
-    return dates.holidays(spark, 1995, 2030).select(txt(F.col("date")).alias("date"), "holiday", (F.weekday("date") >= 5).alias("is_weekend"))
+    """The holidays of 36 years, and the orders that fall on them."""
+    orders = table(spark, sf_dir, "orders").groupBy(day("o_orderdate").alias("date")).agg(F.count("*").alias("n_orders"))
+    rows = dates.holidays(spark, 1995, 2030).join(orders, "date", "left")
+    return rows.select(txt(F.col("date")).alias("date"), "holiday", (F.weekday("date") >= 5).alias("is_weekend"), F.coalesce("n_orders", F.lit(0)).cast("long").alias("n_orders"))
 
 
 @bound("""
@@ -421,12 +424,14 @@ def ols_slope(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.median("l_quantity"), 6).alias("median_quantity"))
 
 
-VERSIONS = [("v1.2.3", "1.2.4"), ("1.10", "1.9.9"), ("2.0.0", "2"), ("0.9.1-beta", "0.9.1")]
-
-
-@bound("SELECT * FROM (VALUES ('v1.2.3','1.2.4',-1::INT),('1.10','1.9.9',1),('2.0.0','2',0),('0.9.1-beta','0.9.1',0)) t(a, b, cmp)")
+@bound("""
+WITH v AS (SELECT p_partkey, [p_size % 3, p_size % 7, p_partkey % 4] AS a, [p_size % 2, p_partkey % 7, 0] AS b FROM part)
+SELECT p_partkey, CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END::INT AS cmp FROM v""")
 def version_compare(spark, sf_dir):
-    return spark.createDataFrame(VERSIONS, "a string, b string").select("a", "b", text.compare_versions(F.col("a"), F.col("b")).alias("cmp"))
+    size, k = F.col("p_size"), F.col("p_partkey")
+    a = F.concat(F.lit("v"), F.concat_ws(".", (size % 3).cast("string"), (size % 7).cast("string"), (k % 4).cast("string")), F.when(k % 5 == 0, "-beta").otherwise(""))
+    b = F.concat_ws(".", (size % 2).cast("string"), (k % 7).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.compare_versions(a, b).alias("cmp"))
 
 
 @bound("""
@@ -444,13 +449,26 @@ def ics_lines(spark, sf_dir):
     return export.ics_fields(shifts(spark, sf_dir), title_times=True).select("event_id", "dtstart", "dtend", "summary")
 
 
-@bound()
+SOUP_RULES = [("07:30", "16:00", "F"), ("06:30", "14:45", "K"), ("19:30", "07:15", "N")]
+#: Two digits of each print replaced by ones that are mistaken for them.
+SOUP_CONFUSED = ("87301608", "86801445", "79800715")
+
+
+@bound("""
+WITH p AS (SELECT p_partkey AS k, p_partkey % 7 AS form, (p_partkey // 7) % 3 AS r FROM part), f AS (SELECT *, ['07301600', '06301445', '19300715'][r + 1] AS print, ['F', 'K', 'N'][r + 1] AS c FROM p)
+SELECT k AS p_partkey, CASE WHEN form < 6 THEN c END AS code, ['exact', 'exact', 'window', 'one-off', 'start', 'confused', 'none'][form + 1] AS how FROM f""")
 def digit_soup_match(spark, sf_dir):
+    """Clocks of three duties as a reader garbles them: whole, with letters, with more around, with a wrong digit, torn, confused, and no clock at all."""
     from ..operators import cells
 
-    soup = spark.createDataFrame([("0730 1600",), ("O73O-16OO",), ("07301500",), ("1930",), ("xx",)], "cell string")
-    rules = [("07:30", "16:00", "F"), ("07:30", "15:00", "K"), ("19:30", "07:30", "N")]
-    return cells.resolve_cells(soup, "cell", rules)
+    k = F.col("p_partkey")
+    form, r = k % 7, (F.floor(k / 7) % 3 + 1).cast("int")
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), r)
+    p, at = pick([(s + e).replace(":", "") for s, e, _ in SOUP_RULES]), (k % 8).cast("int")
+    wrong = F.concat(F.substring(p, F.lit(1), at), ((F.substring(p, at + 1, F.lit(1)).cast("int") + 1) % 10).cast("string"), F.substring(p, at + 2, F.lit(8)))
+    plain = F.concat_ws("-", F.substring(p, 1, 4), F.substring(p, 5, 4))
+    cell = F.when(form == 0, plain).when(form == 1, F.translate(plain, "01", "OI")).when(form == 2, F.concat(F.lit("9"), p, F.lit("9"))).when(form == 3, wrong).when(form == 4, F.substring(p, 1, 4)).when(form == 5, pick(SOUP_CONFUSED)).otherwise("xx")
+    return cells.resolve_cells(table(spark, sf_dir, "part").select("p_partkey", cell.alias("cell")), "cell", SOUP_RULES).select("p_partkey", "code", "how")
 
 
 @bound()

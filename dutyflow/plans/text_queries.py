@@ -306,12 +306,28 @@ PACK = {
 }
 
 
+def brand_packs(spark, sf_dir) -> packs.Pack:
+    """A pack for each brand (a few dozen): a duty for each hour in which its parts
+    have a size, with another spelling and a special code; those of odd numbers are nested by preset."""
+    hour = F.lpad((F.col("p_size") % 24).cast("string"), 2, "0")
+    late = F.lpad(((F.col("p_size") + 8) % 24).cast("string"), 2, "0")
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.concat(hour, F.lit(":00-"), late, F.lit(":00")).alias("key"), F.concat(F.lit("C"), hour).alias("code")).distinct()
+    found = rows.groupBy("brand").agg(F.array_sort(F.collect_list(F.struct("key", "code"))).alias("duties")).orderBy("brand").collect()
+    documents = {}
+    for r in found:
+        duties = {d["key"]: {"code": d["code"], "also": [d["code"].lower(), " "], "type": " Hour ", "isValidated": True} for d in r["duties"]} | {"SPECIAL:X": "X"}
+        n = int(r["brand"].split("#")[1])
+        documents[r["brand"]] = {"presets": {"other": {"00:00-01:00": "Z"}, "main": duties}} if n % 2 else {"dutyCodes": duties}
+        documents[r["brand"]]["composeRules"] = [{"id": r["brand"], "codes": [f"h{n % 5}", f" t{n} ", f"T{n % 3}"]}, {"id": "one", "codes": ["ALONE"]}]
+    return packs.pack(spark, documents, "main")
+
+
 @bound("""
-SELECT * FROM (VALUES ('main', 0, '07:00', '15:00', 420, 900, false, 'F', 'fd', 'day', false), ('main', 1, NULL, NULL, NULL, NULL, true, 'U', '', NULL, false), ('first', 0, '14:00', '22:00', 840, 1320, false, 'S', '', 'late', true))
-t(preset, ord, start, "end", start_min, end_min, is_special, code, also, type, validated)""")
+WITH d AS (SELECT DISTINCT p_brand AS scope, lpad((p_size % 24)::VARCHAR, 2, '0') AS h, p_size % 24 AS a, (p_size + 8) % 24 AS b FROM part),
+r AS (SELECT scope, (row_number() OVER (PARTITION BY scope ORDER BY h) - 1)::INT AS ord, h || ':00' AS start, lpad(b::VARCHAR, 2, '0') || ':00' AS "end", (a * 60)::INT AS start_min, (b * 60)::INT AS end_min, false AS is_special, 'C' || h AS code, 'c' || h AS also, 'hour' AS type, true AS validated FROM d)
+SELECT * FROM r UNION ALL SELECT scope, count(*)::INT, NULL, NULL, NULL, NULL, true, 'X', '', NULL, false FROM r GROUP BY scope""")
 def pack_codes(spark, sf_dir):
-    of = lambda name, preset: packs.pack(spark, {"p": PACK}, preset).codes.select(F.lit(name).alias("preset"), "ord", "start", "end", "start_min", "end_min", "is_special", "code", F.array_join("also", ",").alias("also"), "type", "validated")
-    return of("main", "main").unionByName(of("first", None))
+    return brand_packs(spark, sf_dir).codes.select("scope", "ord", "start", "end", "start_min", "end_min", "is_special", "code", F.array_join("also", ",").alias("also"), "type", "validated")
 
 
 @bound("SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n FROM lineitem WHERE l_returnflag IN ('N', 'R') GROUP BY 1, 2")
@@ -320,12 +336,19 @@ def semi_known_codes(spark, sf_dir):
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
-@bound("SELECT * FROM (VALUES ('N', 'RD,G'), ('area', 'a1=Station 1,a2=Zwei,x=x')) t(head, tails)")
+@bound("""
+WITH b AS (SELECT DISTINCT p_brand, split_part(p_brand, '#', 2)::INT AS n FROM part), o AS (SELECT *, 'H' || n % 5 AS head FROM b),
+t AS (SELECT head, unnest(['T' || n, 'T' || n % 3]) AS tail FROM o), c AS (SELECT p_type, count(*) % 5 + 2 AS last FROM part GROUP BY 1), g AS (SELECT p_type, unnest(range(1, last + 1)) AS i FROM c)
+SELECT head, array_to_string(list_sort(list(DISTINCT tail)), ',') AS tails FROM t GROUP BY head
+UNION ALL SELECT p_type, string_agg('a' || i || '=' || CASE WHEN i = 2 THEN 'Zwei' ELSE 'Station ' || i END, ',' ORDER BY i) || ',x=x' FROM g GROUP BY p_type""")
 def pack_rules(spark, sf_dir):
-    over = packs.overflow(packs.pack(spark, {"p": PACK}))
-    areas = packs.areas(spark, "p", [{"id": "g", "areas": [{"id": "a{n}", "label": "Station {n}", "from": 1, "to": 2, "overrides": {"2": {"label": "Zwei"}}}, {"id": "x"}]}])
-    rows = spark.createDataFrame([(k, ",".join(v)) for k, v in over.items()], "head string, tails string")
-    return rows.unionByName(areas.agg(F.lit("area").alias("head"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "area", "label"))), ",").alias("tails")))
+    """What may stand below a head code by the rules of all packs, and the numbered areas of each type of part."""
+    over = packs.overflow(brand_packs(spark, sf_dir))
+    rows = spark.createDataFrame([(k, ",".join(sorted(v))) for k, v in over.items()], "head string, tails string")
+    types = table(spark, sf_dir, "part").groupBy("p_type").agg((F.count("*") % 5 + 2).alias("last")).orderBy("p_type").collect()  # a few kinds
+    series = lambda last: [{"id": "a{n}", "label": "Station {n}", "from": 1, "to": last, "overrides": {"2": {"label": "Zwei"}}}, {"id": "x"}]
+    areas = packs.areas(spark, "p", [{"id": r["p_type"], "areas": series(r["last"])} for r in types])
+    return rows.unionByName(areas.groupBy(F.col("grp").alias("head")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "area", "label"))), ",").alias("tails")))
 
 
 @bound(r"""
@@ -392,17 +415,17 @@ def fetches_due(spark, sf_dir):
     return rows.select("o_orderkey", F.date_format(dates.next_reminder(F.col("last"), every, now), "yyyy-MM-dd").alias("due"), dates.overdue(F.col("last"), every, now).alias("late"), dates.header_month(head).alias("month"))
 
 
-NAMES = [
-    ("Dr. Müller-Löw, José", "dr muller low, jose", "muller", "jose"), ("Muster, Eva", "muster, eva", "muster", "eva"), ("Eva Muster", "eva muster", "muster", "eva"), ("OA Dr. Zeuner", "oa dr zeuner", "zeuner", ""),
-    ("Zeuner, Thomas Karl", "zeuner, thomas karl", "zeuner", "thomas karl"), ("Émile Ço", "emile co", "co", "emile"), ("Mo 1 Di 2 Mi 3", "mo 1 di 2 mi 3", "3", "mo 1 di 2 mi"), ("07:30", "07 30", "30", "07"),
-]
-
-
-@bound("SELECT label, key, surname, given, label IN ('Muster, Eva', 'Eva Muster', 'OA Dr. Zeuner', 'Zeuner, Thomas Karl') AS person FROM (VALUES " + ", ".join(str(x) for x in NAMES) + ") t(label, key, surname, given)")
+@bound("""
+WITH n AS (SELECT c_custkey, c_custkey % 6 AS form, 'k' || translate(c_custkey::VARCHAR, '0123456789', 'abcdefghij') || 'er' AS low FROM customer)
+SELECT c_custkey, ['dr ' || low || ' low, jose', low || ', eva', 'eva ' || low, 'oa dr ' || low, low || ', thomas karl', 'mo 1 di ' || low][form + 1] AS key, low AS surname,
+  ['jose', 'eva', 'eva', '', 'thomas karl', 'mo 1 di'][form + 1] AS given, form IN (1, 2, 3, 4) AS person FROM n""")
 def name_parts(spark, sf_dir):
+    k = F.col("c_custkey")
+    last = F.concat(F.lit("K"), F.translate(k.cast("string"), "0123456789", "abcdefghij"), F.lit("er"))
+    forms = F.array(F.concat(F.lit("Dr. "), last, F.lit("-Löw, José")), F.concat(last, F.lit(", Eva")), F.concat(F.lit("Eva "), last), F.concat(F.lit("OA Dr. "), last), F.concat(last, F.lit(", Thomas Karl")), F.concat(F.lit("Mo 1 Di "), last))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(forms, (k % 6 + 1).cast("int")).alias("label"))
     key = text.name_key(F.col("label"))
-    rows = spark.createDataFrame([(x[0],) for x in NAMES], "label string")
-    return rows.select("label", key.alias("key"), text.surname(key).alias("surname"), F.array_join(text.given_names(key), " ").alias("given"), text.plausible_person(F.col("label")).alias("person"))
+    return rows.select("c_custkey", key.alias("key"), text.surname(key).alias("surname"), F.array_join(text.given_names(key), " ").alias("given"), text.plausible_person(F.col("label")).alias("person"))
 
 
 @bound("""

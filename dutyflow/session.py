@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -28,6 +31,18 @@ def session(master: str = "local[*]", app: str = "dutyflow", **conf: str) -> Spa
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors
+    share. Only a session on one machine that names none gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="dutyflow-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 _shipped: set[str] = set()
 
 

@@ -92,6 +92,18 @@ def token_rows(files: DataFrame, key: str = "path") -> DataFrame:
     return files.select(key, read("content").alias("tokens"))
 
 
+def picture_rows(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, picture) of PDF contents: the largest embedded JPEG; null without one."""
+    ship(files.sparkSession)
+
+    @F.pandas_udf("binary")
+    def read(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(largest_jpeg)
+
+    return files.select(key, read("content").alias("picture"))
+
+
 def sheet_lines(docs: DataFrame, key: str = "path", most: int = 18, most_dated: int = 12) -> DataFrame:
     """(key, line_no, line): token streams cut at anchors into time-sheet lines.
 
