@@ -71,8 +71,10 @@ def document_kind(x: Column, payslip: Sequence[str] = (), shift: Sequence[str] =
 
 
 def code_hits(docs: DataFrame, key: str, text: str, codes: DataFrame, least: int = 10) -> DataFrame:
-    """(key, hits, enough): duty code tokens of each text, by a semi-join with the spellings."""
-    tokens = F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b[A-Za-z][A-Za-z0-9]{0,5}\b|//|/"), F.lit(0)))
+    """(key, hits, enough): duty code tokens of each text, by a semi-join with the
+    spellings. A token ends where ASCII letters, digits and underscores do."""
+    token = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9]{0,5}(?![A-Za-z0-9_])|//|/"
+    tokens = F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(token), F.lit(0)))
     rows = docs.select(key, tokens.alias("t")).select(key, F.upper("t").alias("spelling"))
     own = F.col("spelling").isin("/", "//")
     known = rows.join(codes.select("spelling", F.lit(True).alias("_in")), "spelling", "left")

@@ -245,9 +245,9 @@ def rows_by_date(spark, sf_dir):
 
 @bound(f"""
 WITH {SHIFT_SQL}, c AS (SELECT user_id, day(d) AS day, event_type, min(st) AS st FROM s GROUP BY 1, 2, 3), g AS (SELECT user_id, day, string_agg(event_type, '+' ORDER BY st, event_type) AS cell FROM c GROUP BY 1, 2)
-SELECT user_id, max(cell) FILTER (day = 1) AS d1, max(cell) FILTER (day = 15) AS d15, max(cell) FILTER (day = 30) AS d30 FROM g GROUP BY 1""")
+SELECT user_id, {", ".join(f"max(cell) FILTER (day = {i}) AS d{i}" for i in range(1, 32))} FROM g GROUP BY 1""")
 def month_grid(spark, sf_dir):
-    return marts.month_grid(shifts(spark, sf_dir), ["user_id"]).select("user_id", F.col("1").alias("d1"), F.col("15").alias("d15"), F.col("30").alias("d30"))
+    return marts.month_grid(shifts(spark, sf_dir), ["user_id"]).select("user_id", *[F.col(str(i)).alias(f"d{i}") for i in range(1, 32)])
 
 
 @bound("""

@@ -7,13 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import classify, grid, merge, names, parsers, roster
+from ..operators import classify, grid, lookups, merge, names, parsers, roster
 from ..session import shared_folder
 from ..sources import packs, pdf, readers, store
 from ..streaming import upsert, waits
 from . import ingest
 from .bindings import bound, table, txt
-from .operator_queries import RESOLVED_SQL, time_codes
+from .operator_queries import RESOLVED_SQL, hour_shifts, time_codes
 from .roster_queries import KIND_SQL, kinds
 from .text_queries import CELL_SQL, LIST_SQL, PACK, PLACED_SQL, PROTOCOL, SHEET_SQL, cells, hour_rows, list_docs, sheet_docs, shown, tokens, written
 
@@ -51,6 +51,11 @@ def composed_roster(spark, sf_dir):
     return out.select("src_doc", txt(F.col("date")).alias("date"), "type", "start", "end", "all_day", "is_validated", "is_special")
 
 
+@bound(f"WITH {RESOLVED_SQL} SELECT event_id, exact AS code, ok AS validated FROM q")
+def exact_times(spark, sf_dir):
+    return lookups.by_times(hour_shifts(spark, sf_dir).select("event_id", "start", "end"), time_codes(spark)).select("event_id", "code", "validated")
+
+
 OVERFLOW_PACK = PACK | {"colors": {"S": "#00ff00", "RD": "#ff0000", "G": "#0000ff"}}
 
 

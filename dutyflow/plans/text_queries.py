@@ -260,13 +260,13 @@ def grid_lines(spark, sf_dir):
 
 
 @bound("""
-WITH t AS (SELECT 'p' || (l_suppkey % 20) AS page, l_orderkey * 10 + l_linenumber AS id, ['F', 'N', 'NF', 'toolongtext'][l_partkey % 4 + 1] AS x, (l_partkey * 37 % 800)::DOUBLE AS x0, (l_orderkey * 53 % 600)::DOUBLE AS y0, l_returnflag AS f FROM lineitem WHERE l_linenumber = 1),
+WITH t AS (SELECT 'p' || l_suppkey || '-' || l_linenumber AS page, l_orderkey * 10 + l_linenumber AS id, ['F', 'N', 'NF', 'toolongtext'][l_partkey % 4 + 1] AS x, (l_partkey * 37 % 800)::DOUBLE AS x0, (l_orderkey * 53 % 600)::DOUBLE AS y0, l_returnflag AS f FROM lineitem),
 u AS (SELECT page, id, min(x) AS x, min(x0) AS x0, min(y0) AS y0, min(f) AS f FROM t GROUP BY 1, 2),
 s AS (SELECT DISTINCT a.page, a.id FROM u a JOIN u b ON a.page = b.page AND a.f <> 'A' AND length(a.x) <= 6 AND (b.f = 'A' OR (b.f <> 'A' AND length(b.x) <= 6 AND b.id < a.id)) AND abs(a.x0 - b.x0) <= 32 AND abs(a.y0 - b.y0) <= 24 AND (lower(a.x) = lower(b.x) OR contains(a.x, b.x) OR contains(b.x, a.x)))
 SELECT page AS page_id, id::BIGINT AS token_id FROM u WHERE f = 'A' OR (length(x) <= 6 AND NOT EXISTS (SELECT 1 FROM s WHERE s.page = u.page AND s.id = u.id))""")
 def passes_merged(spark, sf_dir):
     k = lambda a, m: F.pmod(F.col(a), F.lit(m)).cast("double")
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("p"), F.col("l_suppkey") % 20).alias("page_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("token_id"), F.element_at(F.array(*[F.lit(x) for x in ("F", "N", "NF", "toolongtext")]), (F.col("l_partkey") % 4 + 1).cast("int")).alias("text"), (F.col("l_partkey") * 37).alias("a"), (F.col("l_orderkey") * 53).alias("b"), "l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_suppkey", F.lit("-"), "l_linenumber").alias("page_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("token_id"), F.element_at(F.array(*[F.lit(x) for x in ("F", "N", "NF", "toolongtext")]), (F.col("l_partkey") % 4 + 1).cast("int")).alias("text"), (F.col("l_partkey") * 37).alias("a"), (F.col("l_orderkey") * 53).alias("b"), "l_returnflag")
     rows = rows.groupBy("page_id", "token_id").agg(F.min("text").alias("text"), F.min(k("a", 800)).alias("x"), F.min(k("b", 600)).alias("y"), F.min("l_returnflag").alias("f")).withColumns({"w": F.lit(10.0), "h": F.lit(10.0)})
     return grid.merge_passes(rows.where("f = 'A'").drop("f"), rows.where("f <> 'A'").drop("f")).select("page_id", "token_id")
 
@@ -360,12 +360,10 @@ def document_kinds(spark, sf_dir):
 
 
 @bound(r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+|//|/'), lambda w: w IN ('/', '//') OR upper(w) IN ('THE', 'DER', 'UN', 'LE')) AS hits FROM documents) SELECT doc_id, len(hits)::BIGINT AS hits, len(hits) >= 10 AS enough FROM d
-WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '[^\x00-\x7F]'))""")
+WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+|//|/'), lambda w: w IN ('/', '//') OR upper(w) IN ('THE', 'DER', 'UN', 'LE')) AS hits FROM documents) SELECT doc_id, len(hits)::BIGINT AS hits, len(hits) >= 10 AS enough FROM d""")
 def known_code_hits(spark, sf_dir):
     codes = spark.createDataFrame([("THE",), ("DER",), ("UN",), ("LE",)], "spelling string")
-    plain = table(spark, sf_dir, "documents").where(~F.coalesce("text", F.lit("")).rlike(r"[^\x00-\x7F]"))
-    return classify.code_hits(plain, "doc_id", "text", codes)
+    return classify.code_hits(table(spark, sf_dir, "documents"), "doc_id", "text", codes)
 
 
 @bound(f"WITH {CELL_SQL} SELECT page AS page_id, 0::BIGINT AS left_dates, 28::BIGINT AS weekdays, 0::BIGINT AS day_numbers FROM ce GROUP BY page")
@@ -461,12 +459,11 @@ def anonymous_plans(spark, sf_dir):
 
 
 @bound(f"""
-WITH {PLACED_SQL}, w AS (SELECT user_id, strftime(d, '%d') || ' KO* ' || st || ' ' || event_id AS line, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM p WHERE event_id % 2 = 0)
-SELECT 'u' || user_id AS src_doc, 'PEP 1' || chr(10) || 'PEP 2' || chr(10) || string_agg(line, chr(10) ORDER BY k) AS sample FROM w WHERE k <= 12 GROUP BY user_id HAVING count(*) >= 4""")
+WITH {PLACED_SQL}, w AS (SELECT user_id, event_id % 2 = 0 AS work, strftime(d, '%d') || ' KO* ' || st || ' ' || event_id AS line, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS k FROM p)
+SELECT 'u' || user_id AS src_doc, 'PEP 1' || chr(10) || 'PEP 2' || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (work AND k <= 12), 'prose' || chr(10) || '{privacy.FEW_TIMES}') AS sample FROM w GROUP BY user_id""")
 def telling_lines(spark, sf_dir):
     line = F.when(F.col("event_id") % 2 == 0, F.concat(F.date_format("date", "dd"), F.lit(" KO* "), F.col("start"), F.lit(" "), F.col("event_id"))).otherwise("prose")
     docs = written(hour_rows(spark, sf_dir), line, "PEP 1\nPEP 2\nPEP 1\n").withColumn("lines", F.split("content", "\n"))
-    docs = docs.where(F.size(F.filter("lines", lambda x: x.contains("KO*"))) >= 4)
     return docs.select("src_doc", F.array_join(privacy.sample_lines(F.col("lines")), "\n").alias("sample"))
 
 
