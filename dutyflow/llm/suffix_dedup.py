@@ -12,8 +12,8 @@ A byte goes if a string of LENGTH bytes over it also starts anywhere else.
    are still tied are sorted again) and gets the common prefixes of neighbours
    in the array by Kasai's walk, all runs in step.
 3. Shards of one key are merged: each gives one string for each group of equal
-   windows, and binary search in the sorted strings of the others finds those
-   that start in another shard too.
+   windows, by hash; binary search in the sorted hashes of all shards finds those
+   that may start in another shard too, and their bytes decide.
 """
 
 from __future__ import annotations
@@ -267,8 +267,8 @@ def _hashes(data: np.ndarray, base: int) -> np.ndarray:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct windows of split keys, dealt by hash: those that are single in
-    their shard but that binary search finds in another one."""
+    """Distinct windows of split keys, dealt by hash: those whose hashes binary
+    search finds in another shard as well."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
@@ -277,9 +277,30 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = K.mixed(h1 ^ K.mixed(h2))
     every = np.sort(own)
     times = np.searchsorted(every, own, "right") - np.searchsorted(every, own, "left")
-    hit = pa.array(np.flatnonzero((times > 1) & rows.column("alone").to_numpy(zero_copy_only=False)))
-    found = rows.select(["node", "start", "end"]).take(hit)
-    yield from found.to_batches()
+    yield from rows.select(["node", "start", "alone"]).take(pa.array(np.flatnonzero(times > 1))).to_batches()
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], most: int = 4_000) -> Iterator[pa.RecordBatch]:
+    """Texts with wanted windows -> one row for each window with its bytes."""
+    for batch in batches:
+        for node, text, wanted in zip(batch.column("node"), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
+            raw = text.as_buffer().to_pybytes()
+            for lo in range(0, len(wanted), most):
+                some = wanted[lo : lo + most]
+                cols = [pa.array([raw[w["start"] : w["start"] + LENGTH] for w in some], pa.binary()), pa.array([node.as_py()] * len(some), pa.binary()), pa.array([w["start"] for w in some], pa.int64()), pa.array([w["alone"] for w in some], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols, ["bytes", "node", "start", "alone"])
+
+
+def confirmed(matched: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, start, end) of windows that are alone in their shard and whose bytes
+    another shard has too. matched: (node, start, alone), a row for each shard and
+    distinct window that hashes found twice or more, so a group of equal bytes has
+    as many rows as shards of one key."""
+    wanted = matched.groupBy("node").agg(F.collect_list(F.struct("start", "alone")).alias("wanted"))
+    windows = arrow(texts.select("node", "text").join(wanted, "node"), _sliced, "bytes binary, node binary, start long, alone boolean")
+    single = F.filter(F.collect_list(F.struct("node", "start", "alone")), lambda w: w["alone"])
+    same = windows.groupBy("bytes").agg(F.count("*").alias("n"), single.alias("w")).where("n > 1")
+    return same.select(F.explode("w").alias("w")).select("w.node", "w.start", (F.col("w.start") + LENGTH).alias("end"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -367,7 +388,7 @@ def _repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     found = stored(arrow(cut, _within, "node binary, start long, end long, h1 long, h2 long, shard long, alone boolean"), "suffix-found")
     split = found.where("h1 is not null")
     split = split.repartition(max(n, -(-split.count() // MERGE_ROWS)), "h1")
-    spans = found.where("h1 is null").select("node", "start", "end").unionByName(arrow(split, _merged, "node binary, start long, end long"))
+    spans = found.where("h1 is null").select("node", "start", "end").unionByName(confirmed(arrow(split, _merged, "node binary, start long, alone boolean"), texts))
     spans = spans.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     return seen, nodes.select("node", "copies"), texts, spans
 
