@@ -4,6 +4,7 @@ stage before it kept, written as Parquet and read again in between."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dutyflow.llm import common, decontam, langid, mixing, neardup, sharding
 
@@ -31,8 +32,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard and slot."""
-    return sharding.shard(docs, SHARDS, keep=("text", "lang", "source", "n_chars")).drop("row")
+    """Every document, with all its columns, its size, checksum, shard and slot. A
+    column of the documents that is called like one of these four gets doc_ in front."""
+    own, results = common.unused(docs, "_doc"), ("size", "text_crc32", "shard", "slot")
+    dealt = sharding.shard(docs.withColumn(own, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), SHARDS, keep=(own,))
+    kept = [F.col(own)[c].alias(f"doc_{c}" if c.lower() in results else c) for c in docs.columns]
+    return dealt.select(*kept, *results)
 
 
 STAGES = [
@@ -45,7 +50,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; a stage's output goes through the shared folder."""
+    """All stages over the documents; a stage's output goes through the shared folder.
+
+    The documents need doc_id, text, lang and source; other columns come along. Null
+    ids, texts, languages and sources, repeated rows, empty texts and very long ones
+    are treated as the stages' operators say; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
