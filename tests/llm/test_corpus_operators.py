@@ -385,14 +385,15 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
-    items = [(i, prose(i, 80), "en" if i % 3 else "de", f"s{i % 4}", 0) for i in range(60)]
-    items += [(100 + i, items[i][1], "en", "s0", 0) for i in range(10)] + [(200, "!!! 12", "en", "s1", 0), (201, None, "en", "s1", 0), (202, prose(77, 30), "en", "s2", 0)]
-    spark.createDataFrame(items, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(i, prose(i, 80), "en" if i % 3 else "de", f"s{i % 4}", f"own{i}", i) for i in range(60)]
+    items += [(100 + i, items[i][1], "en", "s0", "x", 0) for i in range(10)] + [(200, "!!! 12", "en", "s1", "x", 0), (201, None, "en", "s1", "x", 0), (202, prose(77, 30), "en", "s2", "x", 0)]
+    spark.createDataFrame(items, "doc_id long, text string, lang string, source string, Shard string, row long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, prose(77, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = cp.run(spark, str(tmp_path)).collect()
     ids = {r["doc_id"] for r in out}
     assert not ids & {*range(100, 110), 200, 201, 202} and ids <= set(range(60)) and len(ids) > 20
     assert sorted(r["slot"] * cp.SHARDS + r["shard"] for r in out) == list(range(len(out)))
+    assert all(r["doc_Shard"] == f"own{r['doc_id']}" and r["row"] == r["doc_id"] for r in out)  # own columns come along
     # the mix by brute force: rows by source and hash, each as often as the thresholds say
     left = [i for i in items if i[0] < 60]
     size = Counter()
@@ -424,6 +425,14 @@ def test_pipeline(spark, tmp_path):
     assert Counter(r["doc_id"] for r in out) == +want
 
 
+def test_equal_hashes_remove_nothing_without_equal_bytes(spark, rows):
+    """Whatever the hashes of the merge say, a window counts only if another shard has its bytes."""
+    one, two = "a" * 500 + prose(1, 40), "b" * 500 + prose(2, 40)
+    texts = spark.createDataFrame([(b"1", one), (b"2", two), (b"3", one)], "node binary, text string")
+    matched = spark.createDataFrame([(b"1", 3, True), (b"2", 3, True), (b"1", 510, True), (b"2", 520, False), (b"3", 510, False)], "node binary, start long, alone boolean")
+    assert [(bytes(n), s, e) for n, s, e in rows(suffix_dedup.confirmed(matched, texts))] == [(b"1", 510, 910)]
+
+
 def test_mix_of_rows_without_ids_comes_near_its_target(spark):
     rows = rows_of(spark, [(None, prose(i, 3 + i % 9), "en", "a", 0) for i in range(300)] + [(i if i % 3 else None, prose(900 + i, 5), "en", "b", 0) for i in range(90)])
     got = mixing.mix(rows).collect()
