@@ -21,12 +21,22 @@ CLOCK_CELL = r"^\d{1,2}[:.]\d{2}(-\d{1,2}[:.]\d{2})?$"
 CODE_CELL = r"^([A-ZÄÖÜ]{1,3}\d{1,2}|[A-ZÄÖÜ]{1,2}|[A-ZÄÖÜ]{2,3}-[A-ZÄÖÜ0-9]{1,3})$"
 ENTRY_LINE = r"(?iu)\b\d{1,2}[./-]\d{1,2}(?:[./-]\d{2,4})?\b.*(?:\b\d{1,2}:\d{2}\b|\b[A-ZÄÖÜ]{1,5}\b)"
 WEEKDAY_MARK = rf"(?i)(?:{DAYS}|Mon|Tue|Wed|Thu|Fri|Sat|Sun)(?=[0-9]|\b)"
-DAY_TITLE = r"(?i)\b(tagesplan|tag(es)?\s*plan|daily\s*plan|day\s*roster)\b"
-CALENDAR_TITLE = r"(?i)\b(einzelkalender|mein\s*kalender|personal\s*calendar|my\s*calendar|monatskalender)\b"
+#: Titles of day plans and calendars, word by word.
+DAY_TITLES = ("tag plan", "tages plan", "daily plan", "day roster")
+CALENDAR_TITLES = ("einzelkalender", "mein kalender", "monatskalender", "my calendar", "personal calendar")
 MONTH_NAME = (
     r"(?iu)\b(januar|februar|märz|maerz|april|mai|juni|juli|august|september|oktober|november|dezember"
     r"|january|february|march|may|june|july|october|december)\b"
 )
+# fixed values: weights and steps of the scores. Steps are (least, value), highest first, with the value below them
+MONTH = {"columns": (0.4, ((20, 1.0), (10, 0.75), (7, 0.45)), 0.25), "people": (0.35, ((10, 1.0), (5, 0.8), (2, 0.55)), 0.3), "filled": (0.25, 0.25)}
+HINTS = {"width": 0.4, "names": (0.4, ((10, 1.0), (5, 0.8), (2, 0.55)), 0.0), "cells": (0.2, 40), "most": 0.85, "signal": 7, "least_names": 2}
+WIDTHS = (((20, 24, None), 1.0), ((10, 14, None), 0.75), ((7, None, 10), 0.55))  # (headers, numbers or signal at least), value
+NARROW, BOARD_DAMP, LEFT_DAMP, PACK_DAMP = 0.35, 0.2, 0.45, 0.75
+WEEK = {"grid": 0.55, "day": 0.06, "people": (16, 0.3), "text": (0.18, 0.05, 0.45), "least_days": 4, "dates_below": 12}
+DUTY = {"dates": (28, 0.45), "duties": (4, 0.4), "left": (8, 0.12), "top": (2, 0.04, 0.18), "board": 0.15, "marker": 0.08, "strip": (10, 0.3), "people": (6, 0.4)}
+DAY_PLAN = {"title": 0.35, "clock": 0.05, "few": 0.4, "clocks": (16, 0.55), "one_date": 0.2, "two_dates": 0.1}
+CALENDAR = {"title": 0.4, "month": 0.15, "days": ((28, 0.45), (20, 0.35), (10, 0.2))}
 #: Layouts in the order in which the first of equal scores wins.
 LAYOUTS = ("month", "week", "date-duty", "list", "day-plan", "calendar")
 
@@ -39,6 +49,18 @@ def steps(x: Column, table: Sequence[tuple[float, float]], otherwise: float) ->
     return out
 
 
+def titled(x: Column, titles: Sequence[str]) -> Column:
+    """Whether one of the titles stands in the text, its words together or apart."""
+    one = "|".join(r"\s*".join(t.split()) for t in titles)
+    return x.rlike(rf"(?i)\b(?:{one})\b")
+
+
+def weighted(x: Column, rule: tuple) -> Column:
+    """weight * step of x, for a rule (weight, steps, value below)."""
+    weight, table, below = rule
+    return weight * steps(x, table, below)
+
+
 def within(x: Column, most: float = 1.0) -> Column:
     return F.greatest(F.least(x, F.lit(most)), F.lit(0.0))
 
@@ -106,15 +128,22 @@ def _is_board() -> Column:
 def month_score(pack_has_duties: bool = False) -> Column:
     """The better of the grid that was built and of token hints, less where the left side holds dates."""
     cols, people = _of("columns"), _of("people")
-    built = 0.4 * steps(cols, ((20, 1.0), (10, 0.75), (7, 0.45)), 0.25) + 0.35 * steps(people, ((10, 1.0), (5, 0.8), (2, 0.55)), 0.3) + 0.25 * within(_of("filled") / 0.25)
+    share, full = MONTH["filled"]
+    built = weighted(cols, MONTH["columns"]) + weighted(people, MONTH["people"]) + share * within(_of("filled") / full)
     built = F.when((cols >= 3) & (people >= 1), within(built)).otherwise(0.0)
     heads, numbers, names = _of("headers"), _of("numbers"), _of("names")
     signal = heads + F.least(_of("weekdays"), F.lit(7)) + F.when(numbers >= 10, F.least(numbers / 2, F.lit(14.0))).otherwise(0.0)
-    width = F.when((heads >= 20) | (numbers >= 24), 1.0).when((heads >= 10) | (numbers >= 14), 0.75).when((heads >= 7) | (signal >= 10), 0.55).otherwise(0.35)
-    hints = within(0.4 * width + 0.4 * steps(names, ((10, 1.0), (5, 0.8), (2, 0.55)), 0.0) + 0.2 * within(_of("cells") / 40), 0.85)
-    best = F.greatest(built, F.when((signal >= 7) & (names >= 2), hints).otherwise(0.0))
-    damp = F.when(_is_board(), 0.2).when((_of("left_dates") >= 6) & (heads < 8), 0.45).otherwise(1.0)
-    return within(best * damp * (F.when(_of("left_dates") >= 8, 0.75).otherwise(1.0) if pack_has_duties else F.lit(1.0)))
+    width = F.lit(NARROW)
+    for (by_heads, by_numbers, by_signal), value in reversed(WIDTHS):
+        enough = heads >= by_heads
+        for have, least in ((numbers, by_numbers), (signal, by_signal)):
+            enough = enough if least is None else enough | (have >= least)
+        width = F.when(enough, F.lit(value)).otherwise(width)
+    cell_weight, many = HINTS["cells"]
+    hints = within(HINTS["width"] * width + weighted(names, HINTS["names"]) + cell_weight * within(_of("cells") / many), HINTS["most"])
+    best = F.greatest(built, F.when((signal >= HINTS["signal"]) & (names >= HINTS["least_names"]), hints).otherwise(0.0))
+    damp = F.when(_is_board(), BOARD_DAMP).when((_of("left_dates") >= 6) & (heads < 8), LEFT_DAMP).otherwise(1.0)
+    return within(best * damp * (F.when(_of("left_dates") >= 8, PACK_DAMP).otherwise(1.0) if pack_has_duties else F.lit(1.0)))
 
 
 def is_week(columns: Column, people: Column) -> Column:
@@ -124,9 +153,10 @@ def is_week(columns: Column, people: Column) -> Column:
 
 def week_score(x: Column) -> Column:
     days = F.size(F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(WEEKDAY_MARK), F.lit(0)), lambda d: F.lower(F.substring(d, 1, 2)))))
-    grid = within(0.55 + days * 0.06 + F.least(_of("people") / 16, F.lit(0.3)))
-    score = F.when(is_week(_of("columns"), _of("people")), grid).otherwise(F.least(0.18 + days * 0.05, F.lit(0.45)))
-    return F.when((days >= 4) & (F.regexp_count(x, F.lit(DATE)) < 12), score).otherwise(0.0)
+    (crowd, most), (base, each, cap) = WEEK["people"], WEEK["text"]
+    grid = within(WEEK["grid"] + days * WEEK["day"] + F.least(_of("people") / crowd, F.lit(most)))
+    score = F.when(is_week(_of("columns"), _of("people")), grid).otherwise(F.least(base + days * each, F.lit(cap)))
+    return F.when((days >= WEEK["least_days"]) & (F.regexp_count(x, F.lit(DATE)) < WEEK["dates_below"]), score).otherwise(0.0)
 
 
 def date_duty_score(x: Column, duties: Sequence[tuple[str, Sequence[str], bool]], markers: Sequence[str] = ()) -> Column:
@@ -137,14 +167,16 @@ def date_duty_score(x: Column, duties: Sequence[tuple[str, Sequence[str], bool]]
     hits = sum((_needle(whole, n).cast("int") if n.isdigit() else whole.contains(n).cast("int") for _, needles, _ in duties for n in needles), F.lit(0))
     heads, left, top = _of("duty_headers"), _of("left_dates"), _of("top_duties")
     dates = F.greatest(F.size(F.array_distinct(F.regexp_extract_all(x, F.lit(DATE), F.lit(0)))), _of("dates"), left)
-    score = F.least(dates / 28, F.lit(0.45)) + F.least((hits + heads) / float(max(4, len(duties))), F.lit(0.4))
-    score += F.when(left >= 8, 0.12).otherwise(0.0) + F.when(top >= 2, F.least(top * 0.04, F.lit(0.18))).otherwise(0.0)
-    score += F.when(_is_board() & ((heads >= 2) | (hits >= 2)), 0.15).otherwise(0.0)
+    (month, most_dates), (fewest, most_duties), (lefts, left_bonus), (tops, each_top, most_top) = DUTY["dates"], DUTY["duties"], DUTY["left"], DUTY["top"]
+    score = F.least(dates / month, F.lit(most_dates)) + F.least((hits + heads) / float(max(fewest, len(duties))), F.lit(most_duties))
+    score += F.when(left >= lefts, left_bonus).otherwise(0.0) + F.when(top >= tops, F.least(top * each_top, F.lit(most_top))).otherwise(0.0)
+    score += F.when(_is_board() & ((heads >= 2) | (hits >= 2)), DUTY["board"]).otherwise(0.0)
     if markers:
-        score += F.when(F.exists(F.array(*[F.lit(f"(?i){m}") for m in markers]), lambda m: F.regexp(x, m)), 0.08).otherwise(0.0)
+        score += F.when(F.exists(F.array(*[F.lit(f"(?i){m}") for m in markers]), lambda m: F.regexp(x, m)), DUTY["marker"]).otherwise(0.0)
     strip = F.regexp_count(x, F.lit(rf"(?i)\b(?:{DAYS})\s*\d{{1,2}}\b"))
     people = F.regexp_count(x, F.lit(r"[A-ZÄÖÜ][A-Za-zÄÖÜäöüß\-']{2,},\s*[A-ZÄÖÜ]"))
-    score = score * F.when((_of("headers") >= 10) | (strip >= 10), 0.3).otherwise(1.0) * F.when((people >= 6) & (dates < 10) & (left < 6), 0.4).otherwise(1.0)
+    (long, strip_damp), (crowd, people_damp) = DUTY["strip"], DUTY["people"]
+    score = score * F.when((_of("headers") >= long) | (strip >= long), strip_damp).otherwise(1.0) * F.when((people >= crowd) & (dates < 10) & (left < 6), people_damp).otherwise(1.0)
     return F.when((dates < 8) & (hits < 2) & (heads < 2), 0.0).otherwise(within(score))
 
 
@@ -156,19 +188,20 @@ def list_score(x: Column) -> Column:
 
 def day_plan_score(x: Column) -> Column:
     """Many clocks and hardly a date."""
-    title = F.when(x.rlike(DAY_TITLE), 0.35).otherwise(0.0)
+    title = F.when(titled(x, DAY_TITLES), DAY_PLAN["title"]).otherwise(0.0)
     clocks = F.regexp_count(x, F.lit(CLOCK))
     dates = F.size(F.array_distinct(F.regexp_extract_all(x, F.lit(rf"{DATE}|\b\d{{4}}-\d{{2}}-\d{{2}}\b"), F.lit(0))))
-    few = F.when(title > 0, F.least(title + clocks * 0.05, F.lit(0.4))).otherwise(0.0)
-    many = within(title + F.least(clocks / 16, F.lit(0.55)) + F.when(dates <= 1, 0.2).when(dates == 2, 0.1).otherwise(0.0))
+    few = F.when(title > 0, F.least(title + clocks * DAY_PLAN["clock"], F.lit(DAY_PLAN["few"]))).otherwise(0.0)
+    full, most = DAY_PLAN["clocks"]
+    many = within(title + F.least(clocks / full, F.lit(most)) + F.when(dates <= 1, DAY_PLAN["one_date"]).when(dates == 2, DAY_PLAN["two_dates"]).otherwise(0.0))
     return F.when(clocks < 4, few).when(dates > 3, 0.0).otherwise(many)
 
 
 def calendar_score(x: Column) -> Column:
     """A calendar's title, a month's name and many day numbers."""
-    title, month = F.when(x.rlike(CALENDAR_TITLE), 0.4).otherwise(0.0), F.when(x.rlike(MONTH_NAME), 0.15).otherwise(0.0)
+    title, month = F.when(titled(x, CALENDAR_TITLES), CALENDAR["title"]).otherwise(0.0), F.when(x.rlike(MONTH_NAME), CALENDAR["month"]).otherwise(0.0)
     days = _of("two_digits")
-    return F.when((F.trim(x) == "") | ((days < 10) & (title == 0)), 0.0).otherwise(within(title + month + steps(days, ((28, 0.45), (20, 0.35), (10, 0.2)), 0.0)))
+    return F.when((F.trim(x) == "") | ((days < 10) & (title == 0)), 0.0).otherwise(within(title + month + steps(days, CALENDAR["days"], 0.0)))
 
 
 def layout_scores(pages: DataFrame, tokens: DataFrame, grids: DataFrame | None = None, duties: Sequence[tuple[str, Sequence[str], bool]] = (), markers: Sequence[str] = ()) -> DataFrame:
