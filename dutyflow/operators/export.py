@@ -67,16 +67,33 @@ def ics_events(shifts: DataFrame, title_times: bool = False, split: bool = False
     return rows.select("date", "uid", event.alias("event"))
 
 
+HEAD = "\r\n".join(("BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//dutyflow//DE", "CALSCALE:GREGORIAN"))
+FOOT = "END:VCALENDAR"
+
+
+def _framed(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Lines of calendars (k, date, uid, event and the keys), with a head and a foot for each key that has events."""
+    frame = events.select(*keys).distinct() if keys else events.limit(1).select(F.lit(1).alias("_one"))
+    ends = frame.withColumn("_f", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit(HEAD).alias("event")), F.struct(F.lit(2).alias("k"), F.lit(FOOT).alias("event")))))
+    ends = ends.select(*keys, "_f.k", F.lit(None).cast("date").alias("date"), F.lit("").alias("uid"), "_f.event")
+    return ends.unionByName(events.select(*keys, F.lit(1).alias("k"), "date", "uid", "event"))
+
+
 def write_ics(shifts: DataFrame, path: str, **options: bool) -> None:
     """One calendar file: head, events by date, foot. A person's calendar is small, so one task writes it."""
-    events = ics_events(shifts, **options)
-    head = "\r\n".join(("BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//dutyflow//DE", "CALSCALE:GREGORIAN"))
-    spark = shifts.sparkSession
-    frame = spark.createDataFrame([(0, head), (2, "END:VCALENDAR")], "k int, event string")
-    rows = frame.select("k", F.lit(None).cast("date").alias("date"), F.lit("").alias("uid"), "event").unionByName(events.select(F.lit(1).alias("k"), "date", "uid", "event"))
+    rows = _framed(ics_events(shifts, **options), [])
     rows.repartition(1).sortWithinPartitions("k", "date", "uid").select("event").write.option("lineSep", "\r\n").mode("overwrite").text(path)
 
 
+def write_calendars(shifts: DataFrame, key: str, path: str, **options: bool) -> None:
+    """A calendar file for each value of ``key`` (in folders key=value), all of them by one distributed write."""
+    own = ics_fields(split_overnight(shifts) if options.get("split") else shifts).select("uid", key).distinct()
+    rows = _framed(ics_events(shifts, **options).join(own, "uid"), [key])
+    parts = int(shifts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, key).sortWithinPartitions(key, "k", "date", "uid")
+    dealt.select(key, "event").write.option("lineSep", "\r\n").mode("overwrite").partitionBy(key).text(path)
+
+
 def nearest_colour(code: Column, palette: Sequence[tuple[int, str]]) -> Column:
     """Palette id of an equal colour, else of the nearest by squared distance (the smaller id of equal ones); null for no colour."""
     best = F.array_min(F.array(*[F.struct(numbers.colour_distance(code, F.lit(h)).alias("d"), F.lit(i).alias("i")) for i, h in palette]))

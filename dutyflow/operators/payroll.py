@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,13 @@ def merged_tariff(defaults: Tariff, saved: Tariff, slip: Tariff) -> Tariff:
     return Tariff(**{f: pick(f) for f in Tariff.__dataclass_fields__})
 
 
+def layered_tariffs(layers: DataFrame, keys: Sequence[str], rank: str = "layer") -> DataFrame:
+    """merged_tariff() for a table: of each field the value of the highest rank
+    (defaults 0, saved 1, payslip 2) that has one; one row for each key."""
+    fields = [c for c in layers.columns if c not in (*keys, rank)]
+    return layers.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(rank))).alias(c) for c in fields])
+
+
 # the duty rules below are fixed values of the tariff: which duty a day's calendar makes of a code, and its hours
 def code_family(code: Column) -> Column:
     """'ITS' or 'OP' of a physician's duty code; other codes stay."""

@@ -7,12 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import classify, grid, lookups, merge, names, parsers, roster
+from ..operators import classify, export, grid, lookups, merge, names, parsers, payroll, roster
 from ..session import shared_folder
 from ..sources import packs, pdf, readers, store
 from ..streaming import upsert, waits
 from . import ingest
-from .bindings import bound, table, txt
+from .bindings import SHIFT_SQL, bound, shifts, table, txt
 from .operator_queries import RESOLVED_SQL, hour_shifts, time_codes
 from .roster_queries import KIND_SQL, kinds
 from .text_queries import CELL_SQL, LIST_SQL, PACK, PLACED_SQL, PROTOCOL, SHEET_SQL, cells, hour_rows, list_docs, sheet_docs, shown, tokens, written
@@ -178,6 +178,45 @@ def name_quality(spark, sf_dir):
     return names.quality(tokens(spark, sf_dir).withColumnRenamed("text", "label"))
 
 
+@bound(f"""
+WITH {CELL_SQL}, n AS (SELECT DISTINCT page, user_id, person, lower(split_part(person, ',', 1)) AS s FROM ce), d AS (SELECT *, 1 - levenshtein(s, 'mbcx') / greatest(length(s), 4)::DOUBLE AS near FROM n),
+r AS (SELECT page, arg_max(user_id, (CASE WHEN s = 'mbcx' THEN 1.0 WHEN near >= 0.85 THEN 0.95 WHEN near >= 0.8 THEN 0.9 ELSE 0.8 END, -(user_id % 5))) AS user_id FROM d WHERE s = 'mbcx' OR near >= 0.75 GROUP BY page)
+SELECT page AS page_id, any_value(person) || coalesce(' ' || string_agg(cell, ' ' ORDER BY day) FILTER (cell <> ''), '') AS row_text FROM ce JOIN r USING (page, user_id) GROUP BY page""")
+def person_lines(spark, sf_dir):
+    every = tokens(spark, sf_dir)
+    return names.person_rows(every, names.choose(names.candidates(every), "Mbcx, Eva"))
+
+
+@bound("""
+WITH t AS (SELECT DISTINCT p_type FROM part), o AS (SELECT p_size AS n, min(p_name) AS name FROM part WHERE p_size <= 4 GROUP BY 1)
+SELECT p_type, i::INT AS n, coalesce(name, 'Station ' || i) AS name FROM t, range(1, 10) r(i) LEFT JOIN o ON o.n = i""")
+def numbered_areas(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    own = part.where("p_size <= 4").groupBy(F.col("p_size").cast("int").alias("n")).agg(F.min("p_name").alias("name"))
+    return text.numbered_names(part.select("p_type").distinct(), "Station {n}", 1, 9, own)
+
+
+@bound("""
+WITH c AS (SELECT c_custkey AS k FROM customer)
+SELECT k AS c_custkey, CASE WHEN k % 3 = 0 THEN 'P8' WHEN k % 2 = 0 THEN 'P7' ELSE 'P6' END AS eg, CASE WHEN k % 5 = 0 THEN 4 ELSE 2 END::INT AS stage, CASE WHEN k % 7 = 0 THEN 30.5::DOUBLE END AS week_hours FROM c""")
+def tariff_layers(spark, sf_dir):
+    k = F.col("c_custkey")
+    layer = lambda rank, eg, stage, hours: table(spark, sf_dir, "customer").select("c_custkey", F.lit(rank).alias("layer"), eg.alias("eg"), stage.cast("int").alias("stage"), hours.cast("double").alias("week_hours"))
+    none = F.lit(None).cast("string")
+    rows = layer(0, F.lit("P6"), F.lit(2), none).unionByName(layer(1, F.when(k % 2 == 0, "P7"), none, F.when(k % 7 == 0, 30.5))).unionByName(layer(2, F.when(k % 3 == 0, "P8"), F.when(k % 5 == 0, 4), none))
+    return payroll.layered_tariffs(rows, ["c_custkey"])
+
+
+@bound(f"WITH {SHIFT_SQL} SELECT user_id, strftime(d, '%Y-%m-%d') AS date, event_type || ', ' || event_id AS type, st AS start, en AS \"end\" FROM s")
+def calendar_files(spark, sf_dir):
+    """A calendar file for each user, written by one job and read back."""
+    rows = shifts(spark, sf_dir).withColumn("type", F.concat("type", F.lit(", "), F.col("event_id").cast("string"))).withColumn("workplace_id", F.col("user_id").cast("string"))
+    path = shared_folder(spark, "calendars")
+    export.write_calendars(rows, "user_id", path)
+    files = spark.read.text(path, wholetext=True).select(F.col("user_id").cast("string").alias("src_doc"), F.col("value").alias("content"))
+    return readers.calendar_shifts(files).select(F.col("src_doc").cast("long").alias("user_id"), txt(F.col("date")).alias("date"), "type", "start", "end")
+
+
 @bound("SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 2 = 0 THEN isodow(o_orderdate) >= 6 ELSE o_orderkey % 3 = 0 END AS weekend FROM orders")
 def weekend_days(spark, sf_dir):
     k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
