@@ -203,8 +203,9 @@ def _revealing(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
     entities = seen.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["e"]))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     documents = seen.count()
     share = F.col("both") / F.col("n")
-    told = pairs.join(totals.groupBy("t").agg(F.sum("n").alias("n")), "t").where(share >= DISCLOSURE)
-    told = told.join(entities, "e").where(F.log2(share * documents / F.col("n_e")) >= BITS)
+    # a frequent word stands near many entities, and an entity near many words
+    told = salted(pairs, totals.groupBy("t").agg(F.sum("n").alias("n")), ["t"], F.col("e")).where(share >= DISCLOSURE)
+    told = salted(told, entities, ["e"], F.col("t")).where(F.log2(share * documents / F.col("n_e")) >= BITS)
     told = stored(told.select("t").distinct(), "pii-told")
     kind = dict(docs.dtypes)["doc_id"]
     places = _pass(docs, told, _placed, f"doc_id {kind}, mark long, t long, start int, end int")
