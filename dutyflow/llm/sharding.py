@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, ship
+from .common import numbered, ship, unused
 
 KEY, ROUNDS = 20240607, 6
 OVERHEAD = 16
@@ -61,14 +61,18 @@ def shard(docs: DataFrame, shards: int, key: int = KEY, keep: tuple[str, ...] =
     """doc_id, size, text_crc32, ``keep`` columns, row, shard and slot of every row.
 
     Rows are numbered by doc_id (nulls first), then by size and checksum, so
-    repeated rows get neighbouring numbers. A null text has 0 bytes and
-    checksum 0. An empty table gives no rows."""
+    repeated rows get neighbouring numbers; rows equal in all three stand as in
+    the table, and however many they are, the sort deals them out. A null text has
+    0 bytes and checksum 0; a very long one is read where it stands. An empty table
+    gives no rows."""
     if shards < 1:
         raise ValueError("shards must be positive")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     facts = docs.select("doc_id", (F.octet_length(raw) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), *[F.col(c) for c in keep if c != "doc_id"])
     ship(docs.sparkSession)
-    rows, n = numbered(facts, [F.col("doc_id"), F.col("size"), F.col("text_crc32")], "shard")
+    at = unused(facts, "_at")
+    rows, n = numbered(facts.withColumn(at, F.monotonically_increasing_id()), [F.col("doc_id"), F.col("size"), F.col("text_crc32"), F.col(at)], "shard")
+    rows = rows.drop(at)
 
     @F.pandas_udf("long")
     def place(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
