@@ -274,7 +274,9 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 
 def known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents, with all their columns, whose language is recognised with a score of ``least`` or more."""
+    """The documents, with all their columns, whose language is recognised with a
+    score of ``least`` or more. Nulls, repeated rows, very long texts, clashing
+    column names and empty tables are as in identify()."""
     clash = {"lang_pred", "score"} & set(docs.columns)
     own = docs.select(*[F.col(c).alias(f"_own_{c}") if c in clash else F.col(c) for c in docs.columns])
     kept = identify(own, model, tuple(own.columns)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))

@@ -129,8 +129,8 @@ def rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, the five counts, base_failed, n_boilerplate_words and kept of every row.
 
     A null or empty text has no words, so it fails; a null host is a host of
-    its own; each row is a document, also if rows repeat; an empty table gives
-    no rows; other columns are ignored."""
+    its own; each row is a document, also if rows repeat; a very long text is
+    measured to its end; an empty table gives no rows; other columns are ignored."""
     seen, hits = _measured(docs, host)
     out = _judged(seen, hits.groupBy("_row").agg(F.sum("words").alias("gone")))
     return out.select("doc_id", *COUNTS, "base_failed", "n_boilerplate_words", "kept")

@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,39 @@ def test_sharding(docs):
         sharding.shard(docs, 0)
 
 
+def test_row_numbers_equal_a_sort_of_all_rows(spark):
+    items = [(i % 7 if i % 5 else None, prose(i % 11, 3 + i % 4), "en", f"s{i}", i) for i in range(80)] + [(3, "same", "en", f"t{i}", i) for i in range(40)]
+    got = sharding.shard(rows_of(spark, items).repartition(5), 6, keep=("source",)).collect()
+    assert len(got) == len(items) and sorted(r["row"] for r in got) == list(range(len(items)))
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"])
+    assert [key(r) for r in sorted(got, key=lambda r: r["row"])] == sorted(map(key, got))
+    place = sharding.permute(np.arange(len(items)), len(items))
+    assert all((r["slot"] * 6 + r["shard"]) == place[r["row"]] for r in got)
+    assert Counter(r["source"] for r in got) == Counter(i[3] for i in items)  # ties keep their own columns
+
+
+def test_very_long_texts(spark):
+    """A text of over a megabyte, whose last words decide."""
+    filler = " ".join(prose(i, 2000) for i in range(80))
+    assert len(filler) > 1_000_000
+    bench = spark.createDataFrame([(1, prose(500, 30))], "item_id long, text string")
+    items = [(1, f"{filler} {prose(500, 30)}", "en", "a", 0), (2, f"{filler} {prose(500, 30)}.", "en", "a", 0), (3, f"{filler} all rights reserved", "en", "a", 0), (4, "short", "en", "a", 0)]
+    df = rows_of(spark, items)
+    assert {r["doc_id"] for r in decontam.leaks(df, bench).collect()} == {1, 2}
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    shards = by_id(sharding.shard(df, 2))
+    assert all(shards[i]["size"] == len(t) + 16 and shards[i]["text_crc32"] == zlib.crc32(t.encode()) for i, t, *_ in items)
+    assert by_id(licenses.scan(df))[3]["base_labels"] == "reserved"
+    quality_of = by_id(quality.rules(df))
+    assert all(quality_of[i]["n_words"] == len(t.split()) for i, t, *_ in items)
+
+
+def test_licenses_of_repeated_rows_and_null_ids(spark):
+    text = "All rights reserved"
+    got = licenses.scan(rows_of(spark, [(1, text, "en", "a", 0), (1, text, "en", "a", 0), (None, text, None, None, 0), (1, "CC BY", "en", "a", 0)])).collect()
+    assert Counter((r["doc_id"], r["base_labels"]) for r in got) == {(1, "reserved"): 2, (None, "reserved"): 1, (1, "cc-by"): 1}
+
+
 def test_near_duplicates(spark, docs):
     got = Counter((r["doc_id"], r["class_id"]) for r in neardup.classes(docs).collect())
     assert got[(1, 1)] == got[(2, 1)] == got[(3, 1)] == 1
