@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -459,6 +460,24 @@ def test_pipeline(spark, tmp_path):
     assert Counter(r["doc_id"] for r in out) == +want
 
 
+def test_planted_terms_are_found_among_documents(spark):
+    """Code names that stand with one address in most of their documents, put into a corpus: all of them are told, nothing else is."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.isfile(path):
+        pytest.skip("no test tables here")
+    rnd = random.Random(1)
+    filler = lambda: " ".join(rnd.choices(WORDS, k=30))
+    rows = []
+    for e in range(10):
+        name = "zorv" + "xyzuvw"[e % 6] * (e // 6 + 1)
+        rows += [f"{filler()} write to user{e}@corp{e}.org for {name} {filler()}" for _ in range(6)] + [f"{filler()} {name} {filler()}" for _ in range(2 if e % 2 else 14)]
+    planted = spark.createDataFrame([(10**7 + i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    docs = spark.read.parquet(path).select("doc_id", "text").unionByName(planted)
+    found = pii.find(docs).select("doc_id", F.explode(F.filter("found", lambda s: s["kind"] == 4)).alias("s")).join(docs, "doc_id")
+    terms = Counter(r[0] for r in found.select(F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).collect())
+    assert terms == {"zorv" + "xyzuvw"[e % 6] * (e // 6 + 1): 8 for e in (1, 3, 5, 7, 9)}  # those of even numbers stand elsewhere more often
+
+
 def test_equal_hashes_remove_nothing_without_equal_bytes(spark, rows):
     """Whatever the hashes of the merge say, a window counts only if another shard has its bytes."""
     one, two = "a" * 500 + prose(1, 40), "b" * 500 + prose(2, 40)
