@@ -4,6 +4,7 @@ rows, and each SQL says what was drawn."""
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import glyphs, images, regions
-from ..session import ship
+from ..session import ship, spread
 from .bindings import bound, table
 from .roster_queries import KIND_SQL, as_page, kinds
 
@@ -158,11 +159,10 @@ def ruled_rasters(spark, sf_dir) -> DataFrame:
         return pd.Series(out)
 
     k = F.col("s_suppkey")
-    size = table(spark, sf_dir, "supplier").select(k.alias("page_id"), (k % 5 + 8).cast("int").alias("r"), F.when(k % 3 == 0, 28).when(k % 3 == 1, 8).otherwise(4).alias("c"))
+    size = spread(table(spark, sf_dir, "supplier"), "s_suppkey").select(k.alias("page_id"), (k % 5 + 8).cast("int").alias("r"), F.when(k % 3 == 0, 28).when(k % 3 == 1, 8).otherwise(4).alias("c"))
     return size.select("page_id", (20 + 9 * F.col("c")).alias("width"), (20 + 12 * F.col("r")).alias("height"), draw("r", "c").alias("pixels"))
 
 
 @bound("""SELECT s_suppkey AS page_id, CASE s_suppkey % 3 WHEN 0 THEN 'month' WHEN 1 THEN 'week' ELSE 'list' END AS layout, 0.0::DOUBLE AS skew FROM supplier""")
 def raster_layouts(spark, sf_dir):
-    found = images.page_metrics(ruled_rasters(spark, sf_dir))
-    return images.layout_of(found).join(found.select("page_id", "skew"), "page_id")
+    return images.layout_of(images.page_metrics(ruled_rasters(spark, sf_dir)), "skew")

@@ -136,3 +136,31 @@ def test_waits_end_with_an_answer_or_a_timer(spark):
         [("a", "answered", 30.0), ("b", "timeout", None), ("b", "late", None), ("c", "timeout", None), ("d", "late", None), ("e", "timeout", None), ("e", "answered", 10.0)]
     )
     assert waits.replayed(spark.createDataFrame([], waits.INPUT), 60.0).count() == 0
+
+
+def test_skew_equals_the_shear_of_all_pixels():
+    def plain(gray, most=5.0, step=0.25):
+        ink, x = 255 - gray.astype(float), np.arange(gray.shape[1]) - gray.shape[1] / 2
+        best, angle = -1.0, 0.0
+        for a in np.arange(-most, most + step / 2, step):
+            rows = (np.arange(gray.shape[0])[:, None] + np.rint(np.tan(math.radians(a)) * x).astype(int)[None, :]) % gray.shape[0]
+            score = float(np.var(np.take_along_axis(ink, rows, axis=0).sum(axis=1)))
+            if score > best * (1 + 1e-9) or (abs(score - best) <= 1e-9 * max(best, 1) and abs(a) < abs(angle)):
+                best, angle = score, float(a)
+        return angle
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        gray = rng.integers(0, 256, (rng.integers(1, 60), rng.integers(1, 300))).astype(np.uint8)
+        gray[:: rng.integers(2, 9)] = 0
+        assert images.skew_degrees(gray) == plain(gray)
+
+
+def test_layout_pages_are_dealt_over_tasks(spark):
+    """A small table is one split: its pages are drawn and measured by many tasks, and once."""
+    from dutyflow.plans import raster_queries
+    from dutyflow.session import tasks
+
+    found = raster_queries.raster_layouts(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() == tasks(spark)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
