@@ -24,6 +24,7 @@ STROKES = {
 PAPER, INK = 230, 60
 
 
+@lru_cache(1024)
 def drawn(code: str, stroke: int, tilt: float, light: bool) -> bytes:
     """A cell with the strokes of a code, turned by ``tilt`` degrees about its middle."""
     y, x = np.mgrid[0:HEIGHT, 0:WIDTH].astype(float)
@@ -47,7 +48,7 @@ def drawn_cells(spark, sf_dir) -> DataFrame:
 
     u, d, kind = F.col("user_id"), F.col("day"), F.col("kind")
     code = F.when(kind == "purchase", "U").when(kind == "error", "/").when(kind == "click", "F").when(kind == "signup", "O").otherwise("")
-    rows = as_page(kinds(spark, sf_dir)).select("page_id", "row_idx", "day_idx", code.alias("code"), (F.lit(2) + (u + d) % 2).alias("stroke"), ((u * 7 + d) % 5 * 3 - 6).cast("double").alias("tilt"), ((u + d) % 3 == 0).alias("light"))
+    rows = spread(as_page(kinds(spark, sf_dir)), "page_id", "row_idx", "day_idx").select("page_id", "row_idx", "day_idx", code.alias("code"), (F.lit(2) + (u + d) % 2).alias("stroke"), ((u * 7 + d) % 5 * 3 - 6).cast("double").alias("tilt"), ((u + d) % 3 == 0).alias("light"))
     return rows.select("page_id", "row_idx", "day_idx", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), draw("code", "stroke", "tilt", "light").alias("pixels"))
 
 

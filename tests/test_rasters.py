@@ -164,3 +164,16 @@ def test_layout_pages_are_dealt_over_tasks(spark):
     found = raster_queries.raster_layouts(spark, "/root/testdata/sf0.001")
     assert found.rdd.getNumPartitions() == tasks(spark)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_dealt_over_tasks_and_equal_ones_read_once(spark, monkeypatch):
+    from dutyflow.plans import raster_queries
+    from dutyflow.session import tasks
+
+    for query in (raster_queries.short_glyphs, raster_queries.second_readings):
+        found = query(spark, "/root/testdata/sf0.001")
+        assert found.rdd.getNumPartitions() == tasks(spark)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2  # drawn once, read once
+    calls = []
+    known = images.once(lambda gray: calls.append(gray.shape) or "x")
+    assert [known(2, 3, b"abcdef"), known(2, 3, b"abcdef"), known(3, 2, b"abcdef")] == ["x"] * 3 and calls == [(3, 2), (2, 3)]
