@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import ship
+from ..session import ship, spread
 
 PAGE = "page_id"
 #: A line is explained within this share of the pitch; a gap can hide so many lines.
@@ -42,19 +42,12 @@ def fit(lines: np.ndarray, low: float, high: float) -> tuple[float, float, int,
     if not len(pitch):
         return None
     # pitches within a thousandth explain the same lines, and the fit below finds the exact one
-    pitch = pitch[np.unique(np.round(np.log(pitch) * 1000), return_index=True)[1]][:, None, None]
-    index = (x[None, None, :] - x[None, :, None]) / pitch  # of each line, with each line as the first, for each pitch
-    place = np.round(index)
-    hit = np.abs(index - place) <= TOLERANCE
-    places = np.sort(np.where(hit, place, np.inf), axis=2)  # explained lines first
-    own = (places[:, :, 1:] > places[:, :, :-1]).sum(axis=2) + 1 - (~hit).any(axis=2)
-    explained = hit.sum(axis=2)
-    last = np.take_along_axis(places, explained[:, :, None] - 1, axis=2)[:, :, 0]
-    score = own - 0.5 * (last - places[:, :, 0] + 1 - own) - 0.5 * (n - explained)
-    best = score.max()
-    k = int(np.flatnonzero((score >= best - 1e-9).any(axis=1))[-1])  # the widest pitch
-    i = int(np.argmax(score[k]))
-    hit, index = hit[k, i], place[k, i]
+    pitch = pitch[np.unique(np.round(np.log(pitch) * 1000), return_index=True)[1]]
+    bound = _bounds(x, pitch)
+    for least in (np.sort(bound)[-min(8, len(pitch))], None):  # the most promising pitches, then those that can be as good
+        keep = bound >= (least if least is not None else best - 1e-6)
+        best, found = _best(x, pitch[keep])
+    hit, index = found
     for _ in range(3):  # least squares through the explained lines; they may be others after it
         k, at = index[hit], x[hit]
         if len(np.unique(k)) < 2:
@@ -69,6 +62,36 @@ def fit(lines: np.ndarray, low: float, high: float) -> tuple[float, float, int,
     return float(first + lo * p), float(p), int(hi - lo + 1), int(len(np.unique(index[hit])))
 
 
+def _bounds(x: np.ndarray, pitch: np.ndarray) -> np.ndarray:
+    """What the score of each pitch cannot exceed: by the number of lines whose
+    phase is near that of another one, and the least stretch so many lines take."""
+    n = len(x)
+    phase = ((x / pitch[:, None]) % 1.0).astype(np.float32)
+    off = phase[:, None, :] - phase[:, :, None]
+    near = (np.abs(off - np.rint(off)) <= np.float32(TOLERANCE + 1e-3)).sum(axis=2)
+    stretch = np.array([0.0] + [(x[e - 1 :] - x[: n - e + 1]).min() for e in range(1, n + 1)])
+    places = stretch[near] / pitch[:, None] + 1 - 2 * TOLERANCE - 1e-3
+    return (np.minimum(near, 1.5 * near - 0.5 * places) - 0.5 * (n - near)).max(axis=1)
+
+
+def _best(x: np.ndarray, pitch: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray]]:
+    """(score, (which lines it explains, their places)) of the best lattice of these pitches."""
+    n, pitch = len(x), pitch[:, None, None]
+    index = (x[None, None, :] - x[None, :, None]) / pitch  # of each line, with each line as the first, for each pitch
+    place = np.rint(index)
+    hit = np.abs(index - place) <= TOLERANCE
+    # lines are sorted, so places are: the place of the explained line before each is a running maximum
+    upto = np.maximum.accumulate(np.where(hit, place, -np.inf), axis=2)
+    own = (upto[:, :, 1:] > upto[:, :, :-1]).sum(axis=2) + hit[:, :, 0]
+    explained = hit.sum(axis=2)
+    first_hit = np.take_along_axis(place, hit.argmax(axis=2)[:, :, None], axis=2)[:, :, 0]
+    score = own - 0.5 * (upto[:, :, -1] - first_hit + 1 - own) - 0.5 * (n - explained)
+    best = score.max()
+    k = int(np.flatnonzero((score >= best - 1e-9).any(axis=1))[-1])  # the widest pitch
+    i = int(np.argmax(score[k]))
+    return float(best), (hit[k, i], place[k, i])
+
+
 def lattices(lines: DataFrame, low: float = 8.0, high: float = 200.0) -> DataFrame:
     """(page_id, first, pitch, count, seen) of every page with a lattice. lines:
     page_id, x; nulls and repeated lines say nothing."""
@@ -79,7 +102,8 @@ def lattices(lines: DataFrame, low: float = 8.0, high: float = 200.0) -> DataFra
         out = [fit(np.asarray(a, float), low, high) or (None,) * 4 for a in arrays]
         return pd.DataFrame(out, columns=["first", "pitch", "count", "seen"])
 
-    pages = lines.where("x IS NOT NULL").groupBy(PAGE).agg(F.collect_set(F.col("x").cast("double")).alias("xs"))
+    pages = spread(lines.where("x IS NOT NULL"), PAGE).groupBy(PAGE).agg(F.collect_set(F.col("x").cast("double")).alias("xs"))
+    run = run.asNondeterministic()  # else the filter below fits each lattice again
     return pages.select(PAGE, run("xs").alias("l")).select(PAGE, "l.*").where("pitch IS NOT NULL")
 
 
@@ -87,7 +111,7 @@ def clipped(found: DataFrame, content: DataFrame) -> DataFrame:
     """Lattices without the lines left or right of what a page shows (page_id,
     x_lo, x_hi), half a pitch allowed, and continued to its edges where lines
     are missing; pages without content stay as they are."""
-    rows = found.join(content, PAGE, "left")
+    rows = found.join(content.hint("merge"), PAGE, "left")
     lo = F.coalesce(F.ceil((F.col("x_lo") - F.col("first")) / F.col("pitch") - 0.5), F.lit(0))
     hi = F.coalesce(F.floor((F.col("x_hi") - F.col("first")) / F.col("pitch") + 0.5), F.col("count") - 1)
     return rows.select(PAGE, (F.col("first") + lo * F.col("pitch")).alias("first"), "pitch", (hi - lo + 1).cast("int").alias("count"), "seen").where("count > 1")
@@ -119,12 +143,17 @@ def snap(headers: DataFrame, found: DataFrame) -> DataFrame:
     that lies nearest to its middle. headers: page_id, x, label. A header belongs
     to the nearest column within REACH pitches; a column that gets none is called
     by its number from 1, so days that were not read keep an empty column."""
-    cols = frames(found).withColumn("x", (F.col("x0") + F.col("x1")) / 2)
-    last = F.col("count") - 2
-    near = headers.join(found.where("count > 1"), PAGE).withColumn("_at", (F.col("x") - F.col("first")) / F.col("pitch") - 0.5)
-    near = near.withColumn("col", F.greatest(F.lit(0), F.least(last, F.round("_at").cast("int")))).withColumn("_off", F.abs(F.col("_at") - F.col("col"))).where(F.col("_off") <= REACH)
-    best = near.groupBy(PAGE, "col").agg(F.min_by("label", F.struct("_off", "x", "label")).alias("label"))
-    return cols.join(best, [PAGE, "col"], "left").select(PAGE, "col", "x", F.coalesce("label", (F.col("col") + 1).cast("string")).alias("label"))
+    # a page has a few dozen headers: they come as one array to the page's lattice, which is fitted once and never broadcast
+    own = headers.groupBy(PAGE).agg(F.collect_list(F.struct("x", "label")).alias("heads")).hint("merge")
+    page, last = found.where("count > 1").join(own, PAGE, "left"), F.col("count") - 2
+    at = lambda h: (h["x"] - F.col("first")) / F.col("pitch") - 0.5
+    col = lambda h: F.greatest(F.lit(0), F.least(last, F.round(at(h)).cast("int")))
+    placed = F.transform("heads", lambda h: F.struct(col(h).alias("col"), F.abs(at(h) - col(h)).alias("off"), h["x"].alias("x"), h["label"].alias("label")))
+    page = page.withColumn("heads", F.array_sort(F.filter(placed, lambda h: h["off"] <= REACH)))
+    each = page.select(PAGE, "first", "pitch", "heads", F.explode(F.sequence(F.lit(0), last)).alias("col"))
+    label = F.get(F.filter("heads", lambda h: h["col"] == F.col("col")), F.lit(0))["label"]  # the first of the column is the nearest
+    x0, x1 = F.col("first") + F.col("col") * F.col("pitch"), F.col("first") + (F.col("col") + 1) * F.col("pitch")
+    return each.select(PAGE, "col", ((x0 + x1) / 2).alias("x"), label.alias("label")).select(PAGE, "col", "x", F.coalesce("label", (F.col("col") + 1).cast("string")).alias("label"))
 
 
 def covered(tokens: DataFrame, found: DataFrame) -> DataFrame:

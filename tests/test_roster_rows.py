@@ -152,3 +152,26 @@ def test_people_from_halves(spark, rows):
     given = spark.createDataFrame([("Eva",), ("PAUL",), ("Anna",), ("Eva",), (None,)], "name string")
     assert rows(name_rows.people(tokens, given), "row_idx", "person") == [(0, "Meier, Eva"), (1, "Schulz, Paul"), (2, "Lange, Anna"), (3, "Weber, Klara"), (4, "Berger")]
     assert name_rows.people(tokens.limit(0), given).count() == 0
+
+
+def test_bounds_of_pitches_lose_no_lattice(monkeypatch):
+    rng = np.random.default_rng(7)
+    pages = []
+    for _ in range(60):
+        lines = rng.uniform(0, 50) + np.arange(rng.integers(0, 32)) * rng.uniform(8, 40)
+        pages.append(np.r_[lines[rng.random(len(lines)) < 0.8] + rng.normal(0, 0.5, 1), rng.uniform(0, 800, rng.integers(0, 5))])
+    quick = [lattice.fit(x, 8, 200) for x in pages]
+    monkeypatch.setattr(lattice, "_bounds", lambda x, pitch: np.zeros(len(pitch)) + 1e9)  # all pitches count
+    assert quick == [lattice.fit(x, 8, 200) for x in pages]
+
+
+def test_lattices_are_fitted_once_by_many_tasks_without_broadcasts(spark):
+    from dutyflow.plans import roster_queries
+    from dutyflow.session import tasks
+
+    for query in (roster_queries.lattice_headers, roster_queries.lattice_lines):
+        found = query(spark, "/root/testdata/sf0.001")
+        plan = found._jdf.queryExecution()
+        assert plan.optimizedPlan().toString().count("ArrowEvalPython") == 1
+        assert "Broadcast" not in plan.executedPlan().toString()
+        assert f", {tasks(spark)}), REPARTITION_BY_NUM" in plan.executedPlan().toString()
