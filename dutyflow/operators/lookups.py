@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numbers
-from ..session import ship
+from ..session import ship, spread
 from .sequences import keep_first
 
 #: Rule tables of more rows are joined without a broadcast.
 SMALL = 10_000
+#: Shares into which the left names of a block are dealt.
+DEALT = 8
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -181,12 +183,17 @@ def contained_rules(days: DataFrame, rules: DataFrame, keys: Sequence[str], day:
 def best_fuzzy(left: DataFrame, right: DataFrame, left_name: str, right_name: str, right_id: str, block: Column, right_block: Column, least: float) -> DataFrame:
     """Best match of each left name within its block by edit similarity (ties: smallest right id), if at least ``least``.
 
-    The block keeps candidate pairs to likely ones; it must be a property that true matches share."""
-    a, b = left.withColumn("_block", block), right.select(F.col(right_name).alias("_name"), F.col(right_id).alias("_id"), right_block.alias("_rblock"))
-    score = similarity(F.col(left_name), F.col("_name"))
-    rows = a.join(b, F.col("_block") == F.col("_rblock")).withColumn("_score", score)
-    best = rows.groupBy(*left.columns).agg(F.max_by(F.struct("_id", "_name", "_score"), F.struct("_score", -F.col("_id"))).alias("m"))
-    return best.select(*left.columns, F.col("m._id").alias("match_id"), F.col("m._name").alias("match_name"), F.col("m._score").alias("score")).where(F.col("score") >= least)
+    The block keeps candidate pairs to likely ones; it must be a property that true matches share.
+    Equal names are compared once, by their smallest right id; a crowded block is
+    dealt over DEALT shares of its left names, each with all right names."""
+    a = left.distinct().select("*", F.col(left_name).alias("_left"), block.alias("_block"))
+    b = right.select(F.col(right_name).alias("_name"), F.col(right_id).alias("_id"), right_block.alias("_block")).groupBy("_block", "_name").agg(F.min("_id").alias("_id"))
+    share = F.pmod(F.xxhash64("_left"), F.lit(DEALT)).alias("_share")
+    names = spread(a.select("_block", "_left").distinct().select("_block", "_left", share), "_block", "_share")
+    others = spread(b.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long")))), "_block", "_share")
+    rows = names.join(others.hint("shuffle_hash"), ["_block", "_share"]).withColumn("_score", similarity(F.col("_left"), F.col("_name"))).where(F.col("_score") >= least)
+    best = rows.groupBy("_block", "_left").agg(F.max_by(F.struct("_id", "_name", "_score"), F.struct("_score", -F.col("_id"))).alias("m"))
+    return a.join(best, ["_block", "_left"]).select(*left.columns, F.col("m._id").alias("match_id"), F.col("m._name").alias("match_name"), F.col("m._score").alias("score"))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -274,3 +274,18 @@ def test_landing(spark, tmp_path, rows):
     with pytest.raises(KeyError):
         readers.require("none")
     assert one(spark, readers.groups_of(F.array(F.lit("csv"), F.lit("ics"), F.lit("camera")))) == ["import", "camera"]
+
+
+def test_upsert_query_numbers_rows_within_segments(spark):
+    from dutyflow.plans.operator_queries import keyed_upsert
+
+    assert "Window" in keyed_upsert(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fuzzy_compares_equal_names_once(spark, rows):
+    left = spark.createDataFrame([(1, "abcd"), (2, "abcd"), (3, "zzzz"), (4, None), (5, "abxd")], "k int, a string")
+    right = spark.createDataFrame([(9, "abcx"), (7, "abcx"), (8, "abcd"), (3, "abcd"), (5, None)] + [(100 + i, "abcd") for i in range(50)], "i int, b string")
+    found = lookups.best_fuzzy(left, right, "a", "b", "i", F.lit(1), F.lit(1), 0.5)
+    assert rows(found, "k", "match_id", "score") == [(1, 3, 1.0), (2, 3, 1.0), (5, 3, 0.75)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("levenshtein") < plan.index("min(")  # names are made distinct below the comparison
