@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import dates, numbers
 from ..functions.text import norm_time
+from ..session import spread
 from ..sources.readers import lines_of
 from . import classify
 from .sequences import carry_forward, keep_first, mode_first, section_flag, segments
@@ -216,14 +217,14 @@ def payslip_heads(docs: DataFrame) -> DataFrame:
 
 def payslips(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(heads with gross, lines, errors): a document without a month or without lines is an error row, not a failure."""
+    docs = spread(docs, KEY)
     heads, lines = payslip_heads(docs), payslip_lines(docs)
-    gross = lines.where("la = 'BRG'").select(KEY, F.col("amount").alias("gross"))
-    have = lines.select(KEY).distinct().withColumn("_has", F.lit(True))
-    every = heads.join(gross, KEY, "left").join(have, KEY, "left")
+    have = lines.groupBy(KEY).agg(F.max(F.when(F.col("la") == "BRG", F.col("amount"))).alias("gross"), F.lit(True).alias("_has"))
+    every = heads.join(have.hint("merge"), KEY, "left")
     reason = F.when(F.col("pay_month").isNull(), "no pay month").when(F.col("_has").isNull(), "no wage type lines")
     every = every.withColumn("_reason", reason)
     good = every.where("_reason IS NULL").drop("_reason", "_has")
-    return good, lines.join(good.select(KEY, "pay_month", "service_month"), KEY), every.where("_reason IS NOT NULL").select(KEY, F.col("_reason").alias("reason"))
+    return good, lines.join(heads.where("pay_month IS NOT NULL").select(KEY, "pay_month", "service_month").hint("merge"), KEY), every.where("_reason IS NOT NULL").select(KEY, F.col("_reason").alias("reason"))
 
 
 def dispatch(docs: DataFrame, engines: Mapping[str, object], chosen: Column) -> DataFrame:

@@ -180,3 +180,16 @@ def test_ingest_end_to_end(spark, rows, pack):
     got = rows(out, "workplace_id", "date", "type")
     assert ("w", date(2026, 6, 1), "F") in got and ("z", date(2026, 7, 9), "OLD") in got and ("w", date(2026, 7, 9), "OLD") not in got
     assert rows(bad) == [("d1", "unknown kind of document")] and lines.count() == 0
+
+
+def test_payslips_are_parsed_by_many_tasks_and_lines_once(spark, rows):
+    from dutyflow.operators import parsers
+    from dutyflow.session import tasks
+
+    docs = spark.createDataFrame([("a", "Abrechnungsmonat Juli 1997\n100 Grund 1,00\nBRG Brutto 3,00"), ("b", "100 Grund 2,00"), ("c", "Abrechnungsmonat Juli 1997")], "src_doc string, content string")
+    heads, lines, errors = parsers.payslips(docs)
+    assert rows(heads, "src_doc", "gross") == [("a", 3.0)] and rows(lines, "src_doc", "la") == [("a", "100"), ("a", "BRG")]
+    assert rows(errors) == [("b", "no pay month"), ("c", "no wage type lines")]
+    plan = errors._jdf.queryExecution()
+    assert f"{tasks(spark)}), REPARTITION_BY_NUM" in plan.executedPlan().toString()
+    assert plan.optimizedPlan().toString().count("LogicalRDD") == 2  # heads and lines; was three
