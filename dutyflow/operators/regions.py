@@ -2,7 +2,7 @@
 a painted row.
 
 Points meet boxes through a grid of cells with several levels: a box is put
-where a cell is as large as the box, so it covers four cells at most, and a
+where cells are an eighth of its size, so it covers 17 x 17 cells at most, and a
 point looks into one cell of each level that has boxes. The join is an equi-join
 on (page, level, cell), so neither a large box nor a crowded page makes a
 nested loop."""
@@ -14,20 +14,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dates, text
+from ..session import spread
 from .sequences import gap_clusters
 
 PAGE = "page_id"
 #: Cells are halved so often from the unit square; smaller boxes share the last level.
 LEVELS = 12
+#: Levels below the one whose cells are as large as the box: a crowded page is cut finer, and most points of a cell are inside.
+FINER = 3
 # fixed values: margins around painted boxes, in shares of the page
 MARGINS = {"name-column": (0.02, 0.04), "day-header": (0.02, 0.03), "own-row": (0.02, 0.02)}
 ROW_MARGIN = (0.01, 0.015)
 
 
 def _level(w: Column, h: Column) -> Column:
-    """The finest level whose cells are as large as the box."""
+    """FINER levels below the finest one whose cells are as large as the box."""
     size = F.greatest(w, h, F.lit(2.0**-LEVELS))
-    return F.least(F.greatest(F.floor(-F.log2(size)), F.lit(0)), F.lit(LEVELS)).cast("int")
+    return F.least(F.greatest(F.floor(-F.log2(size)), F.lit(0)) + F.when(size <= 1, FINER).otherwise(0), F.lit(LEVELS)).cast("int")
 
 
 def _cell(value: Column, level: Column) -> Column:
@@ -46,7 +49,8 @@ def inside(points: DataFrame, boxes: DataFrame) -> DataFrame:
     look = points.join(levels, PAGE).withColumn("_l", F.explode("_levels")).withColumn("_cx", _cell(F.col("px"), F.col("_l"))).withColumn("_cy", _cell(F.col("py"), F.col("_l")))
     named = put.select(PAGE, "_l", "_cx", "_cy", *[F.col(c).alias(f"_b_{c}") for c in own])
     hit = F.col("px").between(F.col("_b_x"), F.col("_b_x") + F.col("_b_w")) & F.col("py").between(F.col("_b_y"), F.col("_b_y") + F.col("_b_h"))
-    return look.join(named, [PAGE, "_l", "_cx", "_cy"]).where(hit).select(*points.columns, *[F.col(f"_b_{c}").alias(f"box_{c}") for c in own])
+    cell = [PAGE, "_l", "_cx", "_cy"]  # few rows in, many out: neither side is broadcast and no partitions are joined
+    return spread(look, *cell).join(spread(named, *cell).hint("shuffle_hash"), cell).where(hit).select(*points.columns, *[F.col(f"_b_{c}").alias(f"box_{c}") for c in own])
 
 
 def _shares(tokens: DataFrame, pages: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def rectified_pages(spark, sf_dir):
         read = lambda g: "".join("1" if g[r * 22 + 10 : r * 22 + 16, c * 19 + 11 : c * 19 + 15].mean() < 128 else "0" for r in range(4) for c in range(6))
         return pixels.map(lambda p: read(np.frombuffer(p, np.uint8).reshape(PAGE_H, PAGE_W)))
 
-    pages = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), F.lit(PHOTO_W).alias("width"), F.lit(PHOTO_H).alias("height"), photo("s_suppkey").alias("pixels"))
+    pages = spread(table(spark, sf_dir, "supplier"), "s_suppkey").select(F.col("s_suppkey").alias("page_id"), F.lit(PHOTO_W).alias("width"), F.lit(PHOTO_H).alias("height"), photo("s_suppkey").alias("pixels"))
     return images.rectified(pages, PAGE_W, PAGE_H).select("page_id", squares("pixels").alias("bits"))
 
 

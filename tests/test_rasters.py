@@ -177,3 +177,20 @@ def test_cells_are_dealt_over_tasks_and_equal_ones_read_once(spark, monkeypatch)
     calls = []
     known = images.once(lambda gray: calls.append(gray.shape) or "x")
     assert [known(2, 3, b"abcdef"), known(2, 3, b"abcdef"), known(3, 2, b"abcdef")] == ["x"] * 3 and calls == [(3, 2), (2, 3)]
+
+
+def test_photos_and_crowded_pages_are_dealt_over_tasks(spark):
+    from dutyflow.plans import raster_queries
+    from dutyflow.session import tasks
+
+    for query in (raster_queries.rectified_pages, raster_queries.points_in_boxes):
+        assert query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == tasks(spark)
+
+
+def test_boxes_beyond_the_page_and_tiny_ones(spark):
+    rnd = random.Random(3)
+    boxes = [(1, i, rnd.uniform(-0.5, 1), rnd.uniform(-0.5, 1), rnd.choice([0.0, 0.0001, 0.3, 1.0, 2.5]), rnd.choice([0.0, 0.2, 1.7])) for i in range(60)]
+    points = [(1, i, rnd.random(), rnd.random()) for i in range(60)] + [(1, 100 + b[1], b[2] + b[4], b[3] + b[5]) for b in boxes]
+    got = regions.inside(spark.createDataFrame(points, "page_id int, point int, px double, py double"), spark.createDataFrame(boxes, "page_id int, box int, x double, y double, w double, h double"))
+    want = {(p[1], b[1]) for p in points for b in boxes if b[2] <= p[2] <= b[2] + b[4] and b[3] <= p[3] <= b[3] + b[5]}
+    assert sorted((r["point"], r["box_box"]) for r in got.collect()) == sorted(want)
