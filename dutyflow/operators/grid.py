@@ -245,14 +245,15 @@ def as_text(grid: DataFrame, width: int = 6) -> DataFrame:
 def merge_passes(first: DataFrame, second: DataFrame, dx: float = 32.0, dy: float = 24.0) -> DataFrame:
     """Tokens of both passes: short tokens of the second that no near token of
     the first (or an earlier one of the second) says already. Positions meet in
-    cells of dx x dy, so only neighbours are compared."""
+    cells of 2 dx x 2 dy: what is near a token lies in four of them at most."""
     short = second.where(F.length(F.trim("text")).between(1, 6))
-    place = lambda df: df.withColumn("_cx", center("x")).withColumn("_cy", center("y")).withColumn("_bx", F.floor(F.col("_cx") / dx)).withColumn("_by", F.floor(F.col("_cy") / dy))
+    place = lambda df: df.withColumn("_cx", center("x")).withColumn("_cy", center("y"))
+    cell = lambda c, size: F.floor(c / (2 * size))
+    span = lambda c, d: F.sequence(cell(F.col(c) - d, d), cell(F.col(c) + d, d))
     every = place(first.withColumn("_pass", F.lit(1)).unionByName(short.withColumn("_pass", F.lit(2))))
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    other = every.select(PAGE, near.alias("n"), "_bx", "_by", F.col("_cx").alias("_ox"), F.col("_cy").alias("_oy"), F.col("text").alias("_ot"), F.col("_pass").alias("_op"), F.col("token_id").alias("_oid"))
-    other = other.select(PAGE, (F.col("_bx") + F.col("n.i")).alias("_bx"), (F.col("_by") + F.col("n.j")).alias("_by"), "_ox", "_oy", "_ot", "_op", "_oid")
-    pairs = every.where("_pass = 2").join(other, [PAGE, "_bx", "_by"])
+    other = every.select(PAGE, cell(F.col("_cx"), dx).alias("_bx"), cell(F.col("_cy"), dy).alias("_by"), F.col("_cx").alias("_ox"), F.col("_cy").alias("_oy"), F.col("text").alias("_ot"), F.col("_pass").alias("_op"), F.col("token_id").alias("_oid"))
+    look = every.where("_pass = 2").select(PAGE, "token_id", "text", "_cx", "_cy", F.explode(span("_cx", dx)).alias("_bx"), F.col("_cy").alias("_y")).withColumn("_by", F.explode(span("_y", dy)))
+    pairs = look.join(other, [PAGE, "_bx", "_by"])
     earlier = (F.col("_op") == 1) | (F.col("_oid") < F.col("token_id"))
     says = (F.lower("_ot") == F.lower("text")) | F.col("_ot").contains(F.col("text")) | F.col("text").contains(F.col("_ot"))
     seen = pairs.where(earlier & says & (F.abs(F.col("_cx") - F.col("_ox")) <= dx) & (F.abs(F.col("_cy") - F.col("_oy")) <= dy)).select(PAGE, "token_id").distinct()

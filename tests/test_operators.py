@@ -289,3 +289,18 @@ def test_fuzzy_compares_equal_names_once(spark, rows):
     assert rows(found, "k", "match_id", "score") == [(1, 3, 1.0), (2, 3, 1.0), (5, 3, 0.75)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("levenshtein") < plan.index("min(")  # names are made distinct below the comparison
+
+
+def test_merged_passes_equal_all_pairs_and_look_into_four_cells(spark):
+    import random
+
+    rnd = random.Random(8)
+    token = lambda i: ("p", i, rnd.choice(["F", "N", "NF", "toolongtext"]), float(rnd.randrange(-40, 200)), float(rnd.randrange(-40, 150)), 10.0, 10.0)
+    a, b = [token(i) for i in range(40)], [token(i) for i in range(40, 100)]
+    short = [t for t in b if len(t[2]) <= 6]
+    near = lambda t, o: abs(t[3] - o[3]) <= 32 and abs(t[4] - o[4]) <= 24 and (t[2] in o[2] or o[2] in t[2])
+    want = {t[1] for t in a} | {t[1] for t in short if not any(near(t, o) for o in a + [s for s in short if s[1] < t[1]])}
+    frame = lambda rows: spark.createDataFrame(rows, "page_id string, token_id int, text string, x double, y double, w double, h double")
+    found = grid.merge_passes(frame(a), frame(b))
+    assert {r["token_id"] for r in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(sequence(") == 2  # from second-pass tokens only; was nine cells for all
