@@ -138,6 +138,38 @@ def test_waits_end_with_an_answer_or_a_timer(spark):
     assert waits.replayed(spark.createDataFrame([], waits.INPUT), 60.0).count() == 0
 
 
+def test_waits_of_a_group_last_over_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(waits, "SHARES", 1)  # all keys in one group, with one state and one timer
+    t = lambda s: dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(seconds=s)
+    batches = [
+        [("a", t(0), "ask"), ("b", t(10), "ask"), ("c", t(70), "ask"), (None, t(5), "ask")],
+        [("a", t(40), "answer"), ("c", t(200), "answer"), ("d", t(250), "ask"), ("e", t(190), "ask"), ("", t(400), "tick")],
+        [("d", t(305), "answer"), ("f", t(390), "ask"), ("", t(700), "tick")],
+    ]
+    before = spark.conf.get(waits.STORE)
+    spark.conf.set(waits.STORE, waits.ROCKS)
+    try:
+        for i, batch in enumerate(batches):
+            spark.createDataFrame(batch, waits.INPUT).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+            stream = spark.readStream.schema(waits.INPUT).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+            query = waits.outcomes(stream, 60.0, "100 seconds").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+            query.awaitTermination()
+    finally:
+        spark.conf.set(waits.STORE, before)
+    got = spark.read.schema(waits.RESULT).parquet(f"{tmp_path}/out").collect()
+    assert Counter((r["key"], r["outcome"], r["waited_s"]) for r in got) == Counter(
+        [("a", "answered", 40.0), ("b", "timeout", None), ("c", "timeout", None), ("c", "late", None), (None, "timeout", None), ("d", "answered", 55.0), ("e", "timeout", None), ("f", "timeout", None)]
+    )
+
+
+def test_replayed_rows_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(waits, "shared_folder", lambda *_: str(tmp_path))
+    items = [(str(i), dt.datetime(2024, 1, 1, tzinfo=dt.UTC), "ask") for i in range(40)]
+    got = waits.replayed(spark.createDataFrame(items, waits.INPUT).repartition(4), 60.0).collect()
+    assert sorted(r["key"] for r in got if r["outcome"] == "timeout") == sorted(str(i) for i in range(40))
+    assert len(list((tmp_path / "landing" / "a").glob("*.parquet"))) == 4
+
+
 def test_skew_equals_the_shear_of_all_pixels():
     def plain(gray, most=5.0, step=0.25):
         ink, x = 255 - gray.astype(float), np.arange(gray.shape[1]) - gray.shape[1] / 2
