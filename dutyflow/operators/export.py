@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
+from ..session import tasks
 from .lookups import small
 
 #: Fields that describe a whole duty and stay on its first part only.
@@ -58,13 +59,13 @@ def ics_fields(shifts: DataFrame, title_times: bool = False, zone: str = "Europe
     )
 
 
-def ics_events(shifts: DataFrame, title_times: bool = False, split: bool = False) -> DataFrame:
-    """(date, uid, event): one VEVENT text for each row."""
+def ics_events(shifts: DataFrame, title_times: bool = False, split: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, date, uid, event): one VEVENT text for each row."""
     rows = ics_fields(split_overnight(shifts) if split else shifts, title_times)
     get = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     body = text.event_body(F.col("type"), F.col("start"), F.col("end"), F.col("all_day"), get("break_minutes"), get("actual"), get("account_daily"), get("oncall_percent"), get("oncall_rated"))
     event = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "uid"), "summary", F.concat(F.lit("DESCRIPTION:"), text.ics_escape(body)), "dtstart", "dtend", F.lit("END:VEVENT"))
-    return rows.select("date", "uid", event.alias("event"))
+    return rows.select(*keys, "date", "uid", event.alias("event"))
 
 
 HEAD = "\r\n".join(("BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//dutyflow//DE", "CALSCALE:GREGORIAN"))
@@ -86,12 +87,13 @@ def write_ics(shifts: DataFrame, path: str, **options: bool) -> None:
 
 
 def write_calendars(shifts: DataFrame, key: str, path: str, **options: bool) -> None:
-    """A calendar file for each value of ``key`` (in folders key=value), all of them by one distributed write."""
-    own = ics_fields(split_overnight(shifts) if options.get("split") else shifts).select("uid", key).distinct()
-    rows = _framed(ics_events(shifts, **options).join(own, "uid"), [key])
-    parts = int(shifts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, key).sortWithinPartitions(key, "k", "date", "uid")
-    dealt.select(key, "event").write.option("lineSep", "\r\n").mode("overwrite").partitionBy(key).text(path)
+    """A calendar file for each value of ``key`` (in folders key=value), all of them by one distributed write.
+
+    Tasks put their files in place themselves (commit algorithm 2): else the driver
+    would move them one by one at the end. _SUCCESS says that all are there."""
+    rows = _framed(ics_events(shifts, **options, keys=[key]), [key])
+    dealt = rows.repartition(tasks(shifts.sparkSession), key).sortWithinPartitions(key, "k", "date", "uid")
+    dealt.select(key, "event").write.option("lineSep", "\r\n").option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("overwrite").partitionBy(key).text(path)
 
 
 def nearest_colour(code: Column, palette: Sequence[tuple[int, str]]) -> Column:

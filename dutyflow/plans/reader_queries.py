@@ -213,7 +213,7 @@ def calendar_files(spark, sf_dir):
     rows = shifts(spark, sf_dir).withColumn("type", F.concat("type", F.lit(", "), F.col("event_id").cast("string"))).withColumn("workplace_id", F.col("user_id").cast("string"))
     path = shared_folder(spark, "calendars")
     export.write_calendars(rows, "user_id", path)
-    files = spark.read.text(path, wholetext=True).select(F.col("user_id").cast("string").alias("src_doc"), F.col("value").alias("content"))
+    files = readers.keyed_files(spark, path, "user_id")
     return readers.calendar_shifts(files).select(F.col("src_doc").cast("long").alias("user_id"), txt(F.col("date")).alias("date"), "type", "start", "end")
 
 

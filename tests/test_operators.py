@@ -304,3 +304,14 @@ def test_merged_passes_equal_all_pairs_and_look_into_four_cells(spark):
     found = grid.merge_passes(frame(a), frame(b))
     assert {r["token_id"] for r in found.collect()} == want
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(sequence(") == 2  # from second-pass tokens only; was nine cells for all
+
+
+def test_calendar_files_hold_each_event_once(spark, rows, tmp_path):
+    day = date(2024, 1, 5)
+    shifts = spark.createDataFrame([(u, "w", day, "F", "06:00", "14:00", False) for u in (1, 2)] + [(2, "w", day, "N, lang", "20:00", "06:00", False)], "user_id long, workplace_id string, date date, type string, start string, end string, all_day boolean")
+    export.write_calendars(shifts, "user_id", f"{tmp_path}/c")
+    before = spark.conf.get(readers._LISTING)
+    files = readers.keyed_files(spark, f"{tmp_path}/c", "user_id")
+    assert spark.conf.get(readers._LISTING) == before
+    assert rows(readers.calendar_shifts(files), "src_doc", "date", "type", "start", "end") == [("1", day, "F", "06:00", "14:00"), ("2", day, "F", "06:00", "14:00"), ("2", day, "N, lang", "20:00", "06:00")]
+    assert sorted(len(list((tmp_path / "c" / f"user_id={u}").glob("*.txt"))) for u in (1, 2)) == [1, 1]
