@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lookups import small
 from .sequences import best_and_second, keep_first
 
 LEAST_SCORE = 0.42
@@ -77,7 +78,7 @@ def code_hits(docs: DataFrame, key: str, text: str, codes: DataFrame, least: int
     tokens = F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(token), F.lit(0)))
     rows = docs.select(key, tokens.alias("t")).select(key, F.upper("t").alias("spelling"))
     own = F.col("spelling").isin("/", "//")
-    known = rows.join(codes.select("spelling", F.lit(True).alias("_in")), "spelling", "left")
+    known = rows.join(small(codes.select("spelling", F.lit(True).alias("_in"))), "spelling", "left")
     counted = known.groupBy(key).agg(F.count_if(F.coalesce("_in", own)).alias("hits"))
     return docs.select(key).join(counted, key, "left").select(key, F.coalesce("hits", F.lit(0)).alias("hits")).withColumn("enough", F.col("hits") >= least)
 

@@ -47,16 +47,21 @@ def nearest_end(rows: DataFrame, rules: DataFrame, row_id: str, key: str, value:
 
 def resolve_times(shifts: DataFrame, codes: DataFrame, infer: bool = True) -> DataFrame:
     """Adds code, validated, inferred: the exact rule for (start, end), else the
-    nearest planned end with the same start. shifts: with ``id``, start, end."""
+    nearest planned end with the same start (as nearest_end). shifts: with start, end.
+
+    The rules of a start are one array, so few rules cost the shifts no shuffle."""
     timed = codes.where(~F.col("is_special"))
     exact = keep_first(timed, ["start", "end"], ["ord"]).select("start", "end", F.col("code").alias("exact_code"), "validated")
     out = shifts.join(small(exact), ["start", "end"], "left")
     if not infer:
         return out.withColumn("inferred", F.lit(False)).withColumnRenamed("exact_code", "code")
-    open_ = out.where("exact_code IS NULL").select("id", "start", numbers.minutes(F.col("end")).alias("end_min"))
     rules = timed.select("start", numbers.minutes(F.col("end")).alias("rule_end"), "ord", F.col("code").alias("near_code"))
-    near = nearest_end(open_, rules, "id", "start", "end_min", "rule_end").select("id", "near_code")
-    out = out.join(near, "id", "left")
+    of_start = rules.groupBy("start").agg(F.collect_list(F.struct("rule_end", "ord", "near_code")).alias("_rules"))
+    few = rules.limit(SMALL + 1).count() <= SMALL
+    want = numbers.minutes(F.col("end"))
+    rank = lambda r: F.struct((r["rule_end"] < want).cast("int").alias("short"), F.abs(r["rule_end"] - want).alias("far"), r["ord"].alias("ord"), r["near_code"].alias("near_code"))
+    out = out.join(F.broadcast(of_start) if few else of_start, "start", "left")
+    out = out.withColumn("near_code", F.when(F.col("exact_code").isNull(), F.array_min(F.transform("_rules", rank))["near_code"]))
     return out.select(
         *shifts.columns, F.coalesce("exact_code", "near_code").alias("code"),
         F.coalesce(F.when(F.col("exact_code").isNotNull(), F.col("validated")), F.lit(False)).alias("validated"),

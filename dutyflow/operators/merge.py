@@ -35,7 +35,7 @@ def overwrite_merge(base: DataFrame, new: DataFrame, tenant: str, months: DataFr
     others, own = base.where(~mine), base.where(mine)
     some = tagged.limit(1).agg((F.count("*") > 0).alias("_some"))  # one row
     if mode is Mode.PRESERVE:
-        kept = own.join(months.distinct().withColumnRenamed("ym", "_ym"), F.date_format("date", "yyyy-MM") == F.col("_ym"), "left_anti")
+        kept = own.join(F.broadcast(months.distinct().withColumnRenamed("ym", "_ym")), F.date_format("date", "yyyy-MM") == F.col("_ym"), "left_anti")
     elif mode is Mode.APPEND:
         kept = own
     else:

@@ -142,31 +142,23 @@ def protocol(docs: DataFrame, rules: ProtocolRules) -> tuple[DataFrame, DataFram
     fields = [F.col(KEY), F.col("line_no").cast("long").alias("src_seq")]
     extra = lambda rule, line=line: [rule.get(line, c).alias(c) for c in EXTRA]
 
-    outs = []
-    body = lines.where("NOT _opens")
-    for i, rule in enumerate(rules.on_call):
-        mine = line.rlike(rule.java)
-        for other in rules.on_call[:i]:
-            mine = mine & ~line.rlike(other.java)
-        date = dates.parse_date(rule.get(line, "date"), "d.M.yyyy")
-        outs.append(body.where(F.col("on_call") & mine).select(*fields, F.lit(rule.kind or "BEREIT").alias("type"), date.alias("date"), rule.get(line, "start").alias("start"), rule.get(line, "end").alias("end"), F.lit(False).alias("all_day"), F.lit(True).alias("on_call"), F.lit(False).alias("is_special"), *extra(rule)))
-    main = body.where(~F.col("on_call") & F.col("ctx").isNotNull())
+    # each line fits one rule at most, so one pass gives the rows of all rules
+    none = F.lit(None).cast("string")
+    row = lambda kind, date, start, end, all_day, on_call, special, more: F.struct(kind.alias("type"), date.alias("date"), start.alias("start"), end.alias("end"), F.lit(all_day).alias("all_day"), F.lit(on_call).alias("on_call"), F.lit(special).alias("is_special"), *more)
+    inside, main = F.col("on_call"), ~F.col("on_call") & F.col("ctx").isNotNull()
     is_shift = line.rlike(rules.shift.java)
-    outs.append(main.where(is_shift).select(*fields, F.lit(rules.shift.kind or "WORK").alias("type"), day_of(rules.shift.get(line, "day")).alias("date"), rules.shift.get(line, "start").alias("start"), rules.shift.get(line, "end").alias("end"), F.lit(False).alias("all_day"), F.lit(False).alias("on_call"), F.lit(False).alias("is_special"), *extra(rules.shift)))
-    for i, rule in enumerate(rules.all_day):
-        mine = ~is_shift & line.rlike(rule.java)
-        for other in rules.all_day[:i]:
-            mine = mine & ~line.rlike(other.java)
+    picked = F.when(main & is_shift, row(F.lit(rules.shift.kind or "WORK"), day_of(rules.shift.get(line, "day")), rules.shift.get(line, "start"), rules.shift.get(line, "end"), False, False, False, extra(rules.shift)))
+    for rule in rules.on_call:
+        date = dates.parse_date(rule.get(line, "date"), "d.M.yyyy")
+        picked = picked.when(inside & line.rlike(rule.java), row(F.lit(rule.kind or "BEREIT"), date, rule.get(line, "start"), rule.get(line, "end"), False, True, False, extra(rule)))
+    for rule in rules.all_day:
         kind = F.lit(rule.kind)
         if rule.kind_group is not None:
             kind = F.upper(F.regexp_extract(line, rule.java, rule.kind_group))
             for a, b in rule.names.items():
                 kind = F.when(kind == a, F.lit(b)).otherwise(kind)
-        none = F.lit(None).cast("string")
-        outs.append(main.where(mine).select(*fields, kind.alias("type"), day_of(rule.get(line, "day")).alias("date"), none.alias("start"), none.alias("end"), F.lit(True).alias("all_day"), F.lit(False).alias("on_call"), F.lit(True).alias("is_special"), *[none.alias(c) for c in EXTRA]))
-    shifts = outs[0]
-    for o in outs[1:]:
-        shifts = shifts.unionByName(o)
+        picked = picked.when(main & line.rlike(rule.java), row(kind, day_of(rule.get(line, "day")), none, none, True, False, True, [none.alias(c) for c in EXTRA]))
+    shifts = lines.where("NOT _opens").select(*fields, picked.alias("_row")).where("_row IS NOT NULL").select(KEY, "src_seq", "_row.*")
     shifts = shifts.where("date IS NOT NULL").withColumn("ym", F.date_format("date", "yyyy-MM"))
 
     blocks = segments(lines.where("ctx IS NOT NULL"), [KEY], ["line_no"], "ctx", "block")

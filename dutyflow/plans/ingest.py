@@ -9,16 +9,20 @@ from ..functions import text
 from ..operators import classify, lookups, merge, parsers
 from ..operators.parsers import ProtocolRules
 from ..operators.roster import shifts as roster_shifts
+from ..session import landed
 from ..sources.packs import Pack, known_spellings
 
 
 def route(docs: DataFrame, pack: Pack, require: tuple[str, ...] = (), reject: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``kind`` ('payslip', 'shift', 'unknown') and ``is_grid`` to documents (src_doc, content)."""
-    hits = classify.code_hits(docs, "src_doc", "content", known_spellings(pack)).select("src_doc", "enough")
-    rows = docs.join(hits, "src_doc", "left")
     x = F.coalesce("content", F.lit(""))
-    grid = classify.looks_like_grid(x, require, reject, F.coalesce("enough", F.lit(False))) if require else F.lit(False)
-    return rows.withColumn("is_grid", grid).withColumn("kind", classify.document_kind(x, grid=F.col("is_grid"))).drop("enough")
+    if require:
+        hits = classify.code_hits(docs, "src_doc", "content", known_spellings(pack)).select("src_doc", "enough")
+        rows = docs.join(hits, "src_doc", "left")
+        rows = rows.withColumn("is_grid", classify.looks_like_grid(x, require, reject, F.coalesce("enough", F.lit(False)))).drop("enough")
+    else:  # no grid is looked for
+        rows = docs.withColumn("is_grid", F.lit(False))
+    return rows.withColumn("kind", classify.document_kind(x, grid=F.col("is_grid")))
 
 
 def resolve(parsed: DataFrame, pack: Pack) -> DataFrame:
@@ -26,7 +30,8 @@ def resolve(parsed: DataFrame, pack: Pack) -> DataFrame:
 
     Main rows that on-call rows continue become one row to the chain's end;
     known codes stay; times become codes (exact, else nearest end), or a mark;
-    left-over on-call rows take exact codes only."""
+    left-over on-call rows take exact codes only. Chained rows go through the
+    shared folder, as several steps read them."""
     rows = parsed.withColumnRenamed("src_doc", "doc_id").withColumnRenamed("src_seq", "seq")
     rows = lookups.chain_main_and_oncall(rows)
     head = F.col("chain_seq") == F.col("seq")
@@ -35,7 +40,7 @@ def resolve(parsed: DataFrame, pack: Pack) -> DataFrame:
     known = lookups.small(known_spellings(pack)).withColumn("_known", F.lit(True))
     rows = rows.join(known, F.upper(F.trim("type")) == F.col("spelling"), "left")
     keep = F.col("all_day") | (F.coalesce("_known", F.lit(False)) & ~F.col("chained") & ~F.col("on_call"))
-    rows = rows.withColumn("_keep", keep).drop("spelling", "_known")
+    rows = landed(rows.withColumn("_keep", keep).drop("spelling", "_known"), "chained")
     timed = rows.where("NOT _keep")
     main = lookups.resolve_times(timed.where("NOT on_call"), pack.codes)
     late = lookups.resolve_times(timed.where("on_call"), pack.codes, infer=False)
@@ -70,7 +75,7 @@ def ingest(docs: DataFrame, base: DataFrame, pack: Pack, rules: ProtocolRules, t
     routed = route(docs, pack, require)
     plans = routed.where("kind = 'shift'")
     protocols, _ = parsers.protocol(plans.where("NOT is_grid").select("src_doc", "content"), rules)
-    new = resolve(protocols, pack)
+    new = resolve(landed(protocols, "protocols"), pack)
     grids = plans.where("is_grid").select("src_doc", "content")
     errors = routed.where("kind = 'unknown'").select("src_doc", F.lit("unknown kind of document").alias("reason"))
     if person:

@@ -193,3 +193,21 @@ def test_payslips_are_parsed_by_many_tasks_and_lines_once(spark, rows):
     plan = errors._jdf.queryExecution()
     assert f"{tasks(spark)}), REPARTITION_BY_NUM" in plan.executedPlan().toString()
     assert plan.optimizedPlan().toString().count("LogicalRDD") == 2  # heads and lines; was three
+
+
+def test_times_are_resolved_row_by_row(spark, rows):
+    from dutyflow.operators import lookups
+
+    codes = spark.createDataFrame([(0, "06:00", "14:00", "F", False, True, []), (1, "06:00", "10:00", "K", False, True, []), (2, "20:00", "06:00", "N", False, True, [])], "ord int, start string, end string, code string, is_special boolean, validated boolean, also array<string>")
+    s = spark.createDataFrame([("a", "06:00", "09:30"), ("a", "06:00", "13:00"), (None, "20:00", "05:00"), ("b", "06:00", "14:00"), ("c", "07:00", "08:00"), ("d", None, None)], "id string, start string, end string")
+    out = lookups.resolve_times(s, codes)
+    assert rows(out, "start", "end", "code", "inferred") == [(None, None, None, False), ("06:00", "09:30", "K", True), ("06:00", "13:00", "F", True), ("06:00", "14:00", "F", False), ("07:00", "08:00", None, False), ("20:00", "05:00", "N", True)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [id") == 1  # shifts are read once
+
+
+def test_a_batch_parses_and_chains_its_documents_once(spark, pack):
+    base = spark.createDataFrame([], "workplace_id string, date date, type string, start string, end string, all_day boolean, is_validated boolean, ym string, src_seq long")
+    d = docs(spark, SHEET)
+    plan = ingest.ingest(d, base, pack, RULES, "w")[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "posexplode" not in plan
+    assert parsers.protocol(d, RULES)[0]._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1  # was one for each rule
