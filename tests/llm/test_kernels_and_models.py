@@ -77,6 +77,16 @@ def test_suffix_arrays_find_all_repeats():
     assert len(run) == len(place) == len(count)
 
 
+def test_suffix_arrays_hold_32_bit_places_in_order():
+    rnd = random.Random(6)
+    data = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(1200)), np.uint8)
+    starts = np.arange(801)
+    order, rank = suffix_dedup.suffix_array(data, np.full(1200, 1200), starts)
+    raw = data.tobytes()
+    windows = [raw[i : i + 400] for i in order]
+    assert windows == sorted(windows) and rank.dtype == np.int32  # half the memory to walk through
+
+
 def test_signatures_estimate_weighted_similarity():
     a = " ".join(f"w{i % 90}" for i in range(400))
     b = " ".join(f"w{i % 90}" if i < 330 else f"x{i}" for i in range(400))
