@@ -77,6 +77,37 @@ def test_suffix_arrays_find_all_repeats():
     assert len(run) == len(place) == len(count)
 
 
+def test_kasai_prefixes_equal_brute_force():
+    rnd = random.Random(8)
+    base = bytes(rnd.choice(b"ab") for _ in range(1300))
+    runs = [base, base[90:700], base[:555] + b"c" + base[556:], b"a" * 700, b"ab" * 300 + base[:50] * 12]
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    ends = np.cumsum([len(r) for r in runs])
+    starts = np.concatenate([np.arange(e - len(r), e - 399) for r, e in zip(runs, ends, strict=True)])
+    array, final = suffix_dedup.suffix_array(data, np.repeat(ends, [len(r) for r in runs]), starts)
+    rank = np.zeros(len(data), np.int32)
+    rank[starts] = final
+    common, raw = suffix_dedup.kasai(data, array, rank), data.tobytes()
+    for a, b in zip(array, array[1:]):
+        x, y = raw[a : a + 400], raw[b : b + 400]
+        assert common[b] == next((k for k in range(400) if x[k] != y[k]), 400)
+
+
+def test_long_runs_take_no_step_for_each_place():
+    rnd = random.Random(9)
+    text = bytes(rnd.choice(b"abcdefgh ") for _ in range(400_000))
+
+    def seconds(windows):
+        wide = windows + 399
+        runs = [text[i : i + wide] for i in range(0, 33_000 - wide, wide)]
+        started = time.process_time()
+        suffix_dedup.repeated(runs)
+        return time.process_time() - started
+
+    short, long = (min(seconds(w) for _ in range(3)) for w in (100, 16_000))  # of 33,000 bytes each
+    assert long < 8 * short
+
+
 def test_suffix_arrays_hold_32_bit_places_in_order():
     rnd = random.Random(6)
     data = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(1200)), np.uint8)
