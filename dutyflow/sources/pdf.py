@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 
 from ..session import ship
 
-RAW_LIMIT = 512 * 1024
 _STREAM = re.compile(rb"<<(?P<dict>.*?)>>\s*stream\r?\n", re.S)
 _SHOW = re.compile(rb"\((?P<s>(?:\\.|[^\\()])*)\)\s*(?:Tj|'|\")|\[(?P<a>(?:\\.|[^\]])*)\]\s*TJ|<(?P<h>[0-9A-Fa-f\s]+)>\s*Tj", re.S)
 _PART = re.compile(rb"\((?P<s>(?:\\.|[^\\()])*)\)|<(?P<h>[0-9A-Fa-f\s]+)>", re.S)
@@ -37,8 +36,8 @@ def _hex(raw: bytes) -> str:
 
 
 def tokens(pdf: bytes | None) -> list[str]:
-    """Shown strings in stream order. Bytes before the header are skipped;
-    images and plain streams above RAW_LIMIT are not read; no header: none."""
+    """Shown strings in stream order, of streams of any size. Bytes before the header
+    are skipped; images are not read; no header: none."""
     data = bytes(pdf or b"")
     begin = data.find(b"%PDF-")
     out: list[str] = []
@@ -54,8 +53,6 @@ def tokens(pdf: bytes | None) -> list[str]:
                 body = zlib.decompressobj().decompress(body)
             except zlib.error:
                 continue
-        elif len(body) > RAW_LIMIT:
-            continue
         for s in _SHOW.finditer(body):
             if s["s"] is not None:
                 out.append(_literal(s["s"]))

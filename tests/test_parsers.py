@@ -166,6 +166,16 @@ def test_pdf_tokens():
     assert pdf.tokens(b"no pdf") == [] and pdf.tokens(None) == []
 
 
+def test_large_plain_streams_are_read(spark, tmp_path):
+    from dutyflow.plans import reader_queries
+
+    show = lambda n: b"%PDF-1.4\n1 0 obj\n<< /Length 1 >>\nstream\n" + b"(ab) Tj\n" * n + b"endstream\nendobj\n"
+    assert [len(pdf.tokens(show(n))) for n in (65_536, 65_537)] == [65_536, 65_537]  # 512 KB, and one token more
+    ts = F.lit("2024-01-05 06:00:00").cast("timestamp")
+    spark.range(12_000).select(F.col("id").alias("event_id"), ts.alias("ts"), F.lit(7).cast("long").alias("user_id"), F.lit("click").alias("event_type")).write.parquet(f"{tmp_path}/events.parquet")
+    assert reader_queries.pdf_sheet_lines(spark, str(tmp_path)).count() == 12_001  # was none: the one file has over 512 KB
+
+
 def test_pdf_lines(spark, rows):
     d = spark.createDataFrame([("f", ["Abrechnungsmonat", "07/2026", "01", "Mi", "KO*", "07:00", "02", "Do", "x", "03.07.2026", "00:00"])], "path string, tokens array<string>")
     assert [r[1] for r in rows(pdf.sheet_lines(d), "line_no", "line")] == ["Abrechnungsmonat 07/2026", "01 Mi KO* 07:00", "02 Do x", "03.07.2026 00:00"]
