@@ -12,12 +12,13 @@ from pyspark.sql.window import Window
 
 from ..functions import numbers
 from ..session import ship, spread
+from . import nearest
 from .sequences import keep_first
 
 #: Rule tables of more rows are joined without a broadcast.
 SMALL = 10_000
-#: Shares into which the left names of a block are dealt.
-DEALT = 8
+#: Left and right names of a block that one task compares, about.
+LEFT_NAMES, RIGHT_NAMES = 4_000, 100_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -189,14 +190,23 @@ def best_fuzzy(left: DataFrame, right: DataFrame, left_name: str, right_name: st
     """Best match of each left name within its block by edit similarity (ties: smallest right id), if at least ``least``.
 
     The block keeps candidate pairs to likely ones; it must be a property that true matches share.
-    Equal names are compared once, by their smallest right id; a crowded block is
-    dealt over DEALT shares of its left names, each with all right names."""
+    Equal names are compared once, by their smallest right id. A block is cut into tiles of about
+    LEFT_NAMES by RIGHT_NAMES names, and each tile finds the nearest right name of each left one (nearest.tile)."""
+    spark = left.sparkSession
+    ship(spark)
     a = left.distinct().select("*", F.col(left_name).alias("_left"), block.alias("_block"))
-    b = right.select(F.col(right_name).alias("_name"), F.col(right_id).alias("_id"), right_block.alias("_block")).groupBy("_block", "_name").agg(F.min("_id").alias("_id"))
-    share = F.pmod(F.xxhash64("_left"), F.lit(DEALT)).alias("_share")
-    names = spread(a.select("_block", "_left").distinct().select("_block", "_left", share), "_block", "_share")
-    others = spread(b.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long")))), "_block", "_share")
-    rows = names.join(others.hint("shuffle_hash"), ["_block", "_share"]).withColumn("_score", similarity(F.col("_left"), F.col("_name"))).where(F.col("_score") >= least)
+    b = right.select(F.col(right_name).alias("_name"), F.col(right_id).alias("_id"), right_block.alias("_block")).where("_name IS NOT NULL").groupBy("_block", "_name").agg(F.min("_id").alias("_id"))
+    names = a.where("_left IS NOT NULL").select("_block", "_left").distinct()
+    cuts = lambda rows, most, to: rows.groupBy("_block").agg(F.ceil(F.count("*") / most).alias(to))
+    grid = cuts(names, LEFT_NAMES, "_lefts").join(cuts(b, RIGHT_NAMES, "_rights"), "_block")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    names = names.join(grid, "_block").select("_block", own("_left", "_lefts").alias("_l"), each(F.col("_rights")).alias("_r"), "_left")
+    others = b.join(grid, "_block").select("_block", each(F.col("_lefts")).alias("_l"), own("_name", "_rights").alias("_r"), "_name", "_id")
+    keys, kinds = ("_block", "_l", "_r"), dict(names.dtypes) | dict(others.dtypes)
+    tiles = spread(names, *keys).groupBy(*keys).cogroup(spread(others, *keys).groupBy(*keys))
+    rows = tiles.applyInArrow(nearest.tile, ", ".join(f"{c} {kinds[c]}" for c in ("_block", "_left", "_name", "_id")))
+    rows = rows.withColumn("_score", similarity(F.col("_left"), F.col("_name"))).where(F.col("_score") >= least)
     best = rows.groupBy("_block", "_left").agg(F.max_by(F.struct("_id", "_name", "_score"), F.struct("_score", -F.col("_id"))).alias("m"))
     return a.join(best, ["_block", "_left"]).select(*left.columns, F.col("m._id").alias("match_id"), F.col("m._name").alias("match_name"), F.col("m._score").alias("score"))
 

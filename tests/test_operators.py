@@ -1,3 +1,4 @@
+import time
 from datetime import date
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dutyflow.functions import privacy, text
-from dutyflow.operators import cells, export, grid, images, lookups, marts, merge, names, sequences
+from dutyflow.operators import cells, export, grid, images, lookups, marts, merge, names, nearest, sequences
 from dutyflow.sources import readers, store
 
 D = date(2026, 7, 1)
@@ -291,6 +292,30 @@ def test_fuzzy_compares_equal_names_once(spark, rows):
     assert plan.index("levenshtein") < plan.index("min(")  # names are made distinct below the comparison
 
 
+def test_fuzzy_equals_all_pairs_in_any_tiles(spark, rows, monkeypatch):
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: rnd.choice(["", "Kunde#", "K😀"]) + "".join(rnd.choice("abä1") for _ in range(rnd.randrange(7)))
+    left = spark.createDataFrame([(i, rnd.randrange(3), word()) for i in range(60)] + [(60, None, "a"), (61, 1, None)], "k int, g int, a string")
+    right = spark.createDataFrame([(i, rnd.randrange(4), word()) for i in range(150)] + [(150, None, "a"), (151, 1, None)], "i long, h int, b string")
+    pairs = left.join(right, F.col("g") == F.col("h")).withColumn("s", lookups.similarity(F.col("a"), F.col("b"))).where("s >= 0.3")
+    want = rows(pairs.groupBy("k").agg(F.max_by(F.struct("i", "b", "s"), F.struct("s", -F.col("i"))).alias("m")), "k", "m.i", "m.b", "m.s")
+    for lefts, rights, cells in ((4_000, 100_000, 1 << 21), (7, 11, 60)):
+        monkeypatch.setattr(lookups, "LEFT_NAMES", lefts)
+        monkeypatch.setattr(lookups, "RIGHT_NAMES", rights)
+        monkeypatch.setattr(nearest, "CELLS", cells)
+        assert rows(lookups.best_fuzzy(left, right, "a", "b", "i", F.col("g"), F.col("h"), 0.3), "k", "match_id", "match_name", "score") == want
+
+
+def test_fuzzy_does_not_compare_all_pairs_of_a_block(spark):
+    name = lambda head: F.format_string(f"{head}#%09d", F.col("id"))
+    left, right = spark.range(3_000).select("id", name("Supplier").alias("a")), spark.range(30_000).select(F.col("id").alias("i"), name("Customer").alias("b"))
+    start = time.monotonic()
+    assert lookups.best_fuzzy(left, right, "a", "b", "i", F.lit(1), F.lit(1), 0.35).where("match_id = id AND round(score, 6) = 0.722222").count() == 3_000
+    assert time.monotonic() - start < 90  # all 90 million pairs would take some 20 CPU minutes
+
+
 def test_merged_passes_equal_all_pairs_and_look_into_four_cells(spark):
     import random
 
