@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..session import tasks
+from ..session import ship, tasks
+from ..sources import store
 from .lookups import small
 
 #: Fields that describe a whole duty and stay on its first part only.
@@ -87,13 +88,23 @@ def write_ics(shifts: DataFrame, path: str, **options: bool) -> None:
 
 
 def write_calendars(shifts: DataFrame, key: str, path: str, **options: bool) -> None:
-    """A calendar file for each value of ``key`` (in folders key=value), all of them by one distributed write.
+    """A calendar file for each value of ``key`` (in folders key=value, as Spark's writer makes them), all of them by one distributed job.
 
-    Tasks put their files in place themselves (commit algorithm 2): else the driver
+    Where all machines see the folder as a local one (file:), tasks write the files themselves:
+    Hadoop starts a process (chmod) there for each folder, file and checksum, some 5 ms each.
+    Elsewhere Spark writes, and tasks put their files in place (commit algorithm 2): else the driver
     would move them one by one at the end. _SUCCESS says that all are there."""
-    rows = _framed(ics_events(shifts, **options, keys=[key]), [key])
-    dealt = rows.repartition(tasks(shifts.sparkSession), key).sortWithinPartitions(key, "k", "date", "uid")
-    dealt.select(key, "event").write.option("lineSep", "\r\n").option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("overwrite").partitionBy(key).text(path)
+    spark = shifts.sparkSession
+    events = ics_events(shifts, **options, keys=[key]).withColumn(key, F.nullif(F.col(key).cast("string"), F.lit("")))
+    dealt = _framed(events, [key]).repartition(tasks(spark), key).sortWithinPartitions(key, "k", "date", "uid").select(key, "event")
+    folder = store.local_folder(spark, path)
+    if folder is None:
+        dealt.write.option("lineSep", "\r\n").option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("overwrite").partitionBy(key).text(path)
+        return
+    ship(spark)
+    store.remove(spark, path)
+    dealt.mapInArrow(store.keyed_writer(folder, "calendar.txt", "\r\n"), "files long").agg(F.sum("files")).collect()
+    store.succeeded(spark, path)
 
 
 def nearest_colour(code: Column, palette: Sequence[tuple[int, str]]) -> Column:

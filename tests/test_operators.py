@@ -340,3 +340,28 @@ def test_calendar_files_hold_each_event_once(spark, rows, tmp_path):
     assert spark.conf.get(readers._LISTING) == before
     assert rows(readers.calendar_shifts(files), "src_doc", "date", "type", "start", "end") == [("1", day, "F", "06:00", "14:00"), ("2", day, "F", "06:00", "14:00"), ("2", day, "N, lang", "20:00", "06:00")]
     assert sorted(len(list((tmp_path / "c" / f"user_id={u}").glob("*.txt"))) for u in (1, 2)) == [1, 1]
+
+
+def test_calendars_are_the_same_by_tasks_and_by_spark(spark, monkeypatch, tmp_path):
+    day = date(2024, 1, 5)
+    people = ["a", "b/c: 1=2", "ä", "", None, "007"]
+    shifts = spark.createDataFrame([(u, "w", day, f"F{i}, lang", "06:00", "14:00", False) for u in people for i in range(3)], "person string, workplace_id string, date date, type string, start string, end string, all_day boolean")
+    folder = lambda name: {d.name: sorted(f.read_bytes() for f in d.glob("*.txt")) for d in (tmp_path / name).iterdir() if d.is_dir()}
+    (tmp_path / "tasks" / "person=old").mkdir(parents=True)
+    export.write_calendars(shifts, "person", f"file://{tmp_path}/tasks")
+    files = [f.relative_to(tmp_path / "tasks").as_posix() for f in (tmp_path / "tasks").rglob("*") if f.is_file()]
+    monkeypatch.setattr(store, "local_folder", lambda *_: None)
+    export.write_calendars(shifts, "person", f"file://{tmp_path}/spark")
+    assert folder("tasks") == folder("spark") and len(folder("tasks")) == 5  # the empty name and null share a folder
+    assert sorted(f for f in files if "SUCCESS" not in f) == sorted(f"{d}/calendar.txt" for d in folder("spark"))  # had a checksum beside each, made by a process for each
+    assert (tmp_path / "tasks" / "_SUCCESS").exists()
+    files = [readers.keyed_files(spark, f"file://{tmp_path}/{d}", "person") for d in ("tasks", "spark")]
+    assert [sorted({r["src_doc"] or "-" for r in f.collect()}) for f in files] == [["-", "007", "a", "b/c: 1=2", "ä"]] * 2
+
+
+def test_calendar_texts_are_searched_once(spark, rows):
+    event = lambda *lines: "\r\n".join(("BEGIN:VEVENT", *lines, "END:VEVENT", "SUMMARY:outside", ""))
+    content = "BEGIN:VCALENDAR\r\n" + event("SUMMARY:none") + event("DTSTART:20240105T060000", "DTEND:20240105T140000", "SUMMARY:A\\, b", " c") + event("DTSTART;VALUE=DATE:20240106") + event("DTSTART:20240231")
+    found = readers.calendar_shifts(spark.createDataFrame([("f", content), ("g", ""), ("h", None)], "src_doc string, content string"))
+    assert rows(found, "src_doc", "src_seq", "date", "type", "start", "end", "all_day") == [("f", 1, date(2024, 1, 5), "A, bc", "06:00", "14:00", False), ("f", 2, date(2024, 1, 6), "SHIFT", None, None, True)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 3  # start, end, title; was five
